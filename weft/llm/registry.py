@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from weft.llm.exact import OP9_SQL, op9_exact
 from weft.llm.language import op10_language
+from weft.llm.mixing import OP7_SQL, op7_mixing
+from weft.llm.simhash import op5_simhash
 from weft.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op10_language": op10_language}
+    return {"op1_toxicity": op1_toxicity, "op5_simhash": op5_simhash, "op7_mixing": op7_mixing, "op9_exact": op9_exact, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": OP7_SQL, "op9_exact": OP9_SQL}
