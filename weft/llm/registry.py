@@ -6,13 +6,14 @@ from weft.llm.exact import OP9_SQL, op9_exact
 from weft.llm.language import op10_language
 from weft.llm.mixing import OP7_SQL, op7_mixing
 from weft.llm.pieces import op4_pieces
+from weft.llm.quality import op2_quality
 from weft.llm.secrets import op8_secrets
 from weft.llm.simhash import op5_simhash
 from weft.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op4_pieces": op4_pieces, "op5_simhash": op5_simhash, "op7_mixing": op7_mixing, "op8_secrets": op8_secrets, "op9_exact": op9_exact, "op10_language": op10_language}
+    return {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op4_pieces": op4_pieces, "op5_simhash": op5_simhash, "op7_mixing": op7_mixing, "op8_secrets": op8_secrets, "op9_exact": op9_exact, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
