@@ -418,13 +418,17 @@ def _build(model: Model, level: int):
     return run
 
 
-def fit(docs: DataFrame, keep=None) -> Model:
-    """Build the trie from all texts (``keep``: a condition on ``doc_id``) in the shared folder."""
+def fit(docs: DataFrame, keep=None, shards: int | None = None) -> Model:
+    """Build the trie from all texts (``keep``: a condition on ``doc_id``) in the shared folder.
+
+    ``shards`` is rounded up to a power of two; by default it follows the corpus.
+    """
     spark = docs.sparkSession
     texts = (docs if keep is None else docs.where(keep)).select("text")
-    letters = docs.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    shards = max(4, letters // 6 // SHARD_TOKENS)
-    model = Model(common.new_path(spark, "trie"), max(2, (shards - 1).bit_length()))
+    if shards is None:
+        letters = docs.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+        shards = max(4, letters // 6 // SHARD_TOKENS)
+    model = Model(common.new_path(spark, "trie"), (shards - 1).bit_length())
     size = 1 << model.bits
     for level in (1, 2, 3):
         counted = texts.mapInArrow(_count(model, level), "shard int, key long, n long")

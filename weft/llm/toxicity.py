@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segment search.
 
-Every word gets a log-odds score: how much likelier it is in toxic than in clean
-documents, under Beta (two-cell Dirichlet) priors that back off from the word to its
+Every word gets a log-odds score: how much likelier toxic than clean documents are to
+hold it, under Beta (two-cell Dirichlet) priors that back off from the word to its
 first six bytes, to its first four bytes, to the overall share.  A linear-time scan
 finds *all* maximal-scoring segments of the word scores (Ruzzo and Tompa 1999).
 Their scores are judged against the extreme-value law of the best segment in clean
@@ -31,10 +31,10 @@ from weft.llm import common
 FIT_ROWS = 20_000
 #: Words and stems seen less often than this in the learning rows back off.
 MIN_COUNT = 4
-#: Weight of the prior, in words, at each step from stem to word.
-PRIOR = 50.0
+#: Weight of the prior, in documents, at each step from stem to word.
+PRIOR = 5.0
 #: Standard deviations by which each log-odds is drawn back towards nought.
-CAUTION = 2.0
+CAUTION = 3.0
 #: Taken off each word's log-odds, so that clean text drifts down.
 DRIFT = 0.2
 #: Segments with an E-value above this are not reported and not counted.
@@ -142,7 +142,7 @@ def probability(model: Model, evidence: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and stems of each batch with their counts by label."""
+    """Words and stems of each batch with the documents that hold them, by label."""
     for batch in batches:
         labels = batch.column("label").to_numpy(zero_copy_only=False)
         parts: dict[int, list[np.ndarray]] = {0: [], 4: [], 6: []}
@@ -151,10 +151,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends, rows = common.find_words(data, bounds)
             if not len(starts):
                 continue
-            toxic.append(np.repeat(labels[a:b], np.diff(rows)))
-            parts[0].append(common.hash_words(data, starts, ends))
+            hashes = common.hash_words(data, starts, ends)
+            text = np.repeat(np.arange(b - a), np.diff(rows))
+            order = np.lexsort((hashes, text))  # each word once a document: repeats inside one are no evidence
+            new = np.ones(len(order), bool)
+            new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (text[order][1:] != text[order][:-1])
+            own = order[new]
+            toxic.append(labels[a:b][text[own]])
+            parts[0].append(hashes[own])
             for n in STEMS:
-                parts[n].append(_stem_hash(data, starts, ends, n))
+                parts[n].append(_stem_hash(data, starts[own], ends[own], n))
         if not toxic:
             continue
         flags = np.concatenate(toxic) == 1
@@ -188,7 +194,8 @@ def _prior_scores(table, share: float) -> Model:
         prior[0][own] = prior[n][own]
     a, b = hit + PRIOR * prior[0], miss + PRIOR * (1 - prior[0])
     odds = np.log(a / b) - base
-    scores = np.sign(odds) * np.maximum(np.abs(odds) - CAUTION * np.sqrt(1 / a + 1 / b), 0)
+    spread = np.sqrt(1 / (hit + PRIOR * share) + 1 / (miss + PRIOR * (1 - share)))  # as if it had no stem
+    scores = np.sign(odds) * np.maximum(np.abs(odds) - CAUTION * spread, 0)
     out = []
     for mask in (stem == 0, stem != 0):
         order = np.argsort(key[mask], kind="stable")
