@@ -46,7 +46,7 @@ from weft.llm.eliasfano import EliasFano, pack, unpack
 
 MIN_COUNT = 2
 #: Tokens of the corpus for each shard, about.
-SHARD_TOKENS = 2_500_000
+SHARD_TOKENS = 1_000_000
 #: Bytes of text for which n-grams are looked up at once.
 TEXT_BYTES = 6 << 20
 #: Distinct n-grams that a counting task holds before it passes them on.
@@ -135,14 +135,20 @@ def _word_ids(model: Model, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return ids, counts
 
 
-def _children(level: dict, parent: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Position in a shard's level of the child ``value`` of each ``parent``, or -1."""
-    low, high = level["pointers"].get(parent).astype(np.int64), level["pointers"].get(parent + 1).astype(np.int64)
+def _children(level: dict, parent: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted parents: the position of the child ``value`` (or -1) in a shard's level, and its rank in its context.
+
+    Pointers are read once for each run of one parent.
+    """
+    new = np.diff(parent, prepend=-1) != 0
+    context, run = parent[new], np.cumsum(new) - 1
+    low, high = level["pointers"].get(context).astype(np.int64), level["pointers"].get(context + 1).astype(np.int64)
+    base = _base(level["ids"], low)
     out = np.full(len(parent), _NONE, np.int64)
-    some = np.flatnonzero(low < high)
-    base = _base(level["ids"], low[some])
-    out[some] = level["ids"].find(base + value[some].astype(np.uint64), low[some], high[some])
-    return out
+    some = np.flatnonzero((low < high)[run])
+    at = run[some]
+    out[some] = level["ids"].find(base[at] + value[some].astype(np.uint64), low[at], high[at])
+    return out, out - low[run]
 
 
 def _base(ids: EliasFano, low: np.ndarray) -> np.ndarray:
@@ -160,10 +166,10 @@ def _pair_ids(model: Model, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
             continue
         level = _load(model.base, f"2-{shard}")
         parent = u[a:b] - model.words[shard]
-        at = _children(level, parent, w[a:b])
+        at, nth = _children(level, parent, w[a:b])
         hit = np.flatnonzero(at >= 0)
         number[a + hit] = at[hit] + model.pairs[shard]
-        rank[a + hit] = at[hit] - level["pointers"].get(parent[hit]).astype(np.int64)
+        rank[a + hit] = nth[hit]
         logp[a + hit] = level["values"][level["codes"][at[hit]]]
     return number, rank, logp
 
@@ -217,6 +223,11 @@ class _Block:
     def triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Positions of the third tokens of triples of kept pairs; the distinct triples' pair numbers and ranks; and which is which."""
         at = np.flatnonzero((self.number[2:] >= 0) & (self.number[1:-1] >= 0) & ~self.opens[1:-1] & ~self.opens[2:]) + 2
+        i, r = self.number[at - 1], self.rank[at]
+        width = int(r.max(initial=0)) + 1
+        if int(i.max(initial=0)) + 1 < (1 << 63) // width:  # both in one number: one sort
+            keys, which = np.unique(i * width + r, return_inverse=True)
+            return at, keys // width, keys % width, which
         order = np.lexsort((self.rank[at], self.number[at - 1]))
         i, r = self.number[at - 1][order], self.rank[at][order]
         new = np.ones(len(at), bool)
@@ -427,7 +438,7 @@ def fit(docs: DataFrame, keep=None, shards: int | None = None) -> Model:
     texts = (docs if keep is None else docs.where(keep)).select("text")
     if shards is None:
         letters = docs.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-        shards = max(4, letters // 6 // SHARD_TOKENS)
+        shards = max(16, letters // 6 // SHARD_TOKENS)
     model = Model(common.new_path(spark, "trie"), (shards - 1).bit_length())
     size = 1 << model.bits
     for level in (1, 2, 3):
@@ -484,7 +495,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 for shard, x, y in _slices(i, model.pairs):
                     if has3[shard]:
                         level = _load(model.base, f"3-{shard}")
-                        found = _children(level, i[x:y] - model.pairs[shard], r[x:y])
+                        found, _ = _children(level, i[x:y] - model.pairs[shard], r[x:y])
                         own = np.flatnonzero(found >= 0)
                         hit[x + own] = True
                         logp[x + own] = level["values"][level["codes"][found[own]]]
