@@ -72,7 +72,7 @@ def prepared(spark, folder, kinds, files=None, text=CONFIG, rules=None):
 
 @pytest.fixture(scope="session")
 def frames(spark, tmp_path_factory, kinds):
-    return prepared(spark, tmp_path_factory.mktemp("import"), kinds)
+    return {k: f.cache() for k, f in prepared(spark, tmp_path_factory.mktemp("import"), kinds).items()}
 
 
 def test_dsl_round_trip(kinds):
@@ -116,7 +116,7 @@ def test_load_resume_query_retract(spark, tmp_path, kinds, frames):
     store = Store(spark, str(tmp_path / "store"), kinds)
     some = {k: f for k, f in frames.items() if k != "matrix"}
     with pytest.raises(StoreError, match="3.5"):
-        Store(spark, str(tmp_path / "broken"), kinds).load({"matrix": frames["matrix"]}, "broken")
+        store.load(frames, "broken")
     first = store.load(some, "i1").count()
     assert first > 0 and store.load(some, "i1").count() == 0
     merged = {r._path: r for r in store.table("measurement").collect()}

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from weft.functions import exprs
 from weft.operators import entities, joins, reshape
 from weft.operators.datalog import Views
-from weft.plans.prepare import bad, good
+from weft.plans.prepare import good
 from weft.plans.schema import Schema
 
 MIN_BATCH, MAX_BATCH = 21, 199
@@ -64,35 +64,38 @@ class Store:
     def load(self, frames: Mapping[str, DataFrame], import_name: str, batch: int = entities.BATCH, annotations: bool = True, continue_on_error: bool = False) -> DataFrame:
         """Load prepared frames in stage order; returns the ledger rows it added.
 
-        A record with errors stops the load before anything of its stage is written,
+        A record with errors stops the load before anything is written,
         unless ``continue_on_error``, which loads the good ones.
         """
         if not MIN_BATCH <= batch <= MAX_BATCH:
             raise StoreError(f"a batch has {MIN_BATCH} to {MAX_BATCH} entities")
-        stages = sorted({r._stage for f in frames.values() for r in f.select("_stage").distinct().collect()})
+        found: dict[int, list[str]] = {}
+        for kind, frame in frames.items():
+            wrong = F.size("_errors") > 0
+            first = F.min(F.when(wrong, F.struct("_file", "_line", F.array_join("_errors", "; ").alias("what"))))
+            for r in frame.groupBy("_stage").agg(first.alias("first")).collect():
+                found.setdefault(r._stage, []).append(kind)
+                if r.first is not None and not continue_on_error:
+                    raise StoreError(f"{kind}, {r.first._file}:{r.first._line}: {r.first.what}")
         top = self.ledger().agg(F.max("tx")).first()[0]
         tx = -1 if top is None else top
         added = []
-        for stage in stages:
-            own = {k: f.where(F.col("_stage") == stage) for k, f in frames.items()}
-            if not continue_on_error:
-                for kind, frame in own.items():
-                    wrong = bad(frame).select("_file", "_line", "_errors").head(1)
-                    if wrong:
-                        raise StoreError(f"{kind}, {wrong[0]._file}:{wrong[0]._line}: {'; '.join(wrong[0]._errors)}")
+        for stage in sorted(found):
+            committed = self.ledger().select("tx_id")
             marks = []
-            for kind, frame in own.items():
-                rows = self._batched(kind, good(frame), import_name, batch)
+            for kind in found[stage]:
+                rows = self._batched(kind, good(frames[kind].where(F.col("_stage") == stage)), import_name, batch)
                 if not annotations:
                     rows = rows.withColumns({"_file": F.lit(None).cast("string"), "_line": F.lit(None).cast("long")})
-                rows = rows.join(self.ledger().select("tx_id"), "tx_id", "left_anti")
-                before = self.spark.read.parquet(f"{self.path}/{self._folder(kind)}").select("tx_id").distinct() if self._exists(self._folder(kind)) else None
-                fresh = rows.join(before, "tx_id", "left_anti") if before is not None else rows  # written, but not committed, by a load that broke off
-                fresh.write.mode("append").parquet(f"{self.path}/{self._folder(kind)}")
-                marks.append(rows.groupBy("tx_id").agg(F.min("_dataset").alias("dataset"), F.count("*").alias("n")))
-            found = entities.union_kinds(*marks).collect()
+                rows = rows.join(committed, "tx_id", "left_anti")
+                folder = f"{self.path}/{self._folder(kind)}"
+                if self._exists(self._folder(kind)):  # written, but not committed, by a load that broke off
+                    rows = rows.join(self.spark.read.parquet(folder).select("tx_id").distinct(), "tx_id", "left_anti")
+                rows.write.mode("append").parquet(folder)
+                fresh = self.spark.read.parquet(folder).where((F.col("_import") == import_name) & (F.col("_stage") == stage)).join(committed, "tx_id", "left_anti")
+                marks.append(fresh.groupBy("tx_id").agg(F.min("_dataset").alias("dataset"), F.count("*").alias("n")))
             entries = []
-            for r in sorted(found, key=lambda r: r.tx_id):
+            for r in sorted(entities.union_kinds(*marks).collect(), key=lambda r: r.tx_id):
                 tx += 1
                 entries.append((r.tx_id, import_name, r.dataset, stage, tx, r.n, True))
             if entries:
