@@ -46,7 +46,7 @@ def empty(spark):
 
 @pytest.fixture(scope="session")
 def labels(spark, rows):
-    known = [(r[0], int("!!" not in (r[1] or "")), int("idiot" in (r[1] or "")), "clash") for r in rows if r[0] is not None and r[0] < 160]
+    known = [(r[0], int("!!" not in (r[1] or "")), int("trash" in (r[1] or "")), "clash") for r in rows if r[0] is not None and r[0] < 160]
     return spark.createDataFrame([*known, (5, None, None, None), (None, 1, 1, None), (99999, 1, 1, None)], LABELS)
 
 

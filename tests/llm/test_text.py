@@ -71,7 +71,7 @@ def test_quality_learns_the_junk(docs, labels, rows):
 
 
 def test_passages_do_not_depend_on_neighbours():
-    texts = ["", "A b. c", "x " * 500, "é|é|é", " lead and trail  ", "w" * 70]
+    texts = ["", "  \n", "A b. c", "x " * 500, "", " ", "é|é|é", " lead and trail  ", "w" * 70]
     data, bounds = common.utf8(pa.array(texts))
     together, first = quality.passages(data, bounds)
     for k, text in enumerate(texts):

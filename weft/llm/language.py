@@ -59,6 +59,7 @@ def cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     three = (two ^ (third * np.uint32(0x27D4EB2F))) * np.uint32(0x165667B1)
     out = np.stack([one >> 16, two >> 16, three >> 16], 1)
     out[(codes == 32) & (second == 32)] = 0  # runs of spaces say nothing; cell 0 weighs nothing
+    out[first[1:] - 1] = 0  # nor does a row's last space, which the next row's letters follow
     return out.astype(np.int32), first
 
 

@@ -52,22 +52,20 @@ def passages(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     first = np.concatenate(([0], np.cumsum(n)))
     total = int(first[-1])
     out = np.zeros((total, N_FEATURES))
-    if not len(starts):
-        return out, first
     text_of = np.repeat(np.arange(len(words)), words)
     nth = np.arange(len(starts)) - rows[text_of]
     owner = first[text_of] + nth // WORDS
-    # bytes belong to the passage of the last word that began at or before them; what precedes a text's first word to its first passage
-    begins = np.flatnonzero(np.diff(owner, prepend=-1))
-    marks = np.zeros(len(data) + 1, np.int64)
-    at = np.where(nth[begins] == 0, bounds[text_of[begins]], starts[begins])
-    marks[at] = np.diff(owner[begins], prepend=0)
-    passage = np.cumsum(marks[:-1])
+    # a text's bytes belong to its first passage, and from the first word of a later one on to that
+    later = np.flatnonzero((nth % WORDS == 0) & (nth > 0))
+    begins, which = np.concatenate((bounds[:-1], starts[later])), np.concatenate((first[:-1], owner[later]))
+    order = np.lexsort((which, begins))
+    passage = np.repeat(which[order], np.diff(np.append(begins[order], len(data))))
     classes = np.bincount(passage * 16 + _CLASS_OF[data], minlength=total * 16).reshape(total, 16)
     size = np.maximum(classes.sum(1), 1)
     out[:, :16] = classes / size[:, None]
     hashes = common.hash_words(data, starts, ends)
-    count = np.maximum(np.bincount(owner, minlength=total), 1)
+    held = np.bincount(owner, minlength=total)
+    count = np.maximum(held, 1)
     lengths = ends - starts
 
     def per_word(x: np.ndarray) -> np.ndarray:
@@ -93,7 +91,7 @@ def passages(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     out[:, 22] = per_word(last == 7)
     out[:, 23] = per_word((last == 8) | (last == 11))
     out[:, 24] = per_word(lengths == 1)
-    out[:, 25] = np.log1p(count) / np.log1p(WORDS)
+    out[:, 25] = np.log1p(held) / np.log1p(WORDS)
     return out, first
 
 
