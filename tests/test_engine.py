@@ -193,3 +193,29 @@ def test_files_that_arrive_later(spark, tmp_path):
         (tmp_path / "in" / f"{k}.tsv").write_text(f"id\n{k}\n")
         incremental.available_now(spark, str(tmp_path / "in"), "id string", str(tmp_path / "cp"), lambda df, _: seen.extend(r.id for r in df.collect()))
     assert seen == ["0", "1"]
+
+
+def test_command_line(tmp_path, capsys):
+    from weft import cli
+
+    (tmp_path / "s.edn").write_text(DSL)
+    assert cli.main(["compile-schema", "--schema", str(tmp_path / "s.edn"), "--output", str(tmp_path / "s.json")]) == 0
+    assert cli.read_schema(str(tmp_path / "s.json")).kinds == cli.read_schema(str(tmp_path / "s.edn")).kinds
+    assert cli.main(["infer-metaschema", "--schema", str(tmp_path / "s.json"), "--output", str(tmp_path / "m.json")]) == 0
+    assert '"therapy/regimen": "regimen"' in (tmp_path / "m.json").read_text()
+    (tmp_path / "w" / "db1").mkdir(parents=True)
+    assert cli.main(["list-dbs", "--warehouse", str(tmp_path / "w")]) == 0 and "db1" in capsys.readouterr().out
+
+
+def test_queries_that_are_refused(spark):
+    from weft.operators.datalog import QueryError, Views
+
+    views = Views({"a": (spark.createDataFrame([(1, 2), (2, 3)], "id int, b int"), "id")})
+    assert views.scalar({"find": [["count", "?x"]], "where": [["?x", "a/b", "_"]]}) == 2
+    assert views.row({"find": ["?x", "?y"], "where": [["?x", "a/b", "?y"], [["=", "?y", 3]]]}) == (2, 3)
+    for where in ([["?x", "c/b", "?y"]], [["?x", "a/z", "?y"]], [["?x", "a/b", "?y"], ["?z", "a/b", "?w"]], [[">", "?x", 1]], [["?x", "a/b", "?y"], [["~", "?y", 1]]], []):
+        with pytest.raises(QueryError):
+            views.q({"find": ["?x"], "where": where})
+    rules = [[["up", "?x", "?y"], ["up", "?y", "?x"]]]
+    with pytest.raises(QueryError):
+        views.q({"find": ["?x"], "in": ["%"], "where": [["up", "?x", "?y"]]}, rules)

@@ -8,7 +8,10 @@ A query is a mapping (JSON or the like)::
 ``find`` takes variables and aggregates (``count``, ``count-distinct``, ``min``,
 ``max``, with an optional result name).  Inputs are scalars, collections, relations and
 rules (``%``).  Bindings are a set: results are distinct over the found and ``with``
-variables before anything is counted.  An attribute that holds many values binds each
+variables before anything is counted.  ``["pull", "?e", ["name", {"region": ["name"]}]]``
+in ``find`` gives an entity's attributes as a struct, with those of an entity it refers
+to nested once; ``["*"]`` pulls all.  ``scalar``, ``column`` and ``row`` fetch the results
+of queries that find one value, one column or one row.  An attribute that holds many values binds each
 of them.  Anything else is refused with an error.
 
 Each kind is one table, so patterns of one entity variable and kind read the table
@@ -183,9 +186,12 @@ class Views:
                 frames.append(F.broadcast(spark.createDataFrame([tuple(v) for v in value], list(name[0])).distinct()))
             else:
                 raise QueryError(f"not an input: {name!r}")
-        solved = self._solve(query["where"], rules, self._inputs_last(frames))
-        plain = [f for f in query["find"] if is_variable(f)]
-        aggregates = [f for f in query["find"] if not is_variable(f)]
+        solved = self._solve(query["where"], rules, frames)
+        pulls = [f for f in query["find"] if isinstance(f, (list, tuple)) and f and f[0] == "pull"]
+        plain = [f if is_variable(f) else f[1] for f in query["find"] if is_variable(f) or f in pulls]
+        aggregates = [f for f in query["find"] if not is_variable(f) and f not in pulls]
+        if pulls and aggregates:
+            raise QueryError("pull and aggregates in one find")
         for f in aggregates:
             if not isinstance(f, (list, tuple)) or len(f) not in (2, 3) or f[0] not in _AGGREGATES or not is_variable(f[1]):
                 raise QueryError(f"not an aggregate: {f!r}")
@@ -195,10 +201,47 @@ class Views:
             raise QueryError(f"unbound in find or with: {absent}")
         bindings = solved.select(*[F.col(f"`{v}`").alias(v[1:]) for v in needed]).distinct()
         if not aggregates:
-            return bindings.select(*[F.col(f"`{v[1:]}`") for v in plain]).distinct()
+            out = bindings.select(*[F.col(f"`{v[1:]}`") for v in plain]).distinct()
+            for pull in pulls:
+                out = self._pulled(out, query["where"], *pull[1:])
+            return out
         made = [_AGGREGATES[f[0]](F.col(f"`{f[1][1:]}`")).alias(f[2] if len(f) == 3 else f"{f[0]}_{f[1][1:]}") for f in aggregates]
         return bindings.groupBy(*[f"`{v[1:]}`" for v in plain]).agg(*made)
 
-    @staticmethod
-    def _inputs_last(frames: list[DataFrame]) -> list[DataFrame]:
-        return frames
+    def _pulled(self, out: DataFrame, where: Sequence[object], variable: str, wanted: Sequence[object]) -> DataFrame:
+        """Replace an entity variable's column by a struct of its attributes."""
+        name = variable[1:]
+        kinds = {_plain(str(c[1])).partition("/")[0] for c in where if isinstance(c, (list, tuple)) and len(c) >= 2 and c[0] == variable and isinstance(c[1], str)}
+        if len(kinds) != 1:
+            raise QueryError(f"pull needs {variable} to be of one kind, not {sorted(kinds)}")
+        table, key = self.kinds[kinds.pop()]
+        parts, joined = [], table
+        for item in table.columns if list(wanted) == ["*"] else wanted:
+            if isinstance(item, Mapping):
+                ((attribute, inner),) = item.items()
+                attribute = _plain(str(attribute)).rpartition("/")[2]
+                target = self.kinds.get(attribute)
+                if target is None or attribute not in table.columns:
+                    raise QueryError(f"{attribute!r} names no kind to nest")
+                other = target[0].select(F.col(target[1]).alias(f"_k_{attribute}"), F.struct(*[_plain(str(a)).rpartition("/")[2] for a in inner]).alias(f"_n_{attribute}"))
+                joined = joined.join(other, F.col(attribute) == F.col(f"_k_{attribute}"), "left")
+                parts.append(F.col(f"_n_{attribute}").alias(attribute))
+            else:
+                parts.append(F.col(_plain(str(item)).rpartition("/")[2]))
+        pulled = joined.select(F.col(key).alias("_pull_key"), F.struct(*parts).alias("_pull"))
+        rest = [c for c in out.columns if c != name]
+        return out.join(pulled, F.col(f"`{name}`") == F.col("_pull_key")).select(*rest, F.col("_pull").alias(name))
+
+    def scalar(self, query: Mapping[str, object] | str, *inputs: object) -> object:
+        """The one value that a query finds; None where it finds nothing."""
+        found = self.q(query, *inputs).head(1)
+        return found[0][0] if found else None
+
+    def row(self, query: Mapping[str, object] | str, *inputs: object) -> tuple | None:
+        found = self.q(query, *inputs).head(1)
+        return tuple(found[0]) if found else None
+
+    def column(self, query: Mapping[str, object] | str, *inputs: object) -> DataFrame:
+        """The first column that a query finds."""
+        found = self.q(query, *inputs)
+        return found.select(found.columns[0]).distinct()

@@ -146,6 +146,19 @@ class Store:
     def contains(self, tx_id: str) -> bool:
         return bool(self.ledger().where(F.col("tx_id") == tx_id).head(1))
 
+    def install_seed(self, kind: str, frame: DataFrame, count: int, name: str) -> bool:
+        """Load prepared seed entities unless at least ``count`` are stored; says whether it loaded."""
+        stored = self.table(kind)
+        if stored is not None and stored.count() >= count:
+            return False
+        self.load({kind: frame}, name)
+        return True
+
+    def head(self) -> dict[str, object] | None:
+        """The latest committed batch."""
+        found = self.ledger().orderBy(F.desc("tx")).head(1)
+        return found[0].asDict() if found else None
+
     # -- history ------------------------------------------------------------------------
 
     def retract(self, dataset: str) -> int:

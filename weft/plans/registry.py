@@ -549,3 +549,31 @@ def datalog_rules(spark, sf_dir):
     rules = [[["lies-in", "?n", "?rn"], ["?n", "nation/region", "?r"], ["?r", "region/name", "?rn"]]]
     found = {"find": ["?rn", ["max", "?nn", "top"]], "in": ["%", [["?rn"]]], "where": [["lies-in", "?n", "?rn"], ["?n", "nation/name", "?nn"]]}
     return _store(spark, sf_dir).q(found, rules, [("ASIA",), ("EUROPE",)])
+
+
+@query("SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey > 3")
+def datalog_pull(spark, sf_dir):
+    found = {"find": [["pull", "?n", ["name", {"region": ["name"]}]]], "where": [["?n", "nation/id", "?k"], [[">", "?k", 3]]]}
+    return _store(spark, sf_dir).q(found).select("n.name", F.col("n.region.name").alias("region"))
+
+
+@query("SELECT max(o_orderkey) AS top, min(o_orderkey) AS low, count(DISTINCT o_custkey) AS customers FROM orders WHERE o_orderpriority = '1-URGENT'")
+def datalog_aggregates(spark, sf_dir):
+    find = [["max", "?k", "top"], ["min", "?k", "low"], ["count-distinct", "?c", "customers"]]
+    return _store(spark, sf_dir).q({"find": find, "where": [["?o", "order/id", "?k"], ["?o", "order/customer", "?c"], ["?o", "order/priority", "1-URGENT"]]})
+
+
+@query("SELECT c_custkey AS id, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS orders, max(o_orderdate) AS last FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def upsert_many(spark, sf_dir):
+    """Many-valued attributes gather what all rows of a key bring; single ones keep the last."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.array("o_orderkey").alias("orders"), F.col("o_orderdate").alias("last"))
+    return entities.upsert_merge(rows, ["id"], ["last"], ["orders"], ["last"]).select("id", text("orders").alias("orders"), "last")
+
+
+@query("SELECT event_type AS name, count(*) AS rows, 0 AS missing FROM events GROUP BY 1")
+def seed_counts(spark, sf_dir):
+    """Whether each seed is there in full: what is stored against what is wanted."""
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"))
+    stored = events.groupBy("name").agg(F.count("*").alias("rows"))
+    wanted = events.groupBy(F.col("name").alias("_name")).agg(F.count("*").alias("wanted"))
+    return stored.join(wanted, F.col("name") == F.col("_name")).select("name", "rows", F.greatest(F.col("wanted") - F.col("rows"), F.lit(0)).cast("int").alias("missing"))
