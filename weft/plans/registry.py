@@ -165,11 +165,11 @@ def omit_if_na_any(spark, sf_dir):
     return reshape.omit_na(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *flags), flags, "*")
 
 
-@query("""SELECT p_partkey, w, CASE WHEN lower(w) IN ('true', 'false') THEN lower(w) = 'true' END AS flag
+@query("""SELECT p_partkey, w, CASE WHEN lower(w) IN ('true', 'false') THEN lower(w) END AS flag
 FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'false' WHEN 2 THEN 'yes' ELSE '1' END AS w FROM part)""")
 def bool_strict(spark, sf_dir):
     word = F.element_at(F.array(*map(F.lit, ("TRUE", "false", "yes", "1"))), (F.col("p_size") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", word.alias("w")).withColumn("flag", exprs.to_boolean(F.col("w")))
+    return table(spark, sf_dir, "part").select("p_partkey", word.alias("w")).withColumn("flag", exprs.to_boolean(F.col("w")).cast("string"))
 
 
 @query("""SELECT w, count(*) AS n, CASE WHEN regexp_full_match(w, '[+-]?[0-9]+') THEN try_cast(w AS BIGINT) END AS number
