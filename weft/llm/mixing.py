@@ -37,7 +37,7 @@ GOLDEN = 0.6180339887498949
 BLOCK_WORDS = 1024
 SLOTS_A_SOURCE = 500
 #: Rows that one window range holds, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_096
 _WORD = "[^\\x20\\x09-\\x0D]++"
 _BEFORE = (W.unboundedPreceding, -1)
 
