@@ -251,6 +251,51 @@ def test_language_model_smoothing(spark):
         assert abs(found[i] - want) < 0.02 * len(s), (t, found[i], want)
 
 
+def test_language_model_query_keeps_every_ngram(spark, tmp_path):
+    """Pairs and triples that occur once are in the query's trie, and score like plain dictionaries."""
+    texts = {i: f"w{i % 7} x{i % 5} y{i % 3} z{i} w{i % 4} v{i}" for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in registry.queries()["op3_lm"](spark, str(tmp_path)).collect()}
+    seqs = [[None, *texts[i].split(), None] for i, r in found.items() if not r.held_out]
+    c1, c2, c3 = collections.Counter(), collections.Counter(), collections.Counter()
+    for s in seqs:
+        c1.update(s[1:])
+        c2.update(zip(s, s[1:], strict=False))
+        c3.update(zip(s, s[1:], s[2:], strict=False))
+    assert 1 in c2.values() and 1 in c3.values()
+    learnt = docs.where(F.col("doc_id").isin([i for i, r in found.items() if not r.held_out]))
+    model = lm.fit(learnt, least=1)
+    assert model.pairs[-1] == len(c2) and model.triples.sum() == len(c3)
+    one = lm.fit(learnt, shards=1, least=1)
+
+    def discount(counts):
+        of = collections.Counter(counts.values())
+        return min(max(of[1] / (of[1] + 2 * of[2]), 0.1), 0.95) if of[1] else 0.5
+
+    d2, d3 = discount(c2), discount(c3)
+    left2, left3 = collections.defaultdict(lambda: 1.0), collections.defaultdict(lambda: 1.0)
+    for (u, _), n in c2.items():
+        left2[u] -= (n - d2) / c1[u]
+    for (u, v, _), n in c3.items():
+        left3[u, v] -= (n - d3) / c2[u, v]
+
+    def p2(u, w):
+        return (c2[u, w] - d2 if c2[u, w] else 0) / max(c1[u], 1) + left2[u] * (c1[w] + 1) / (sum(c1.values()) + len(c1) + 1)
+
+    def p3(u, v, w):
+        return (c3[u, v, w] - d3 if c3[u, v, w] else 0) / max(c2[u, v], 1) + left3[u, v] * p2(v, w)
+
+    assert math.isclose(sum(p3(None, "w1", w) for w in [*c1, "unseen"]), 1)
+    for r in lm.score(docs, one).collect():
+        s = [None, *texts[r.id].split(), None]
+        want = math.log10(p2(None, s[1])) + sum(math.log10(p3(*x)) for x in zip(s, s[1:], s[2:], strict=False))
+        assert abs(r.score - want) < 0.02 * len(s)
+    # the query's own scores are the whole model's, not the pruned one's
+    whole = {r.id: r.score for r in lm.score(docs, model).collect()}
+    assert all(math.isclose(r.score, whole[i], abs_tol=1e-6) for i, r in found.items())
+
+
 def test_pieces_against_the_library(spark, docs, rows):
     sentencepiece = pytest.importorskip("sentencepiece")
     import public_tokenizers

@@ -17,9 +17,10 @@ block of texts at once.
 
 Smoothing is interpolated absolute discounting over the add-one unigram base; discounts
 come from each shard's counts of counts.  An n-gram of two or three words is kept if it
-occurs ``MIN_COUNT`` times and its parts are kept, so the weight that pruned n-grams
+occurs ``least`` times and its parts are kept, so the weight that pruned n-grams
 leave goes to the shorter context and every distribution sums to one.  Levels are
 counted one after the other, so only n-grams whose parts are kept are ever counted.
+The query keeps every n-gram (``least`` is 1); ``fit`` alone prunes below ``MIN_COUNT``.
 
 Counts cover all learning texts.  A shard is sized by the number of tokens, so its
 building takes bounded memory; a retried task writes the same file again.  Nulls and
@@ -44,6 +45,7 @@ from pyspark.sql import functions as F
 from weft.llm import common
 from weft.llm.eliasfano import EliasFano, pack, unpack
 
+#: Occurrences that an n-gram needs, where the caller says nothing else.
 MIN_COUNT = 2
 #: Tokens of the corpus for each shard, about.
 SHARD_TOKENS = 2_500_000
@@ -61,6 +63,7 @@ _NONE = -1
 class Model:
     base: str
     bits: int  # shards are the hash's first bits
+    least: int = MIN_COUNT  # occurrences that an n-gram needs
     words: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # first word id of each shard, and their number
     pairs: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # first pair of each shard, and their number
     triples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # triples in each shard
@@ -214,7 +217,7 @@ class _Block:
 
     def look_up_pairs(self) -> None:
         """``number, rank, logp`` of the pair that ends at each token (-1: none)."""
-        at, keys, which = self.pairs(MIN_COUNT)
+        at, keys, which = self.pairs(self.model.least)
         number, rank, logp = _pair_ids(self.model, (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
         n = len(self.id)
         self.number, self.rank, self.logp2 = np.full(n, _NONE, np.int64), np.full(n, _NONE, np.int64), np.zeros(n)
@@ -293,7 +296,7 @@ def _count(model: Model, level: int):
                     continue
                 block.identify()
                 if level == 2:
-                    _, keys, which = block.pairs(MIN_COUNT)
+                    _, keys, which = block.pairs(model.least)
                     parent, child, offsets = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF), model.words
                 else:
                     block.look_up_pairs()
@@ -318,12 +321,12 @@ def _quantised(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes.astype(np.uint8), means.astype(np.float32)
 
 
-def _level(parents: int, key: np.ndarray, n: np.ndarray, totals, lower) -> dict | None:
+def _level(least: int, parents: int, key: np.ndarray, n: np.ndarray, totals, lower) -> dict | None:
     """One shard of level 2 or 3 from all its n-grams: pruned, smoothed, quantised."""
     once, twice = int((n == 1).sum()), int((n == 2).sum())
     discount = once / (once + 2 * twice) if once else 0.5
     discount = min(max(discount, 0.1), 0.95)
-    kept = n >= MIN_COUNT
+    kept = n >= least
     key, n = key[kept], n[kept]
     if not len(key):
         return None
@@ -379,7 +382,7 @@ def _build_one(model: Model, level: int, shard: int, key: np.ndarray, n: np.ndar
                 counts[a:b] = (sums.get(at + 1) - sums.get(at)).astype(np.int64)
             return np.log10((counts + 1) / everything)[which]
 
-        return _level(int(model.words[shard + 1] - model.words[shard]), key, n, totals, lower)
+        return _level(model.least, int(model.words[shard + 1] - model.words[shard]), key, n, totals, lower)
 
     own = _load(model.base, f"2-{shard}")
 
@@ -400,7 +403,7 @@ def _build_one(model: Model, level: int, shard: int, key: np.ndarray, n: np.ndar
             out[rows] = held["values"][held["codes"][at]]
         return out
 
-    return _level(int(model.pairs[shard + 1] - model.pairs[shard]), key, n, totals3, lower3)
+    return _level(model.least, int(model.pairs[shard + 1] - model.pairs[shard]), key, n, totals3, lower3)
 
 
 def _build(model: Model, level: int):
@@ -429,17 +432,18 @@ def _build(model: Model, level: int):
     return run
 
 
-def fit(docs: DataFrame, keep=None, shards: int | None = None) -> Model:
+def fit(docs: DataFrame, keep=None, shards: int | None = None, least: int = MIN_COUNT) -> Model:
     """Build the trie from all texts (``keep``: a condition on ``doc_id``) in the shared folder.
 
-    ``shards`` is rounded up to a power of two; by default it follows the corpus.
+    ``shards`` is rounded up to a power of two; by default it follows the corpus.  With
+    ``least`` 1 every n-gram is kept.
     """
     spark = docs.sparkSession
     texts = (docs if keep is None else docs.where(keep)).select("text")
     if shards is None:
         letters = docs.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
         shards = max(16, letters // 6 // SHARD_TOKENS)
-    model = Model(common.new_path(spark, "trie"), (shards - 1).bit_length())
+    model = Model(common.new_path(spark, "trie"), (shards - 1).bit_length(), least)
     size = 1 << model.bits
     for level in (1, 2, 3):
         counted = texts.mapInArrow(_count(model, level), "shard int, key long, n long")
@@ -513,7 +517,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def op3_lm(spark, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
-    model = fit(docs, common.fold("doc_id", 7) != 2)
+    model = fit(docs, common.fold("doc_id", 7) != 2, least=1)
     return score(docs, model).select(
         F.col("id").alias("doc_id"), (common.fold("id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
