@@ -128,3 +128,24 @@ def test_secrets_of_messy_rows(docs, empty, rows):
     assert [(s.kind, s.start, s.end) for s in spans] == [("assign", 0, 41), ("hex", 9, 41)]
     assert all(not r.spans for r in found if r.id in (200, 201, 202, 203))
     assert secrets.scan(empty, secrets.fit(empty)).count() == 0
+
+
+@pytest.mark.parametrize("n, rows", [(60, secrets.FIT_ROWS), (6000, 4000)])
+def test_bare_tokens_are_reported(spark, n, rows):
+    """On a table that is its own sample, and on one larger than the sample with many ordinary candidates."""
+    rng = np.random.default_rng(n)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    parts = ["heit", "keit", "an", "ber", "sch", "Der", "ung", "ein", "lich", "the", "ist", "re"]
+    texts, want = [], {}
+    for i in range(n):
+        lead = " ".join("".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(30)) + f" in {1900 + i % 120}. "
+        token = "".join(rng.choice(letters, 24))
+        long = ["".join(rng.choice(parts, 7)), "www." + "".join(rng.choice(parts, 4)) + ".example/" + "".join(rng.choice(parts, 2)), str(rng.integers(10**15, 10**16))]
+        said = f'token = "{token}"' if i % 4 == 0 else token if i % 4 == 1 else long[i % 3]
+        texts.append((i, f"{lead}{said} end"))
+        want[i] = [(len(lead), len(lead) + 24)] if i % 4 == 1 else []
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {r.id: [(s.start, s.end) for s in r.spans if s.kind == secrets.ADDED] for r in secrets.scan(docs, secrets.fit(docs, rows)).collect()}
+    bare = [i for i in want if want[i]]
+    assert sum(found[i] == want[i] for i in bare) >= 0.95 * len(bare)
+    assert all(not found[i] for i in want if not want[i])

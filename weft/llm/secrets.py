@@ -6,8 +6,12 @@ into a probabilistic automaton by merging states whose futures don't differ
 significantly (ALERGIA: Carrasco and Oncina 1994).  Every other run of 16 or more
 credential characters is a candidate; its score is the log-likelihood of its format
 under the best automaton less that under a first-order model of ordinary runs.
-Candidates above the threshold, which lies above the scores of ordinary runs, are
-reported beside the base spans, which always stay.
+Candidates whose score is above ``MARGIN`` are reported beside the base spans, which
+always stay.
+
+Unlabelled candidates may be credentials, so they don't set the threshold, nor are they
+all taken for ordinary.  Ordinary runs are the shorter ones, and those candidates that
+are not above the margin against a model of the shorter ones alone.
 
 Characters are seen as classes (digit, a-f, g-z, A-F, G-Z, each mark), since inside a
 class a credential's letters are as good as random; class members are equally likely in
@@ -49,6 +53,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # a run of fewer than 24 is never a match, so runs need no filter
 _WORDS = ("passw", "secret", "token", "api")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % CANDIDATE)
+_SHORT = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{1,%d}(?![A-Za-z0-9+/_.=-])" % (CANDIDATE - 1))
 _CLASSES = str.maketrans(
     "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0" * 10 + "a" * 6 + "g" * 20 + "A" * 6 + "G" * 20
 )
@@ -68,10 +73,10 @@ def base_spans(text: str) -> list[tuple[int, str, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
-def candidates(text: str, spans: list[tuple[int, str, int, str]]) -> Iterator[tuple[int, int, str]]:
+def candidates(text: str, spans: list[tuple[int, str, int, str]], runs: re.Pattern = _RUN) -> Iterator[tuple[int, int, str]]:
     """Runs of credential characters that no base span touches."""
     taken = [(a, b) for a, _, b, _ in spans]
-    for m in _RUN.finditer(text):
+    for m in runs.finditer(text):
         a, b = m.span()
         if not any(x < b and a < y for x, y in taken):
             yield a, b, m[0].translate(_CLASSES)
@@ -164,21 +169,31 @@ class Automaton:
 
 
 class Ordinary:
-    """First-order model of the class runs of ordinary text."""
+    """First-order model of the class runs of ordinary text: of counted pairs, and of whole candidates.
+
+    Shorter runs say nothing of where a candidate ends, so its length has a model of its own.
+    """
 
-    def __init__(self, values: Counter) -> None:
+    def __init__(self, short: Counter, values: Counter) -> None:
         pairs, firsts = defaultdict(float), defaultdict(float)
+        for (a, b), n in short.items():
+            pairs[a, b] += n
+            firsts[a] += n
         for value, n in values.items():
-            for a, b in zip("^" + value, value + "$", strict=True):
+            for a, b in zip("^" + value, value, strict=False):
                 pairs[a, b] += n
                 firsts[a] += n
         self.pairs = {k: math.log((v + 0.5) / (firsts[k[0]] + 8)) for k, v in pairs.items()}
         self.rest = {a: math.log(0.5 / (n + 8)) for a, n in firsts.items()}
         self.new = math.log(1 / 16)
+        ends = values.total() + 1
+        more = sum((len(v) - CANDIDATE) * n for v, n in values.items()) + CANDIDATE
+        self.stop, self.go = math.log(ends / (ends + more)), math.log(more / (ends + more))
 
     def score(self, value: str) -> float:
         pairs, rest = self.pairs, self.rest
-        return sum(pairs[a, b] if (a, b) in pairs else rest.get(a, self.new) for a, b in zip("^" + value, value + "$", strict=True))
+        inside = sum(pairs[a, b] if (a, b) in pairs else rest.get(a, self.new) for a, b in zip("^" + value, value, strict=False))
+        return inside + self.go * max(len(value) - CANDIDATE, 0) + self.stop
 
 
 @dataclass
@@ -192,14 +207,19 @@ class Model:
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Class runs of each kind's credentials and of ordinary candidates, counted by partition."""
+    """Class runs of each kind's credentials and of candidates, and pairs of classes in shorter runs, counted by partition."""
     found: dict[str, Counter] = defaultdict(Counter)
+    short: Counter = Counter()
     for batch in batches:
         for text in batch.column("text").to_pylist():
             spans = base_spans(text or "")
             for _, kind, _, value in spans:
                 found[kind][value.translate(_CLASSES)] += 1
             found[""].update(v for _, _, v in candidates(text or "", spans))
+            short.update(v for _, _, v in candidates(text or "", spans, _SHORT))
+    for value, n in short.items():
+        for a, b in zip("^" + value, value, strict=False):
+            found["short"][a + b] += n
     rows = [(k, v, n) for k, own in found.items() for v, n in own.items()]
     yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.string(), pa.string(), pa.int64()), strict=True)], ["kind", "value", "n"])
 
@@ -219,10 +239,9 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS, values: int = FIT_VALUES) -> Mode
         drawn = [v for v, n in sorted(by_kind[kind].items()) for _ in range(min(n, values))][: 4 * values]
         if drawn:
             automata[kind] = Automaton(drawn)
-    model = Model(automata, Ordinary(by_kind[""]), MARGIN)
-    if automata and by_kind[""]:
-        scores = sorted(model.score(v) for v in by_kind[""])
-        model.threshold = max(MARGIN, scores[min(len(scores) - 1, int(len(scores) * 0.999))])
+    model = Model(automata, Ordinary(by_kind["short"], Counter()), MARGIN)
+    ordinary = Counter({v: n for v, n in by_kind[""].items() if model.score(v) <= MARGIN})
+    model.ordinary = Ordinary(by_kind["short"], ordinary)
     return model
 
 
