@@ -219,3 +219,35 @@ def test_queries_that_are_refused(spark):
     rules = [[["up", "?x", "?y"], ["up", "?y", "?x"]]]
     with pytest.raises(QueryError):
         views.q({"find": ["?x"], "in": ["%"], "where": [["up", "?x", "?y"]]}, rules)
+
+
+def test_largest_and_smallest_values(spark):
+    from weft.operators.datalog import QueryError, Views
+
+    views = Views({"a": (spark.createDataFrame([(1, 2, "x"), (2, 3, "x"), (3, 9, "x"), (4, 5, "y")], "id int, b int, c string"), "id")})
+    where = [["?e", "a/b", "?b"], ["?e", "a/c", "?c"]]
+    found = views.q({"find": ["?c", ["max", 2, "?b"], ["count", "?b", "n"], ["min", 2, "?b", "low"]], "where": where})
+    assert found.columns == ["c", "max_b", "n", "low"]
+    assert sorted(map(tuple, found.collect())) == [("x", [9, 3], 3, [2, 3]), ("y", [5], 1, [5])]
+    assert [tuple(r) for r in views.q({"find": [["max", 1, "?b"]], "where": where}).collect()] == [([9],)]
+    with pytest.raises(QueryError):
+        views.q({"find": [["max", 0, "?b"]], "where": where})
+
+
+def test_prepare_resumes(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from weft import cli
+
+    (tmp_path / "s.edn").write_text(DSL)
+    args = ["prepare", "--schema", str(tmp_path / "s.edn"), "--config", "c", "--output", str(tmp_path / "out")]
+
+    def run(value, *more):
+        monkeypatch.setattr(cli, "planned", lambda *a: SimpleNamespace(prepare=lambda: {k: spark.range(value, value + 1) for k in ("p", "q")}))
+        assert cli.main([*args, *more]) == 0
+        return [spark.read.parquet(str(tmp_path / "out" / k)).first().id for k in ("p", "q")]
+
+    assert run(1) == [1, 1]
+    (tmp_path / "out" / "q" / "_SUCCESS").unlink()
+    assert run(2, "--resume") == [1, 2]
+    assert run(3) == [3, 3]

@@ -40,6 +40,12 @@ def planned(spark: SparkSession, kinds: schema.Schema, path: str) -> prepare.Pre
     return prepare.Preparer(spark, kinds, plan, mappings)
 
 
+def complete(spark: SparkSession, folder: str) -> bool:
+    """Whether a write to ``folder`` came to its end."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="weft", description=__doc__)
     out.add_argument("task", choices=["compile-schema", "infer-schema", "infer-json-schema", "infer-metaschema", "prepare", "load", "retract", "validate", "crosscheck", "list-dbs", "delete-db"])
@@ -53,6 +59,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--batch-size", type=int, default=entities.BATCH, help=f"{MIN_BATCH} to {MAX_BATCH}")
     out.add_argument("--skip-annotations", action="store_true")
     out.add_argument("--continue-on-error", action="store_true")
+    out.add_argument("--resume", action="store_true", help="prepare: leave kinds that are already written as they are")
     return out
 
 
@@ -83,7 +90,8 @@ def main(argv: list[str] | None = None) -> int:
     kinds = read_schema(args.schema)
     if args.task == "prepare":
         for kind, frame in planned(spark, kinds, args.config).prepare().items():
-            frame.write.mode("overwrite").parquet(f"{args.output}/{kind}")
+            if not (args.resume and complete(spark, f"{args.output}/{kind}")):
+                frame.write.mode("overwrite").parquet(f"{args.output}/{kind}")
         return 0
     store = Store(spark, f"{root}/{args.database}", kinds)
     if args.task == "load":

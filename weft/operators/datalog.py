@@ -6,7 +6,8 @@ A query is a mapping (JSON or the like)::
      "where": [["?e", "kind/attr", "?v"], [[">", "?v", 3]], ["or", [clause, ...], ...], ["not", clause, ...], ["rule", "?x"]]}
 
 ``find`` takes variables and aggregates (``count``, ``count-distinct``, ``min``,
-``max``, with an optional result name).  Inputs are scalars, collections, relations and
+``max``, with an optional result name); ``["max", 3, "?x"]`` and ``["min", 3, "?x"]`` give
+an array of up to three values, the first the best.  Inputs are scalars, collections, relations and
 rules (``%``).  Bindings are a set: results are distinct over the found and ``with``
 variables before anything is counted.  ``["pull", "?e", ["name", {"region": ["name"]}]]``
 in ``find`` gives an entity's attributes as a struct, with those of an entity it refers
@@ -24,7 +25,7 @@ import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +44,24 @@ def is_variable(x: object) -> bool:
     return isinstance(x, str) and x.startswith("?") and len(x) > 1
 
 
+def _is_top(f: object) -> bool:
+    """Whether an item of ``find`` is the top-n form of ``min`` or ``max``."""
+    return (
+        isinstance(f, (list, tuple)) and len(f) in (3, 4) and f[0] in ("min", "max")
+        and isinstance(f[1], int) and not isinstance(f[1], bool) and f[1] > 0 and is_variable(f[2])
+    )
+
+
+def _top(bindings: DataFrame, groups: list[str], name: str, n: int, largest: bool) -> DataFrame:
+    """``_g0..., _top``: the ``n`` best values of each group; no group is held as a whole."""
+    value = F.col(f"`{name}`")
+    rows = bindings.where(value.isNotNull()).select(*[F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(groups)], value.alias("_v"))
+    keys = [f"_g{i}" for i in range(len(groups))]
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_v").desc() if largest else F.col("_v")))
+    best = rows.withColumn("_r", order).where(F.col("_r") <= n)
+    return best.groupBy(*keys).agg(F.sort_array(F.collect_list("_v"), not largest).alias("_top"))
+
+
 def _plain(name: str) -> str:
     return name.lstrip(":")
 
@@ -193,9 +212,11 @@ class Views:
         if pulls and aggregates:
             raise QueryError("pull and aggregates in one find")
         for f in aggregates:
+            if _is_top(f):
+                continue
             if not isinstance(f, (list, tuple)) or len(f) not in (2, 3) or f[0] not in _AGGREGATES or not is_variable(f[1]):
                 raise QueryError(f"not an aggregate: {f!r}")
-        needed = list(dict.fromkeys([*plain, *[f[1] for f in aggregates], *query.get("with", [])]))
+        needed = list(dict.fromkeys([*plain, *[f[2] if _is_top(f) else f[1] for f in aggregates], *query.get("with", [])]))
         absent = [v for v in needed if v not in solved.columns]
         if absent:
             raise QueryError(f"unbound in find or with: {absent}")
@@ -205,8 +226,19 @@ class Views:
             for pull in pulls:
                 out = self._pulled(out, query["where"], *pull[1:])
             return out
-        made = [_AGGREGATES[f[0]](F.col(f"`{f[1][1:]}`")).alias(f[2] if len(f) == 3 else f"{f[0]}_{f[1][1:]}") for f in aggregates]
-        return bindings.groupBy(*[f"`{v[1:]}`" for v in plain]).agg(*made)
+        groups = [v[1:] for v in plain]
+        if not any(map(_is_top, aggregates)):
+            made = [_AGGREGATES[f[0]](F.col(f"`{f[1][1:]}`")).alias(f[2] if len(f) == 3 else f"{f[0]}_{f[1][1:]}") for f in aggregates]
+            return bindings.groupBy(*[f"`{g}`" for g in groups]).agg(*made)
+        names = [f[-1] if len(f) == (4 if _is_top(f) else 3) else f"{f[0]}_{f[2 if _is_top(f) else 1][1:]}" for f in aggregates]
+        made = [_AGGREGATES[f[0]](F.col(f"`{f[1][1:]}`")).alias(f"_a{k}") for k, f in enumerate(aggregates) if not _is_top(f)]
+        out = bindings.groupBy(*[f"`{g}`" for g in groups]).agg(*(made or [F.count("*").alias("_n")]))
+        for k, f in enumerate(aggregates):
+            if _is_top(f):
+                best = _top(bindings, groups, f[2][1:], f[1], f[0] == "max").withColumnRenamed("_top", f"_a{k}")
+                same = [F.col(f"`{g}`").eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)]
+                out = out.join(best, reduce(Column.__and__, same), "left").drop(*[f"_g{i}" for i in range(len(groups))]) if same else out.crossJoin(best)
+        return out.select(*[F.col(f"`{g}`") for g in groups], *[F.coalesce(f"_a{k}", F.array()).alias(n) if _is_top(f) else F.col(f"_a{k}").alias(n) for k, (f, n) in enumerate(zip(aggregates, names, strict=True))])
 
     def _pulled(self, out: DataFrame, where: Sequence[object], variable: str, wanted: Sequence[object]) -> DataFrame:
         """Replace an entity variable's column by a struct of its attributes."""
