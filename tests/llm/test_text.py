@@ -149,3 +149,12 @@ def test_bare_tokens_are_reported(spark, n, rows):
     bare = [i for i in want if want[i]]
     assert sum(found[i] == want[i] for i in bare) >= 0.95 * len(bare)
     assert all(not found[i] for i in want if not want[i])
+
+
+def test_every_format_is_learnt_from():
+    from collections import Counter
+
+    counts = Counter({f"{c}0": 50 for c in "abcdefgh"} | {"z": 1, "y": 20})
+    drawn = Counter(secrets._drawn(counts, 10))
+    assert set(drawn) == set(counts) and drawn.total() <= 40 and drawn["z"] == 1 and len({drawn[f"{c}0"] for c in "abcdefgh"}) == 1
+    assert Counter(secrets._drawn(Counter(a=3, b=1), 10)) == Counter(a=3, b=1)

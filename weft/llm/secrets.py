@@ -224,6 +224,13 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.string(), pa.string(), pa.int64()), strict=True)], ["kind", "value", "n"])
 
 
+def _drawn(counts: Counter, values: int) -> list[str]:
+    """Each of at most ``values`` formats at least once and at most ``values`` times, ``4 * values`` in all; counts are scaled down to that."""
+    counts = {v: min(n, values) for v, n in sorted(counts.items())}
+    more, room = sum(counts.values()) - len(counts), 4 * values - len(counts)
+    return [v for v, n in counts.items() for _ in range(n if more <= room else 1 + (n - 1) * room // more)]
+
+
 def fit(docs: DataFrame, rows: int = FIT_ROWS, values: int = FIT_VALUES) -> Model:
     """Infer the grammars from the credentials of about ``rows`` documents."""
     sample = common.sample_rows(docs.select("doc_id", "text"), "doc_id", rows, seed=8)
@@ -236,7 +243,7 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS, values: int = FIT_VALUES) -> Mode
         by_kind[r.kind][r.value] = r.n
     automata = {}
     for kind in KINDS:
-        drawn = [v for v, n in sorted(by_kind[kind].items()) for _ in range(min(n, values))][: 4 * values]
+        drawn = _drawn(by_kind[kind], values)
         if drawn:
             automata[kind] = Automaton(drawn)
     model = Model(automata, Ordinary(by_kind["short"], Counter()), MARGIN)
