@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weft.llm import components, eliasfano, exact, lm, mixing, pieces, registry, simhash, topk
+from weft.llm import common, components, eliasfano, exact, lm, mixing, pieces, registry, simhash, topk
 
 
 def test_exact_duplicates(docs, empty, rows):
@@ -201,99 +202,94 @@ def test_language_model_against_dictionaries(docs, empty, rows):
     assert model.tokens == n and model.n_words == v
     base = collections.Counter((i, len(s), round(sum(math.log10((c1[w] + 1) / (n + v + 1)) for w in s), 4)) for i, s in seqs)
     assert collections.Counter((r.id, r.n_tokens, round(r.base_score, 4)) for r in found) == base
-    assert all(r.n_known == r.n_tokens for r in found)
+    assert all(r.n_known == r.n_tokens for r in found) and lm.fit(docs).pair_sizes.sum() == len(c2)
     assert sum(r.score for r in found) > sum(r.base_score for r in found)
     nothing = lm.fit(empty)
     assert {r.score for r in lm.score(docs, nothing).collect()} == {0.0}
 
 
-def test_language_model_smoothing(spark):
-    """Scores against the same smoothing in plain dictionaries, which sums to one; only quantisation lies between."""
-    texts = ["a b c a b c a b d", "a b c", "b c a b", "c c a a b b", "a b e", "b d a b c d f"] * 3 + ["x y z", "a"]
-    seqs = [[None, *t.split(), None] for t in texts]
+def brute_language_model(seqs):
+    """The same smoothing in plain dictionaries: the log10 probability of a sequence that begins with None."""
     c1, c2, c3 = collections.Counter(), collections.Counter(), collections.Counter()
     for s in seqs:
         c1.update(s[1:])
         c2.update(zip(s, s[1:], strict=False))
         c3.update(zip(s, s[1:], s[2:], strict=False))
-    all2 = {p: n for p, n in c2.items() if min(c1[p[0]], c1[p[1]]) >= 2}
-    k2 = {p: n for p, n in all2.items() if n >= 2}
-    all3 = {t: n for t, n in c3.items() if t[:2] in k2 and t[1:] in k2}
-    k3 = {t: n for t, n in all3.items() if n >= 2}
 
     def discount(counts):
         of = collections.Counter(counts.values())
         return min(max(of[1] / (of[1] + 2 * of[2]), 0.1), 0.95) if of[1] else 0.5
 
-    d2, d3 = discount(all2), discount(all3)
+    d2, d3 = discount(c2), discount(c3)
     left2, left3 = collections.defaultdict(lambda: 1.0), collections.defaultdict(lambda: 1.0)
-    for (u, _), n in k2.items():
+    for (u, _), n in c2.items():
         left2[u] -= (n - d2) / c1[u]
-    for (u, v, _), n in k3.items():
+    for (u, v, _), n in c3.items():
         left3[u, v] -= (n - d3) / c2[u, v]
 
     def p1(w):
         return (c1[w] + 1) / (sum(c1.values()) + len(c1) + 1)
 
     def p2(u, w):
-        return (k2[u, w] - d2 if (u, w) in k2 else 0) / max(c1[u], 1) + left2[u] * p1(w)
+        return (c2[u, w] - d2 if c2[u, w] else 0) / max(c1[u], 1) + left2[u] * p1(w)
 
     def p3(u, v, w):
-        return (k3[u, v, w] - d3 if (u, v, w) in k3 else 0) / max(c2[u, v], 1) + left3[u, v] * p2(v, w)
-
-    assert math.isclose(sum(p3("a", "b", w) for w in [*c1, "unseen"]), 1)
-    probes = [*texts[:6], "a b unseen", "f f f", "", "unseen a b"]
-    model = lm.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=1)
-    found = {r.id: r.score for r in lm.score(spark.createDataFrame(list(enumerate(probes)), "doc_id long, text string"), model).collect()}
-    for i, t in enumerate(probes):
-        s = [None, *t.split(), None]
-        want = math.log10(p2(None, s[1])) + sum(math.log10(p3(*x)) for x in zip(s, s[1:], s[2:], strict=False))
-        assert abs(found[i] - want) < 0.02 * len(s), (t, found[i], want)
-
-
-def test_language_model_query_keeps_every_ngram(spark, tmp_path):
-    """Pairs and triples that occur once are in the query's trie, and score like plain dictionaries."""
-    texts = {i: f"w{i % 7} x{i % 5} y{i % 3} z{i} w{i % 4} v{i}" for i in range(60)}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r.doc_id: r for r in registry.queries()["op3_lm"](spark, str(tmp_path)).collect()}
-    seqs = [[None, *texts[i].split(), None] for i, r in found.items() if not r.held_out]
-    c1, c2, c3 = collections.Counter(), collections.Counter(), collections.Counter()
-    for s in seqs:
-        c1.update(s[1:])
-        c2.update(zip(s, s[1:], strict=False))
-        c3.update(zip(s, s[1:], s[2:], strict=False))
-    assert 1 in c2.values() and 1 in c3.values()
-    learnt = docs.where(F.col("doc_id").isin([i for i, r in found.items() if not r.held_out]))
-    model = lm.fit(learnt, least=1)
-    assert model.pairs[-1] == len(c2) and model.triples.sum() == len(c3)
-    one = lm.fit(learnt, shards=1, least=1)
-
-    def discount(counts):
-        of = collections.Counter(counts.values())
-        return min(max(of[1] / (of[1] + 2 * of[2]), 0.1), 0.95) if of[1] else 0.5
+        return (c3[u, v, w] - d3 if c3[u, v, w] else 0) / max(c2[u, v], 1) + left3[u, v] * p2(v, w)
 
-    d2, d3 = discount(c2), discount(c3)
-    left2, left3 = collections.defaultdict(lambda: 1.0), collections.defaultdict(lambda: 1.0)
-    for (u, _), n in c2.items():
-        left2[u] -= (n - d2) / c1[u]
-    for (u, v, _), n in c3.items():
-        left3[u, v] -= (n - d3) / c2[u, v]
+    def logp(s):
+        return math.log10(p2(None, s[1])) + sum(math.log10(p3(*x)) for x in zip(s, s[1:], s[2:], strict=False))
 
-    def p2(u, w):
-        return (c2[u, w] - d2 if c2[u, w] else 0) / max(c1[u], 1) + left2[u] * (c1[w] + 1) / (sum(c1.values()) + len(c1) + 1)
+    return logp, p3, (c1, c2, c3)
 
-    def p3(u, v, w):
-        return (c3[u, v, w] - d3 if c3[u, v, w] else 0) / max(c2[u, v], 1) + left3[u, v] * p2(v, w)
 
-    assert math.isclose(sum(p3(None, "w1", w) for w in [*c1, "unseen"]), 1)
-    for r in lm.score(docs, one).collect():
-        s = [None, *texts[r.id].split(), None]
-        want = math.log10(p2(None, s[1])) + sum(math.log10(p3(*x)) for x in zip(s, s[1:], s[2:], strict=False))
-        assert abs(r.score - want) < 0.02 * len(s)
-    # the query's own scores are the whole model's, not the pruned one's
-    whole = {r.id: r.score for r in lm.score(docs, model).collect()}
-    assert all(math.isclose(r.score, whole[i], abs_tol=1e-6) for i, r in found.items())
+def test_language_model_smoothing_is_the_same_for_any_shards(spark):
+    """Scores against plain dictionaries; only rounding lies between, and none between different cuts."""
+    texts = ["a b c a b c a b d", "a b c", "b c a b", "c c a a b b", "a b e", "b d a b c d f"] * 3 + ["x y z", "a", "", " ".join(f"a w{i} a b v{i}" for i in range(40))]
+    logp, p3, (c1, c2, c3) = brute_language_model([[None, *t.split(), None] for t in texts])
+    assert math.isclose(sum(p3("a", "b", w) for w in [*c1, "unseen"]), 1)
+    probes = [*texts[:6], "a b unseen", "f f f", "", "unseen a b", "a w3 a b v7", "a w39 a"]
+    before = None
+    for shard_tokens in (10**6, 40, 7):
+        model = lm.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), shard_tokens=shard_tokens)
+        assert model.pair_sizes.sum() == len(c2) and model.triple_sizes.sum() == len(c3)
+        found = {r.id: r.score for r in lm.score(spark.createDataFrame(list(enumerate(probes)), "doc_id long, text string"), model).collect()}
+        assert before in (None, found)
+        before = found
+        for i, t in enumerate(probes):
+            s = [None, *t.split(), None]
+            assert abs(found[i] - logp(s)) < 0.0006 * len(s), (t, found[i], logp(s))
+    assert len(model.pair_sizes) > 16  # the last cut has words whose successors lie in several shards
+    assert (model.pair_skip > 0).any()
+
+
+def test_language_model_query(spark, sf, rows):
+    """The query's every column, over messy rows, against plain dictionaries."""
+    seqs = [(r[0], [None, *(r[1] or "").encode().lower().split(), None]) for r in rows]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in seqs]
+    logp, _, (c1, _, _) = brute_language_model([s for (_, s), h in zip(seqs, held, strict=True) if not h])
+    n, v = sum(c1.values()), len(c1)
+    result = registry.queries()["op3_lm"](spark, sf)
+    assert [t for _, t in result.dtypes] == ["bigint", "boolean", "bigint", "bigint", "bigint", "double", "double"]
+    found = collections.defaultdict(list)
+    for r in result.collect():
+        found[r.doc_id, r.n_tokens].append(r)
+    for (i, s), h in zip(seqs, held, strict=True):
+        options = found[i, len(s) - 1]
+        assert options
+        base = sum(math.log10((c1[w] + 1) / (n + v + 1)) for w in s[1:])
+        known = sum(c1[w] > 0 for w in s[1:])
+        assert any(r.held_out == h and r.train_tokens == n and r.n_known == known and math.isclose(r.base_score, base, abs_tol=1e-6) and abs(r.score - logp(s)) < 0.0006 * len(s) for r in options)
+
+
+def test_words_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    """With a first hash of four bits: an unseen word isn't taken for a known one, and a corpus whose words collide is refused."""
+    whole = common.hash_words
+    monkeypatch.setattr(lm.common, "hash_words", lambda d, s, e, seed=1: whole(d, s, e, seed) & np.uint64(0xF) if seed < 1000 else whole(d, s, e, seed))
+    model = lm.Model("file:///nowhere", 10, 0, 1)
+    data = np.frombuffer(b"red green blue pink", np.uint8)
+    assert len(lm._Block(model, data, np.array([0, 19])).distinct) <= 17
+    with pytest.raises(ValueError, match="another seed"):
+        lm._merged([[np.array([5, 5], np.uint64), np.array([1, 1]), np.array([1, 2], np.uint32)]], 1)
 
 
 def test_pieces_against_the_library(spark, docs, rows):

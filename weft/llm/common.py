@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,20 +23,11 @@ BLOCK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: Word bytes lower-cased (A-Z only) and moved up by one; white space becomes zero.
-_CODE = np.arange(1, 257, dtype=np.uint64)
-_CODE[ord("A") + 0 : ord("Z") + 1] += 32
-_CODE[_SPACE] = 0
-_BASE = 0x9E3779B97F4A7C15 | 1
-
-
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _BASE, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWERS = _powers(1 << 12)
+#: Bytes lower-cased, A-Z only.
+_LOW = np.arange(256, dtype=np.uint64)
+_LOW[ord("A") : ord("Z") + 1] += 32
+#: Places of a word whose hash values are tabulated; later places are computed.
+_PLACES = 48
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -45,10 +37,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _placed(octets: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
+    """A number for each (byte, place in its word), as good as drawn at random."""
+    return mix(((place.astype(np.uint64) << np.uint64(8)) | _LOW[octets]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xD1342543DE82EF95 % (1 << 64)))
+
+
+@cache
+def _place_table(seed: int) -> np.ndarray:
+    return _placed(np.tile(np.arange(256), _PLACES), np.repeat(np.arange(_PLACES), 256), seed)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a local session gets a folder of its own; on a cluster, whose
+    machines would not see that, it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weft-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -127,18 +135,27 @@ def find_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, bounds)
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, lower-cased A-Z; the same word has the same hash everywhere."""
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+    """64-bit hash of each word, lower-cased A-Z; the same word has the same hash everywhere.
+
+    Each byte in its place has a number of its own and a word's hash is their sum.
+    """
+    table = _place_table(seed)
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
         low = int(starts[at])
         end = max(at + 1, int(np.searchsorted(ends, low + BLOCK_BYTES, "right")))
         first, high = starts[at:end], int(ends[end - 1])
-        lengths = np.diff(np.append(first, high))
-        place = np.arange(high - low, dtype=np.int64) - np.repeat(first - low, lengths)
-        powers = _POWERS if place.max() < len(_POWERS) else _powers(int(place.max()) + 1)
-        out[at:end] = np.add.reduceat(_CODE[data[low:high]] * powers[place], first - low)
+        place = np.arange(high - low, dtype=np.int32) - np.repeat((first - low).astype(np.int32), np.diff(np.append(first, high)))
+        octets = data[low:high]
+        late = np.flatnonzero(place >= _PLACES)
+        place[late] = 0
+        values = table[(place << 8) + octets]
+        if len(late):
+            values[late] = _placed(octets[late], late + low - starts[np.searchsorted(starts, late + low, "right") - 1], seed)
+        values[_SPACE[octets]] = 0
+        out[at:end] = np.add.reduceat(values, first - low)
         at = end
     return mix(out)
 

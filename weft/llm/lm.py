@@ -1,13 +1,14 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 A text is its lower-cased words and one end; the end also stands before its first word.
-The trie has three levels, cut into shards by the hash of an n-gram's first word; each
-shard and level is one file in the shared folder that Python workers map into memory.
+Every n-gram of the learning texts is kept, at three levels cut into shards; each shard
+is a file or two in the shared folder that Python workers map into memory.
 
-* Level 1: the words' 64-bit hashes in order (a word's id is its rank over all shards)
-  and their counts as running sums.
+* Level 1, sharded by hash: the words' 64-bit hashes in order (a word's id is its rank
+  over all shards), a second hash that tells apart words that share the first, and the
+  counts as running sums.
 * Level 2: for each word a monotone pointer to its successors, the successors' ids
-  (made monotone by adding the last value of the range before), running sums of counts,
+  (made monotone by adding the last value of the range before), counts as running sums,
   quantised log-probabilities, and quantised back-off weights.
 * Level 3: the same for pairs, except that a successor w of (u, v) is stored as its rank
   among the successors of v: an id relative to its context, which is a small number.
@@ -15,24 +16,30 @@ shard and level is one file in the shared folder that Python workers map into me
 Look-ups are successor searches in a context's range, made for all distinct n-grams of a
 block of texts at once.
 
-Smoothing is interpolated absolute discounting over the add-one unigram base; discounts
-come from each shard's counts of counts.  An n-gram of two or three words is kept if it
-occurs ``least`` times and its parts are kept, so the weight that pruned n-grams
-leave goes to the shorter context and every distribution sums to one.  Levels are
-counted one after the other, so only n-grams whose parts are kept are ever counted.
-The query keeps every n-gram (``least`` is 1); ``fit`` alone prunes below ``MIN_COUNT``.
-
-Counts cover all learning texts.  A shard is sized by the number of tokens, so its
-building takes bounded memory; a retried task writes the same file again.  Nulls and
-edge cases: a null or empty text is one end; with no learning texts every token has
-probability one; null and repeated ids give one row each.  More than 2^32 distinct
-words raise an error.
+Shards of levels 2 and 3 are equal stretches of the corpus's tokens in the order of
+their n-grams: the n-gram (context, w) lies at the occurrences of all earlier contexts
+plus its own context's times w / words.  A context that holds a third of all tokens is
+thus cut by its successors into as many shards as it fills, and no shard's building
+takes more memory than ``shard_tokens`` occurrences need, whatever the corpus.  Tasks
+take their shards in order and hold one at a time.
+
+Smoothing is interpolated absolute discounting over the add-one unigram base.  A level's
+discount comes from its counts of counts over all shards, and logarithms are rounded to
+one grid, so scores don't depend on how the levels are cut.  Hence two steps a level:
+the first merges counts and writes pointers, ids and running sums; the second, when the
+counts of counts are known, adds probabilities and weights.
+
+Nulls and edge cases: a null or empty text is one end; with no learning texts every token
+has probability one; null and repeated ids give one row each.  More than 2^32 distinct
+words raise an error, as do two words of the corpus that share their first hash (the
+chance of it is n^2 / 2^65; fit again with another ``seed``).
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -45,34 +52,58 @@ from pyspark.sql import functions as F
 from weft.llm import common
 from weft.llm.eliasfano import EliasFano, pack, unpack
 
-#: Occurrences that an n-gram needs, where the caller says nothing else.
-MIN_COUNT = 2
-#: Tokens of the corpus for each shard, about.
-SHARD_TOKENS = 2_500_000
-#: Bytes of text for which n-grams are looked up at once.
-TEXT_BYTES = 6 << 20
-#: Distinct n-grams that a counting task holds before it passes them on.
-HELD = 4_000_000
-LEVELS = 255
-_END = np.uint64(0x51ED270B7F4A7C15)  # the hash that stands for the end
-_TOP = np.uint64(1) << np.uint64(63)
+#: Tokens of the corpus that one shard holds.
+SHARD_TOKENS = 3_000_000
+#: Bytes of text whose n-grams are counted, or looked up, at once.
+TEXT_BYTES = 12 << 20
+#: Shard files that one worker keeps mapped.
+MAPPED = 512
+#: Log-probabilities are rounded to this part of a decade.
+GRID = 2048
+_LAST = (1 << 16) - 1
+_U = np.uint64
+_END = _U(0x51ED270B7F4A7C15)  # the hash that stands for the end
+_LOW32 = _U(0xFFFFFFFF)
 _NONE = -1
 
 
+def _none() -> np.ndarray:
+    return np.zeros(0, np.int64)
+
+
 @dataclass
 class Model:
+    """Where the trie lies and what is known of its shards: a few numbers a shard."""
+
     base: str
-    bits: int  # shards are the hash's first bits
-    least: int = MIN_COUNT  # occurrences that an n-gram needs
-    words: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # first word id of each shard, and their number
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # first pair of each shard, and their number
-    triples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # triples in each shard
-    tokens: int = 0
+    limit: int  # occurrences a shard
+    bits: int  # level 1 is sharded by the hash's first bits
+    seed: int
+    words: np.ndarray = field(default_factory=_none)  # first word id of each shard of level 1, and their number
+    running: np.ndarray = field(default_factory=_none)  # tokens before each shard of level 1, and their number
+    pair_sizes: np.ndarray = field(default_factory=_none)  # pairs of each shard of level 2
+    pair_first: np.ndarray = field(default_factory=_none)  # the word that its first pair begins with
+    pair_skip: np.ndarray = field(default_factory=_none)  # successors of that word in earlier shards
+    triple_start: np.ndarray = field(default_factory=_none)  # first shard of level 3 of each shard of level 2, and their number
+    triple_sizes: np.ndarray = field(default_factory=_none)
+    discounts: tuple[float, float] = (0.5, 0.5)
 
     @property
     def n_words(self) -> int:
         return int(self.words[-1])
 
+    @property
+    def tokens(self) -> int:
+        return int(self.running[-1])
+
+    @property
+    def everything(self) -> int:
+        return self.tokens + self.n_words + 1
+
+    def place(self, before: np.ndarray, count: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Where among its level's occurrences an n-gram lies: after its context's earlier ones, by its last word."""
+        return before + (word / max(self.n_words, 1) * count).astype(np.int64)
+
 
 # ---- files -------------------------------------------------------------------
 
@@ -87,15 +118,24 @@ def _store(base: str, name: str, raw: bytes) -> None:
     fs.move(part, f"{path}/{name}")
 
 
-_mapped: dict[tuple[str, str], dict] = {}
+def _exists(base: str, name: str) -> bool:
+    fs, path = pafs.FileSystem.from_uri(base)
+    return fs.get_file_info(f"{path}/{name}").type != pafs.FileType.NotFound
+
+
+def _remove(base: str, name: str) -> None:
+    fs, path = pafs.FileSystem.from_uri(base)
+    if fs.get_file_info(f"{path}/{name}").type != pafs.FileType.NotFound:
+        fs.delete_file(f"{path}/{name}")
+
+
+_mapped: OrderedDict[tuple[str, str], dict] = OrderedDict()
 
 
 def _load(base: str, name: str) -> dict:
     """A file of the model as memory-mapped views; from a remote store by way of an unlinked local copy."""
     found = _mapped.get((base, name))
     if found is None:
-        if any(b != base for b, _ in _mapped):
-            _mapped.clear()
         fs, path = pafs.FileSystem.from_uri(base)
         if isinstance(fs, pafs.LocalFileSystem):
             raw = np.memmap(f"{path}/{name}", np.uint8, "r")
@@ -106,47 +146,47 @@ def _load(base: str, name: str) -> dict:
                 copy.flush()
                 raw = np.memmap(copy.name, np.uint8, "r")
         found = _mapped[base, name] = unpack(raw)
+        while len(_mapped) > MAPPED:
+            _mapped.popitem(last=False)
+    else:
+        _mapped.move_to_end((base, name))
     return found
 
 
-def _slices(sorted_ids: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """``(shard, first, end)`` of the runs of ``sorted_ids`` (none negative) that belong to one shard."""
-    cuts = np.searchsorted(sorted_ids, offsets)
-    for shard in np.flatnonzero(np.diff(cuts)).tolist():
-        yield shard, int(cuts[shard]), int(cuts[shard + 1])
+def _runs(shards: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """``(shard, first, end)`` of the runs of equal values in order."""
+    if len(shards):
+        cuts = np.flatnonzero(np.diff(shards)) + 1
+        yield from zip(shards[np.append(0, cuts)].tolist(), [0, *cuts.tolist()], [*cuts.tolist(), len(shards)], strict=True)
 
 
-# ---- looking up --------------------------------------------------------------
+# ---- quantising ----------------------------------------------------------------
+
+
+def _codes(logs: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(logs * -GRID), 0, _LAST).astype(np.uint16)
+
 
+def _logs(codes: np.ndarray) -> np.ndarray:
+    return codes / -float(GRID)
 
-def _word_ids(model: Model, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids (or -1) and counts of sorted hashes."""
-    ids, counts = np.full(len(hashes), _NONE, np.int64), np.zeros(len(hashes), np.int64)
-    shift = np.uint64(64 - model.bits)
-    starts = np.arange(1 << model.bits, dtype=np.uint64) << shift if model.bits else np.zeros(1, np.uint64)
-    cuts = np.append(np.searchsorted(hashes, starts), len(hashes))
-    for shard in np.flatnonzero(np.diff(cuts)).tolist():
-        a, b = cuts[shard], cuts[shard + 1]
-        if model.words[shard] == model.words[shard + 1]:
-            continue
-        level = _load(model.base, f"1-{shard}")
-        at = level["keys"].find(hashes[a:b] - starts[shard])
-        hit = np.flatnonzero(at >= 0)
-        sums = level["counts"]
-        ids[a + hit] = at[hit] + model.words[shard]
-        counts[a + hit] = (sums.get(at[hit] + 1) - sums.get(at[hit])).astype(np.int64)
-    return ids, counts
+
+# ---- looking up --------------------------------------------------------------
 
 
 def _children(level: dict, parent: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted parents: the position of the child ``value`` (or -1) in a shard's level, and its rank in its context.
+    """For sorted parents (numbered from the shard's first): the position of the child ``value`` (or -1) and its rank in its context.
 
     Pointers are read once for each run of one parent.
     """
     new = np.diff(parent, prepend=-1) != 0
     context, run = parent[new], np.cumsum(new) - 1
-    low, high = level["pointers"].get(context).astype(np.int64), level["pointers"].get(context + 1).astype(np.int64)
-    base = _base(level["ids"], low)
+    inside = context < level["pointers"].n - 1
+    low, high = np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
+    low[inside], high[inside] = level["pointers"].get(context[inside]), level["pointers"].get(context[inside] + 1)
+    base = np.zeros(len(low), np.uint64)
+    later = np.flatnonzero(low > 0)
+    base[later] = level["ids"].get(low[later] - 1)
     out = np.full(len(parent), _NONE, np.int64)
     some = np.flatnonzero((low < high)[run])
     at = run[some]
@@ -154,361 +194,434 @@ def _children(level: dict, parent: np.ndarray, value: np.ndarray) -> tuple[np.nd
     return out, out - low[run]
 
 
-def _base(ids: EliasFano, low: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(low), np.uint64)
-    later = np.flatnonzero(low > 0)
-    out[later] = ids.get(low[later] - 1)
-    return out
-
-
-def _pair_ids(model: Model, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For sorted distinct pairs of known ids: global pair number, rank among u's successors (both -1 if absent), log-probability."""
-    number, rank, logp = np.full(len(u), _NONE, np.int64), np.full(len(u), _NONE, np.int64), np.zeros(len(u))
-    for shard, a, b in _slices(u, model.words):
-        if model.pairs[shard] == model.pairs[shard + 1]:
-            continue
-        level = _load(model.base, f"2-{shard}")
-        parent = u[a:b] - model.words[shard]
-        at, nth = _children(level, parent, w[a:b])
-        hit = np.flatnonzero(at >= 0)
-        number[a + hit] = at[hit] + model.pairs[shard]
-        rank[a + hit] = nth[hit]
-        logp[a + hit] = level["values"][level["codes"][at[hit]]]
-    return number, rank, logp
-
-
-def _backoffs(model: Model, ids: np.ndarray, offsets: np.ndarray, level: str, present: np.ndarray) -> np.ndarray:
-    """Logarithm of the weight that each context (sorted ids) leaves to shorter ones."""
-    out = np.zeros(len(ids))
-    for shard, a, b in _slices(ids, offsets):
-        if present[shard]:
-            held = _load(model.base, f"{level}-{shard}")
-            out[a:b] = held["backoff_values"][held["backoff"][ids[a:b] - offsets[shard]]]
-    return out
-
-
 class _Block:
-    """A block of texts as token ids: each text is an end, its words, an end."""
+    """A block of texts as token ids: each text is an end, its words, an end.
+
+    Distinct words, pairs and triples are looked up once.  ``token`` is each token's
+    distinct word, ``pair`` the distinct known pair that ends at it (or -1).
+    """
 
-    def __init__(self, model: Model, data: np.ndarray, bounds: np.ndarray) -> None:
+    def __init__(self, model: Model, data: np.ndarray, bounds: np.ndarray, checks: bool = True) -> None:
+        self.model = model
         starts, ends, rows = common.find_words(data, bounds)
         n = np.diff(rows)
         self.first = np.concatenate(([0], np.cumsum(n + 2)))
-        hashes = np.full(int(self.first[-1]), _END, np.uint64)
-        inside = np.ones(len(hashes), bool)
-        inside[self.first[:-1]] = False
+        size = int(self.first[-1])
+        hashes = np.full(size, _END, np.uint64)
+        self.opens = np.zeros(size, bool)  # the end before a text, which is context only
+        self.opens[self.first[:-1]] = True
+        inside = ~self.opens
         inside[self.first[1:] - 1] = False
-        hashes[inside] = common.hash_words(data, starts, ends)
+        words = np.flatnonzero(inside)
+        hashes[words] = common.hash_words(data, starts, ends, model.seed)
         self.distinct, self.token = np.unique(hashes, return_inverse=True)
-        self.opens = np.zeros(len(hashes), bool)  # the end before a text, which is context only
-        self.opens[self.first[:-1]] = True
-        self.model = model
+        # any one occurrence of each distinct word gives its second hash
+        seen = np.full(len(self.distinct), _NONE, np.int64)
+        seen[self.token[words]] = np.arange(len(words))
+        some = np.flatnonzero(seen >= 0)
+        self.check = np.zeros(len(self.distinct), np.uint32)
+        if checks and len(some):
+            self.check[some] = common.hash_words(*_gathered(data, starts[seen[some]], ends[seen[some]]), model.seed + 1000) >> _U(32)
 
     def identify(self) -> None:
-        ids, counts = _word_ids(self.model, self.distinct)
-        self.id, self.count = ids[self.token], counts[self.token]
-
-    def pairs(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of the second tokens of pairs whose words occur ``least`` times; the distinct pairs' keys; and which is which."""
-        good = (self.id >= 0) & (self.count >= least)
-        at = np.flatnonzero(good[1:] & good[:-1] & ~self.opens[1:]) + 1
-        keys, which = np.unique((self.id[at - 1].astype(np.uint64) << np.uint64(32)) | self.id[at].astype(np.uint64), return_inverse=True)
-        return at, keys, which
+        """``id`` (or -1), ``count`` and the occurrences of all earlier words, of each distinct word."""
+        model, hashes = self.model, self.distinct
+        n = len(hashes)
+        self.id, self.count, self.before = np.full(n, _NONE, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for shard, a, b in _runs((hashes >> _U(64 - model.bits)).astype(np.int64) if model.bits else np.zeros(n, np.int64)):
+            if model.words[shard] == model.words[shard + 1]:
+                continue
+            level = _load(model.base, f"1-{shard}")
+            at = level["keys"].find(hashes[a:b] - (_U(shard) << _U(64 - model.bits) if model.bits else _U(0)))
+            hit = np.flatnonzero(at >= 0)
+            hit = hit[level["checks"][at[hit]] == self.check[a + hit]]
+            at = at[hit]
+            sums = level["counts"].get(at).astype(np.int64)
+            self.id[a + hit] = at + model.words[shard]
+            self.before[a + hit] = sums + model.running[shard]
+            self.count[a + hit] = level["counts"].get(at + 1).astype(np.int64) - sums
+        self.base = np.log10((self.count + 1) / model.everything)
+
+    def find_pairs(self) -> None:
+        """Distinct pairs of known words as two distinct words each, and where they end."""
+        known = (self.id >= 0)[self.token]
+        self.pair_at = np.flatnonzero(known[1:] & known[:-1] & ~self.opens[1:]) + 1
+        keys = (self.token[self.pair_at - 1].astype(np.uint64) << _U(32)) | self.token[self.pair_at].astype(np.uint64)
+        keys, self.pair_which = np.unique(keys, return_inverse=True)
+        self.pair_u, self.pair_w = (keys >> _U(32)).astype(np.int64), (keys & _LOW32).astype(np.int64)
+
+    def pair_shards(self) -> np.ndarray:
+        u = self.pair_u
+        return self.model.place(self.before[u], self.count[u], self.id[self.pair_w]) // self.model.limit
 
     def look_up_pairs(self) -> None:
-        """``number, rank, logp`` of the pair that ends at each token (-1: none)."""
-        at, keys, which = self.pairs(self.model.least)
-        number, rank, logp = _pair_ids(self.model, (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
-        n = len(self.id)
-        self.number, self.rank, self.logp2 = np.full(n, _NONE, np.int64), np.full(n, _NONE, np.int64), np.zeros(n)
-        self.number[at], self.rank[at], self.logp2[at] = number[which], rank[which], logp[which]
-
-    def triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of the third tokens of triples of kept pairs; the distinct triples' pair numbers and ranks; and which is which."""
-        at = np.flatnonzero((self.number[2:] >= 0) & (self.number[1:-1] >= 0) & ~self.opens[1:-1] & ~self.opens[2:]) + 2
-        i, r = self.number[at - 1], self.rank[at]
-        width = int(r.max(initial=0)) + 1
-        if int(i.max(initial=0)) + 1 < (1 << 63) // width:  # both in one number: one sort
-            keys, which = np.unique(i * width + r, return_inverse=True)
-            return at, keys // width, keys % width, which
-        order = np.lexsort((self.rank[at], self.number[at - 1]))
-        i, r = self.number[at - 1][order], self.rank[at][order]
-        new = np.ones(len(at), bool)
-        new[1:] = (i[1:] != i[:-1]) | (r[1:] != r[:-1])
-        which = np.empty(len(at), np.int64)
-        which[order] = np.cumsum(new) - 1
-        return at, i[new], r[new], which
-
-
-# ---- counting and building ---------------------------------------------------
-
-
-class _Counter:
-    """Distinct ``(shard, key)`` with counts, passed on as record batches when many are held."""
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.held = 0
-
-    def add(self, shard: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append((shard.astype(np.int32), key, n))
-        self.held += len(key)
-        if self.held > HELD:
-            before = self.held
-            self._merge()
-            if self.held > before // 2:
-                yield from self.flush()
-
-    def _merge(self) -> None:
-        shard, key, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.lexsort((key, shard))
-        shard, key, n = shard[order], key[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (shard[1:] != shard[:-1]))))
-        self.parts = [(shard[first], key[first], np.add.reduceat(n, first))]
-        self.held = len(first)
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if self.held:
-            self._merge()
-            return self.parts[0]
-        return np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        shard, key, n = self.merged()
-        self.parts, self.held = [], 0
-        for at in range(0, len(key), 65536):
-            part = slice(at, at + 65536)
-            yield pa.record_batch([pa.array(shard[part]), pa.array(key[part].view(np.int64)), pa.array(n[part])], ["shard", "key", "n"])
-
-
-def _count(model: Model, level: int):
-    shift = np.uint64(64 - model.bits)
+        """Of each distinct pair: its shard, number and code, its rank among its first word's successors, and its occurrences and those of earlier pairs of the shard."""
+        model, n = self.model, len(self.pair_u)
+        self.pair_shard = self.pair_shards()
+        self.number, self.rank = np.full(n, _NONE, np.int64), np.full(n, _NONE, np.int64)
+        self.pair_count, self.pair_before, self.code = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.uint16)
+        u, w = self.id[self.pair_u], self.id[self.pair_w]
+        for shard, a, b in _runs(self.pair_shard):
+            if not model.pair_sizes[shard]:
+                continue
+            level = _load(model.base, f"2-{shard}")
+            first = model.pair_first[shard]
+            parent = u[a:b] - first
+            some = np.flatnonzero(parent >= 0)
+            at, nth = _children(level, parent[some], w[a:b][some])
+            hit = np.flatnonzero(at >= 0)
+            own, at = a + some[hit], at[hit]
+            self.number[own] = at
+            self.rank[own] = nth[hit] + np.where(u[own] == first, model.pair_skip[shard], 0)
+            self.code[own] = _load(model.base, f"2p-{shard}")["codes"][at]
+            sums = level["counts"].get(at).astype(np.int64)
+            self.pair_before[own] = sums
+            self.pair_count[own] = level["counts"].get(at + 1).astype(np.int64) - sums
+
+    def find_triples(self) -> None:
+        """Distinct triples of known pairs as two distinct pairs each, where they end, and the shards they'd lie in."""
+        model = self.model
+        pair = np.full(len(self.token), _NONE, np.int64)
+        pair[self.pair_at] = np.where(self.number >= 0, np.arange(len(self.number)), _NONE)[self.pair_which]
+        self.pair = pair
+        self.triple_at = np.flatnonzero((pair[2:] >= 0) & (pair[1:-1] >= 0) & ~self.opens[1:-1] & ~self.opens[2:]) + 2
+        keys = (pair[self.triple_at - 1].astype(np.uint64) << _U(32)) | pair[self.triple_at].astype(np.uint64)
+        keys, self.triple_which = np.unique(keys, return_inverse=True)
+        self.triple_a, self.triple_b = a, b = (keys >> _U(32)).astype(np.int64), (keys & _LOW32).astype(np.int64)
+        place = model.place(self.pair_before[a], self.pair_count[a], self.id[self.pair_w[b]])
+        self.triple_shard = model.triple_start[self.pair_shard[a]] + place // model.limit
+
+    def word_weights(self) -> np.ndarray:
+        """Logarithm of the weight that each distinct word leaves to shorter contexts; 0 for unknown words."""
+        out = np.zeros(len(self.id))
+        known = np.flatnonzero(self.id >= 0)
+        for shard, a, b in _runs(self.before[known] // self.model.limit):
+            level, own = _load(self.model.base, f"2p-{shard}"), known[a:b]
+            out[own] = _logs(level["weights"][self.id[own] - level["home"][0]])
+        return out
+
+    def pair_weights(self) -> np.ndarray:
+        out = np.zeros(len(self.number))
+        known = np.flatnonzero(self.number >= 0)
+        for shard, a, b in _runs(self.model.triple_start[self.pair_shard[known]] + self.pair_before[known] // self.model.limit):
+            level, own = _load(self.model.base, f"3p-{shard}"), known[a:b]
+            out[own] = _logs(level["weights"][self.number[own] - level["home"][0]])
+        return out
+
+    def scores(self) -> np.ndarray:
+        """Log-probability of each token."""
+        model = self.model
+        total = self.base[self.token]
+        total[1:] += self.word_weights()[self.token[:-1]]  # a known pair has its own probability; else its context's weight times the word's
+        found = self.number >= 0
+        hit = found[self.pair_which]
+        total[self.pair_at[hit]] = _logs(self.code)[self.pair_which[hit]]
+        before = np.flatnonzero((self.pair[1:-1] >= 0) & ~self.opens[1:-1])  # likewise for triples
+        total[before + 2] += self.pair_weights()[self.pair[before + 1]]
+        a, b = self.triple_a, self.triple_b
+        logp, known = np.zeros(len(a)), np.zeros(len(a), bool)
+        for shard, x, y in _runs(self.triple_shard):
+            if not model.triple_sizes[shard]:
+                continue
+            level, codes = _load(model.base, f"3-{shard}"), _load(model.base, f"3p-{shard}")["codes"]
+            parent = self.number[a[x:y]] - level["first"][0]
+            some = np.flatnonzero(parent >= 0)
+            at, _ = _children(level, parent[some], self.rank[b[x:y]][some])
+            hit = np.flatnonzero(at >= 0)
+            known[x + some[hit]] = True
+            logp[x + some[hit]] = _logs(codes[at[hit]])
+        hit = known[self.triple_which]
+        total[self.triple_at[hit]] = logp[self.triple_which[hit]]
+        return total
+
+
+def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Some words of ``data`` as a text of their own, a space after each."""
+    sizes = ends - starts + 1
+    last = np.cumsum(sizes)
+    at = np.arange(int(last[-1])) + np.repeat(starts - (last - sizes), sizes)
+    out = data[np.minimum(at, len(data) - 1)]
+    out[last - 1] = 32
+    return out, last - sizes, last - 1
+
+
+# ---- counting ------------------------------------------------------------------
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Sorted keys (as differences) and what goes with them, byte plane by byte plane, compressed."""
+    keys, *rest = columns
+    parts = [np.diff(keys, prepend=_U(0)), *rest]
+    raw = b"".join(np.ascontiguousarray(p.view(np.uint8).reshape(len(p), -1).T).tobytes() for p in parts)
+    return len(keys).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, kinds: list[type]) -> list[np.ndarray]:
+    n = int.from_bytes(raw[:4], "little")
+    widths = [np.dtype(k).itemsize for k in kinds]
+    plain = np.frombuffer(pa.decompress(raw[4:], sum(widths) * n, "zstd", asbytes=True), np.uint8)
+    cuts = np.cumsum([0, *(w * n for w in widths)])
+    out = [np.ascontiguousarray(plain[a:b].reshape(w, n).T).view(k).ravel() for a, b, w, k in zip(cuts[:-1], cuts[1:], widths, kinds, strict=True)]
+    out[0] = np.cumsum(out[0], dtype=np.uint64)
+    return out
+
+
+#: What a level's counts hold: the key, occurrences, and a second hash or the code of the shorter context's probability.
+_KINDS = {1: [np.uint64, np.int64, np.uint32], 2: [np.uint64, np.int64, np.uint16], 3: [np.uint64, np.int64, np.uint16]}
+_COUNTED = "shard long, part binary"
+
+
+def _count(sent, level: int):
+    """n-grams of each block, one row for each shard they meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Counter()
+        model = sent.value
         for batch in batches:
             for _, _, data, bounds in common.blocks(batch.column("text"), TEXT_BYTES):
                 block = _Block(model, data, bounds)
                 if level == 1:
-                    n = np.bincount(block.token, ~block.opens, len(block.distinct)).astype(np.int64)
-                    shard = block.distinct >> shift if model.bits else np.zeros(len(n), np.uint64)
-                    yield from held.add(shard, block.distinct, n)
-                    continue
-                block.identify()
-                if level == 2:
-                    _, keys, which = block.pairs(model.least)
-                    parent, child, offsets = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF), model.words
+                    key, extra = block.distinct, block.check
+                    n = np.bincount(block.token, ~block.opens, len(key)).astype(np.int64)
+                    shard = (key >> _U(64 - model.bits)).astype(np.int64) if model.bits else np.zeros(len(key), np.int64)
                 else:
-                    block.look_up_pairs()
-                    _, parent, child, which = block.triples()
-                    offsets = model.pairs
-                shard = np.searchsorted(offsets, parent, "right") - 1
-                key = ((parent - offsets[shard]).astype(np.uint64) << np.uint64(32)) | child.astype(np.uint64)
-                yield from held.add(shard, key, np.bincount(which, minlength=len(key)))
-        yield from held.flush()
+                    block.identify()
+                    block.find_pairs()
+                    if level == 2:
+                        w = block.pair_w
+                        shard, parent, child = block.pair_shards(), block.id[block.pair_u], block.id[w]
+                        n, extra = np.bincount(block.pair_which, minlength=len(w)), _codes(block.base)[w]
+                    else:
+                        block.look_up_pairs()
+                        block.find_triples()
+                        b = block.triple_b
+                        shard, parent, child = block.triple_shard, block.number[block.triple_a], block.rank[b]
+                        n, extra = np.bincount(block.triple_which, minlength=len(b)), block.code[b]
+                    key = (parent.astype(np.uint64) << _U(32)) | child.astype(np.uint64)
+                rows = [(s, _packed([key[x:y], n[x:y], extra[x:y]])) for s, x, y in _runs(shard)]
+                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "part"])
 
     return run
 
 
-def _quantised(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of one byte and the values they stand for: the means of equally filled bins."""
-    if not len(logs):
-        return np.zeros(0, np.uint8), np.zeros(1, np.float32)
-    edges = np.unique(np.quantile(logs, np.linspace(0, 1, LEVELS + 1)[1:-1]))
-    codes = np.searchsorted(edges, logs, "right")
-    n = np.bincount(codes, minlength=len(edges) + 1)
-    means = np.bincount(codes, logs, len(edges) + 1) / np.maximum(n, 1)
-    return codes.astype(np.uint8), means.astype(np.float32)
-
-
-def _level(least: int, parents: int, key: np.ndarray, n: np.ndarray, totals, lower) -> dict | None:
-    """One shard of level 2 or 3 from all its n-grams: pruned, smoothed, quantised."""
-    once, twice = int((n == 1).sum()), int((n == 2).sum())
-    discount = once / (once + 2 * twice) if once else 0.5
-    discount = min(max(discount, 0.1), 0.95)
-    kept = n >= least
-    key, n = key[kept], n[kept]
-    if not len(key):
-        return None
-    parent, child = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    size = np.bincount(parent, minlength=parents)
-    pointers = np.concatenate(([0], np.cumsum(size)))
-    total = np.maximum(totals(np.arange(parents)), 1)
-    share = (n - discount) / total[parent]
-    left = np.maximum(1 - np.bincount(parent, share, parents), 1e-9)
-    logs = np.log10(share + left[parent] * 10.0 ** lower(parent, child))
-    codes, values = _quantised(logs)
-    used = size > 0
-    backoff, backoff_values = np.zeros(parents, np.uint8), np.zeros(1, np.float32)
-    found, found_values = _quantised(np.log10(left[used]))
-    if len(found_values) > 255:
-        raise AssertionError("one code is kept for contexts without successors")
-    backoff[used] = found + 1
-    backoff_values = np.concatenate((backoff_values, found_values))
-    # each range goes on from the last value of the one before
-    lasts = np.where(used, child[np.maximum(pointers[1:] - 1, 0)], 0)
-    base = np.concatenate(([0], np.cumsum(lasts)))[:-1]
-    return {
-        "pointers": EliasFano.build(pointers),
-        "ids": EliasFano.build((child + base[parent]).astype(np.uint64)),
-        "counts": EliasFano.build(np.concatenate(([0], np.cumsum(n)))),
-        "codes": codes, "values": values, "backoff": backoff, "backoff_values": backoff_values,
-    }
-
-
-def _successor(model: Model, level: dict, i: np.ndarray) -> np.ndarray:
-    """Word id that ends each pair ``i`` of a shard of level 2."""
-    parent = np.searchsorted(level["pointers"].get(np.arange(level["pointers"].n)).astype(np.int64), i, "right") - 1
-    low = level["pointers"].get(parent).astype(np.int64)
-    return (level["ids"].get(i) - _base(level["ids"], low)).astype(np.int64)
-
-
-def _build_one(model: Model, level: int, shard: int, key: np.ndarray, n: np.ndarray) -> dict | None:
-    if level == 1:
-        start = np.uint64(shard) << np.uint64(64 - model.bits) if model.bits else np.uint64(0)
-        return {"keys": EliasFano.build(key - start), "counts": EliasFano.build(np.concatenate(([0], np.cumsum(n))))}
-    if level == 2:
-        own = _load(model.base, f"1-{shard}")
-        everything = model.tokens + model.n_words + 1
-
-        def totals(i: np.ndarray) -> np.ndarray:
-            return np.diff(own["counts"].get(np.arange(len(i) + 1)).astype(np.int64))
-
-        def lower(parent: np.ndarray, child: np.ndarray) -> np.ndarray:
-            words, which = np.unique(child, return_inverse=True)
-            counts = np.zeros(len(words), np.int64)
-            for s, a, b in _slices(words, model.words):
-                sums, at = _load(model.base, f"1-{s}")["counts"], words[a:b] - model.words[s]
-                counts[a:b] = (sums.get(at + 1) - sums.get(at)).astype(np.int64)
-            return np.log10((counts + 1) / everything)[which]
-
-        return _level(model.least, int(model.words[shard + 1] - model.words[shard]), key, n, totals, lower)
-
-    own = _load(model.base, f"2-{shard}")
-
-    def totals3(i: np.ndarray) -> np.ndarray:
-        return np.diff(own["counts"].get(np.arange(len(i) + 1)).astype(np.int64))
-
-    def lower3(parent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """Log-probability of the triple's last two words, the ``rank``-th successor of the pair's last word."""
-        middle = _successor(model, own, parent)
-        words, which = np.unique(middle, return_inverse=True)
-        order = np.argsort(which, kind="stable")
-        cuts = np.searchsorted(which[order], np.arange(len(words) + 1))
-        out = np.zeros(len(parent))
-        for s, a, b in _slices(words, model.words):
-            held = _load(model.base, f"2-{s}")
-            rows = order[cuts[a] : cuts[b]]
-            at = held["pointers"].get(middle[rows] - model.words[s]).astype(np.int64) + rank[rows]
-            out[rows] = held["values"][held["codes"][at]]
-        return out
+def _shards(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Each shard of a partition sorted by shard, with its merged counts; one shard is held at a time."""
+    held, parts = None, []
+    for batch in batches:
+        for shard, part in zip(batch.column("shard").to_pylist(), batch.column("part"), strict=True):
+            if shard != held and parts:
+                yield held, _merged(parts, level)
+                parts = []
+            held = shard
+            parts.append(_unpacked(part.as_py(), _KINDS[level]))
+    if parts:
+        yield held, _merged(parts, level)
+
+
+def _merged(parts: list[list[np.ndarray]], level: int) -> list[np.ndarray]:
+    key, n, extra = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key, kind="stable")
+    key, n, extra = key[order], n[order], extra[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    if level == 1 and (np.maximum.reduceat(extra, first) != np.minimum.reduceat(extra, first)).any():
+        raise ValueError("two words share a hash; fit with another seed")
+    return [key[first], np.add.reduceat(n, first), extra[first]]
+
 
-    return _level(model.least, int(model.pairs[shard + 1] - model.pairs[shard]), key, n, totals3, lower3)
+# ---- building ------------------------------------------------------------------
 
+_REPORT = ["shard", "size", "total", "once", "twice", "first", "first_size", "first_total", "last", "last_size", "last_total"]
 
-def _build(model: Model, level: int):
-    """Merge a partition's counts shard by shard, write the files, and report their sizes."""
+
+def _build(sent, level: int):
+    """Merge a partition's counts shard by shard, write what needs no discount, and report what other shards must know."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, _Counter] = {}
-        for batch in batches:
-            shard, key, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "key", "n"))
-            for s in np.unique(shard).tolist():
-                own = shard == s
-                counter = held.setdefault(s, _Counter())
-                counter.parts.append((shard[own], key[own].view(np.uint64), n[own]))
-                counter.held += int(own.sum())
-                if counter.held > HELD:
-                    counter._merge()
-        out = []
-        for s in sorted(held):
-            _, key, n = held.pop(s).merged()
-            parts = _build_one(model, level, s, key, n)
-            if parts is not None:
-                _store(model.base, f"{level}-{s}", pack(parts))
-                out.append((s, parts["counts"].n - 1, int(n.sum())))
-        yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], ["shard", "n", "total"])
+        model, out = sent.value, []
+        for shard, (key, n, extra) in _shards(batches, level):
+            total = int(n.sum())
+            sums = EliasFano.build(np.concatenate(([0], np.cumsum(n))))
+            if level == 1:
+                start = _U(shard) << _U(64 - model.bits) if model.bits else _U(0)
+                _store(model.base, f"1-{shard}", pack({"keys": EliasFano.build(key - start), "checks": extra, "counts": sums}))
+                out.append([shard, len(key), total, *[0] * 8])
+                continue
+            parent, child = (key >> _U(32)).astype(np.int64), (key & _LOW32).astype(np.int64)
+            first, last = int(parent[0]), int(parent[-1])
+            size = np.bincount(parent - first)
+            pointers = np.concatenate(([0], np.cumsum(size)))
+            # each range goes on from the last value of the one before
+            lasts = np.where(size > 0, child[np.maximum(pointers[1:] - 1, 0)], 0)
+            base = np.concatenate(([0], np.cumsum(lasts)))[:-1]
+            main = {"pointers": EliasFano.build(pointers), "ids": EliasFano.build((child + base[parent - first]).astype(np.uint64)), "first": np.array([first])}
+            rest = {"lower": extra}
+            (main if level == 2 else rest)["counts"] = sums
+            _store(model.base, f"{level}-{shard}", pack(main))
+            _store(model.base, f"{level}t-{shard}", pack(rest))
+            ends = [(first, size[0], n[: size[0]].sum()), (last, size[-1], n[-size[-1] :].sum())]
+            out.append([shard, len(key), total, (n == 1).sum(), (n == 2).sum(), *ends[0], *ends[1]])
+        yield pa.record_batch([pa.array([int(r[k]) for r in out], pa.int64()) for k in range(len(_REPORT))], _REPORT)
 
     return run
 
 
-def fit(docs: DataFrame, keep=None, shards: int | None = None, least: int = MIN_COUNT) -> Model:
-    """Build the trie from all texts (``keep``: a condition on ``doc_id``) in the shared folder.
+def _word_at(model: Model, place: int) -> int:
+    """The first word with at least ``place`` occurrences of words before it."""
+    if place >= model.tokens:
+        return model.n_words
+    shard = int(np.searchsorted(model.running, place, "right")) - 1
+    sums = _load(model.base, f"1-{shard}")["counts"]
+    low, high = 0, sums.n - 1
+    while low < high:
+        mid = (low + high) // 2
+        if int(sums.get(np.array([mid]))[0]) + model.running[shard] < place:
+            low = mid + 1
+        else:
+            high = mid
+    return low + int(model.words[shard])
+
 
-    ``shards`` is rounded up to a power of two; by default it follows the corpus.  With
-    ``least`` 1 every n-gram is kept.
+def _weigh(sent, level: int, sizes: np.ndarray, discount: float, cut: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]):
+    """Add probabilities and back-off weights to a level's shards.
+
+    ``cut`` has the whole sizes and totals of contexts that begin or end a shard, which
+    may go on in others: level-2 shard (0 at level 2), context, size, total, in order.
     """
+
+    def whole(group: int, context: int) -> tuple[int, int]:
+        low, high = np.searchsorted(cut[0], [group, group + 1])
+        at = low + int(np.searchsorted(cut[1][low:high], context))
+        return (int(cut[2][at]), int(cut[3][at])) if at < high and cut[1][at] == context else (0, 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            for shard in batch.column("id").to_pylist():
+                if _exists(model.base, f"{level}p-{shard}"):  # this task was run before
+                    continue
+                group, above = 0, None
+                if level == 2:
+                    home = [_word_at(model, shard * model.limit), _word_at(model, (shard + 1) * model.limit)]
+                else:
+                    group = int(np.searchsorted(model.triple_start, shard, "right")) - 1
+                    above = _load(model.base, f"2-{group}")["counts"] if model.pair_sizes[group] else None
+                    start = (shard - int(model.triple_start[group])) * model.limit
+                    sums = above.get(np.arange(above.n - 1)).astype(np.int64) if above else _none()
+                    home = np.searchsorted(sums, [start, start + model.limit]).tolist()
+                size, total = np.zeros(home[1] - home[0], np.int64), np.zeros(home[1] - home[0], np.int64)
+                codes = np.zeros(0, np.uint16)
+                if sizes[shard]:
+                    held, rest = _load(model.base, f"{level}-{shard}"), _load(model.base, f"{level}t-{shard}")
+                    first, pointers = int(held["first"][0]), held["pointers"].get(np.arange(held["pointers"].n)).astype(np.int64)
+                    counts = (held if level == 2 else rest)["counts"]
+                    sums = counts.get(np.arange(counts.n)).astype(np.int64)
+                    n, each, all_ = np.diff(sums), np.diff(pointers), np.diff(sums[pointers])
+                    for at in {0, len(each) - 1}:
+                        each[at], all_[at] = whole(group, first + at)
+                    parent = np.repeat(np.arange(len(each)), np.diff(pointers))
+                    left = discount * each / np.maximum(all_, 1)
+                    codes = _codes(np.log10((n - discount) / all_[parent] + left[parent] * 10.0 ** _logs(rest["lower"])))
+                    a, b = max(first, home[0]), min(first + len(each), home[1])
+                    if a < b:
+                        size[a - home[0] : b - home[0]], total[a - home[0] : b - home[0]] = each[a - first : b - first], all_[a - first : b - first]
+                if len(size):
+                    size[-1], total[-1] = max((size[-1], total[-1]), whole(group, home[1] - 1))
+                weights = _codes(np.log10(np.maximum(discount * size, 1e-9) / np.maximum(total, 1)))
+                weights[size == 0] = 0  # nothing ever follows
+                _store(model.base, f"{level}p-{shard}", pack({"codes": codes, "weights": weights, "home": np.array(home)}))
+                _mapped.pop((model.base, f"{level}t-{shard}"), None)
+                _remove(model.base, f"{level}t-{shard}")
+        yield pa.record_batch([pa.array([], pa.int64())], ["id"])
+
+    return run
+
+
+def _cut_contexts(report, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Whole sizes and totals of the contexts that begin or end a shard."""
+    other = report["first"] != report["last"]
+    rows = [np.concatenate([group, group[other]])]
+    rows += [np.concatenate([report[f"first{x}"], report[f"last{x}"][other]]) for x in ("", "_size", "_total")]
+    order = np.lexsort((rows[1], rows[0]))
+    rows = [r[order] for r in rows]
+    new = np.flatnonzero(np.concatenate(([True], (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)))) if len(order) else order
+    return (rows[0][new], rows[1][new], *(np.add.reduceat(r, new) if len(new) else r for r in rows[2:]))
+
+
+def fit(docs: DataFrame, keep=None, shard_tokens: int = SHARD_TOKENS, seed: int = 1) -> Model:
+    """Build the trie from all texts (``keep``: a condition on ``doc_id``) in the shared folder."""
     spark = docs.sparkSession
     texts = (docs if keep is None else docs.where(keep)).select("text")
-    if shards is None:
-        letters = docs.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-        shards = max(16, letters // 6 // SHARD_TOKENS)
-    model = Model(common.new_path(spark, "trie"), (shards - 1).bit_length(), least)
-    size = 1 << model.bits
-    for level in (1, 2, 3):
-        counted = texts.mapInArrow(_count(model, level), "shard int, key long, n long")
-        built = counted.repartition(min(size, 2048), "shard").mapInArrow(_build(model, level), "shard long, n long, total long").collect()
-        sizes = np.zeros(size, np.int64)
-        for r in built:
-            sizes[r.shard] = r.n
-        offsets = np.concatenate(([0], np.cumsum(sizes)))
-        if level == 1:
-            model.words, model.tokens = offsets, sum(r.total for r in built)
-            model.pairs, model.triples = np.zeros(size + 1, np.int64), np.zeros(size, np.int64)
-            if model.n_words >= 1 << 32:
-                raise ValueError("more than 2^32 distinct words")
-        elif level == 2:
-            model.pairs = offsets
-        else:
-            model.triples = sizes
+    letters = texts.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    bits = max(0, (letters // 6 // shard_tokens).bit_length())
+    model = Model(common.new_path(spark, "trie"), shard_tokens, bits, seed)
+
+    def built(level: int, shards: int) -> dict[str, np.ndarray]:
+        sent = spark.sparkContext.broadcast(model)
+        counted = texts.mapInArrow(_count(sent, level), _COUNTED)
+        dealt = counted.repartition(max(1, min(shards, 1 << 16)), "shard").sortWithinPartitions("shard")
+        rows = dealt.mapInArrow(_build(sent, level), ", ".join(f"{c} long" for c in _REPORT)).toPandas().sort_values("shard")
+        return {c: rows[c].to_numpy().astype(np.int64) for c in _REPORT}
+
+    def spread(report: dict, name: str, shards: int) -> np.ndarray:
+        out = np.zeros(shards, np.int64)
+        out[report["shard"]] = report[name]
+        return out
+
+    def discount(report: dict) -> float:
+        once, twice = int(report["once"].sum()), int(report["twice"].sum())
+        return min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.5
+
+    def weighed(level: int, sizes: np.ndarray, d: float, cut) -> None:
+        sent = spark.sparkContext.broadcast(model)
+        spark.range(0, len(sizes), 1, max(1, min(len(sizes), 1 << 16))).mapInArrow(_weigh(sent, level, sizes, d, cut), "id long").count()
+
+    report = built(1, 1 << bits)
+    model.words = np.concatenate(([0], np.cumsum(spread(report, "size", 1 << bits))))
+    model.running = np.concatenate(([0], np.cumsum(spread(report, "total", 1 << bits))))
+    if model.n_words >= 1 << 32:
+        raise ValueError("more than 2^32 distinct words")
+    shards = model.tokens // model.limit + 1
+
+    report = built(2, shards)
+    model.pair_sizes, model.pair_first = spread(report, "size", shards), spread(report, "first", shards)
+    cut = _cut_contexts(report, np.zeros(len(report["shard"]), np.int64))
+    ahead, skip = None, 0  # the context that ended the last shard, and its successors so far
+    skips = []
+    for first, last, n, m in zip(*(report[c].tolist() for c in ("first", "last", "first_size", "last_size")), strict=True):
+        skips.append(skip if first == ahead else 0)
+        skip = m + (skips[-1] if first == last else 0)
+        ahead = last
+    model.pair_skip = np.zeros(shards, np.int64)
+    model.pair_skip[report["shard"]] = skips
+    model.triple_start = np.concatenate(([0], np.cumsum(spread(report, "total", shards) // model.limit + 1)))
+    d2 = discount(report)
+    weighed(2, model.pair_sizes, d2, cut)
+
+    shards = int(model.triple_start[-1])
+    report = built(3, shards)
+    model.triple_sizes = spread(report, "size", shards)
+    group = np.searchsorted(model.triple_start, report["shard"], "right") - 1
+    d3 = discount(report)
+    weighed(3, model.triple_sizes, d3, _cut_contexts(report, group))
+    model.discounts = (d2, d3)
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``id, n_tokens, n_known, base_score, score`` (log10) of every row (columns ``doc_id`` and ``text``)."""
-    everything = model.tokens + model.n_words + 1
-    has2, has3 = np.diff(model.pairs) > 0, model.triples > 0
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for _, _, data, bounds in common.blocks(batch.column("text"), TEXT_BYTES):
-                b = _Block(model, data, bounds)
+                b = _Block(sent.value, data, bounds)
                 b.identify()
+                b.find_pairs()
                 b.look_up_pairs()
-                base = np.log10((b.count + 1) / everything)
-                total = base.copy()
-                # a known pair has its own probability; else its context's weight times the word's
-                words, which = np.unique(b.id, return_inverse=True)
-                known = words >= 0
-                weight = np.zeros(len(words))
-                weight[known] = _backoffs(model, words[known], model.words, "2", has2)
-                back = weight[which]
-                total[1:] += back[:-1]
-                pair = b.number >= 0
-                total[pair] = b.logp2[pair]
-                # likewise for triples
-                pairs, which = np.unique(b.number, return_inverse=True)
-                known = pairs >= 0
-                weight = np.zeros(len(pairs))
-                weight[known] = _backoffs(model, pairs[known], model.pairs, "3", has3)
-                back = weight[which]
-                total[2:] += np.where(b.opens[1:-1], 0.0, back[1:-1])
-                at, i, r, which = b.triples()
-                logp, hit = np.zeros(len(i)), np.zeros(len(i), bool)
-                for shard, x, y in _slices(i, model.pairs):
-                    if has3[shard]:
-                        level = _load(model.base, f"3-{shard}")
-                        found, _ = _children(level, i[x:y] - model.pairs[shard], r[x:y])
-                        own = np.flatnonzero(found >= 0)
-                        hit[x + own] = True
-                        logp[x + own] = level["values"][level["codes"][found[own]]]
-                own = hit[which]
-                total[at[own]] = logp[which[own]]
-                counted = ~b.opens
-                first = b.first[:-1]
-                sums = [np.add.reduceat(np.where(counted, x, 0), first) for x in (counted.astype(np.int64), (b.count > 0).astype(np.int64), base, total)]
-                out.append(sums)
+                b.find_triples()
+                counted, first = ~b.opens, b.first[:-1]
+                values = (counted.astype(np.int64), (b.count > 0)[b.token].astype(np.int64), b.base[b.token], b.scores())
+                out.append([np.add.reduceat(np.where(counted, x, 0), first) for x in values])
             n, known, base, total = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2
             yield pa.record_batch([batch.column("id"), pa.array(n), pa.array(known), pa.array(base), pa.array(total)], ["id", "n_tokens", "n_known", "base_score", "score"])
 
@@ -517,7 +630,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def op3_lm(spark, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
-    model = fit(docs, common.fold("doc_id", 7) != 2, least=1)
+    model = fit(docs, common.fold("doc_id", 7) != 2)
     return score(docs, model).select(
         F.col("id").alias("doc_id"), (common.fold("id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -57,14 +57,13 @@ class Model:
 
 
 def _stem_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
-    short = np.minimum(ends, starts + n)
-    # only the first n bytes of each word are hashed; a word's stem differs from the word itself by a salt
+    # the first n bytes of each word, hashed by a seed of their own
     out = np.zeros(len(starts), np.uint64)
+    table = common._place_table(n)
     for i in range(n):
-        has = starts + i < short
         at = np.minimum(starts + i, len(data) - 1)
-        out += np.where(has, common._CODE[data[at]] * common._POWERS[i], 0).astype(np.uint64)
-    return common.mix(out ^ np.uint64(0x5DEECE66D * n))
+        out += np.where(starts + i < ends, table[(i << 8) + data[at].astype(np.int64)], 0).astype(np.uint64)
+    return common.mix(out)
 
 
 def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
