@@ -183,6 +183,9 @@ def test_elias_fano():
         values = np.sort(rng.integers(0, top, n).astype(np.uint64))
         coded = eliasfano.unpack(np.frombuffer(eliasfano.pack({"x": eliasfano.EliasFano.build(values)}), np.uint8))["x"]
         assert (coded.get(np.arange(n)) == values).all()
+        if n > 1:
+            some = rng.integers(0, n - 1, 500)
+            assert all((x == values[some + k]).all() for k, x in enumerate(coded.get_two(some)))
         asked = np.concatenate([values, rng.integers(0, 2 * top, 200).astype(np.uint64)])
         found = coded.find(asked)
         assert all((p >= 0 and values[p] == q) or (p < 0 and q not in values) for p, q in zip(found.tolist(), asked, strict=True))

@@ -44,7 +44,9 @@ def _placed(octets: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
 
 @cache
 def _place_table(seed: int) -> np.ndarray:
-    return _placed(np.tile(np.arange(256), _PLACES), np.repeat(np.arange(_PLACES), 256), seed)
+    table = _placed(np.tile(np.arange(256), _PLACES), np.repeat(np.arange(_PLACES), 256), seed)
+    table[np.tile(_SPACE, _PLACES)] = 0
+    return table
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -147,14 +149,15 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
         low = int(starts[at])
         end = max(at + 1, int(np.searchsorted(ends, low + BLOCK_BYTES, "right")))
         first, high = starts[at:end], int(ends[end - 1])
-        place = np.arange(high - low, dtype=np.int32) - np.repeat((first - low).astype(np.int32), np.diff(np.append(first, high)))
+        sizes = np.diff(np.append(first, high))
+        place = np.arange(high - low, dtype=np.int32) - np.repeat((first - low).astype(np.int32), sizes)
         octets = data[low:high]
-        late = np.flatnonzero(place >= _PLACES)
+        late = np.flatnonzero(place >= _PLACES) if sizes.max() > _PLACES else place[:0]
+        whole = place[late]
         place[late] = 0
         values = table[(place << 8) + octets]
         if len(late):
-            values[late] = _placed(octets[late], late + low - starts[np.searchsorted(starts, late + low, "right") - 1], seed)
-        values[_SPACE[octets]] = 0
+            values[late] = np.where(_SPACE[octets[late]], 0, _placed(octets[late], whole, seed))
         out[at:end] = np.add.reduceat(values, first - low)
         at = end
     return mix(out)

@@ -82,6 +82,18 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         return ((self._select(i, True) - i).astype(np.uint64) << _U(self.bits)) | self._low(i)
 
+    def get_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at positions ``i`` and ``i + 1``, the second by the next one of the same word wherever there is one."""
+        place = self._select(i, True)
+        after = (place & 63) + 1
+        held = self.a["high"][place >> 6] >> np.minimum(after, 63).astype(np.uint64)
+        held[after == 64] = 0
+        following = place + 1 + np.bitwise_count((held & (_U(0) - held)) - _U(1)).astype(np.int64)
+        rest = np.flatnonzero(held == 0)
+        following[rest] = self._select(i[rest] + 1, True)
+        bits = _U(self.bits)
+        return ((place - i).astype(np.uint64) << bits) | self._low(i), ((following - i - 1).astype(np.uint64) << bits) | self._low(i + 1)
+
     def find(self, values: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
         """Position of each value between positions ``low`` and ``high``, or -1: successor search in the value's bucket."""
         out = np.full(len(values), -1, np.int64)
@@ -104,7 +116,7 @@ class EliasFano:
         if low is not None:
             begin, end = np.maximum(begin, low[own]), np.minimum(end, high[own])
         top = end.copy()
-        todo = np.flatnonzero(begin < end)
+        todo = np.flatnonzero(end - begin > 1)  # one alone is just compared below
         while len(todo):
             mid = (begin[todo] + end[todo]) // 2
             less = self._low(mid) < wanted[todo]

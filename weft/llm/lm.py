@@ -56,6 +56,8 @@ from weft.llm.eliasfano import EliasFano, pack, unpack
 SHARD_TOKENS = 3_000_000
 #: Bytes of text whose n-grams are counted, or looked up, at once.
 TEXT_BYTES = 12 << 20
+#: Distinct words that a counting task holds before it passes them on.
+HELD = 2_000_000
 #: Shard files that one worker keeps mapped.
 MAPPED = 512
 #: Log-probabilities are rounded to this part of a decade.
@@ -100,6 +102,13 @@ class Model:
     def everything(self) -> int:
         return self.tokens + self.n_words + 1
 
+    def word_shards(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> _U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
+
+    def cut(self, shard: int) -> bool:
+        """Whether a shard of level 2 has words enough behind its pairs for several shards of level 3."""
+        return bool(self.triple_start[shard + 1] - self.triple_start[shard] > 1)
+
     def place(self, before: np.ndarray, count: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Where among its level's occurrences an n-gram lies: after its context's earlier ones, by its last word."""
         return before + (word / max(self.n_words, 1) * count).astype(np.int64)
@@ -183,7 +192,7 @@ def _children(level: dict, parent: np.ndarray, value: np.ndarray) -> tuple[np.nd
     context, run = parent[new], np.cumsum(new) - 1
     inside = context < level["pointers"].n - 1
     low, high = np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
-    low[inside], high[inside] = level["pointers"].get(context[inside]), level["pointers"].get(context[inside] + 1)
+    low[inside], high[inside] = level["pointers"].get_two(context[inside])
     base = np.zeros(len(low), np.uint64)
     later = np.flatnonzero(low > 0)
     base[later] = level["ids"].get(low[later] - 1)
@@ -215,12 +224,15 @@ class _Block:
         words = np.flatnonzero(inside)
         hashes[words] = common.hash_words(data, starts, ends, model.seed)
         self.distinct, self.token = np.unique(hashes, return_inverse=True)
+        self.check = None
+        if not checks:  # for texts whose every word is known
+            return
         # any one occurrence of each distinct word gives its second hash
         seen = np.full(len(self.distinct), _NONE, np.int64)
         seen[self.token[words]] = np.arange(len(words))
         some = np.flatnonzero(seen >= 0)
         self.check = np.zeros(len(self.distinct), np.uint32)
-        if checks and len(some):
+        if len(some):
             self.check[some] = common.hash_words(*_gathered(data, starts[seen[some]], ends[seen[some]]), model.seed + 1000) >> _U(32)
 
     def identify(self) -> None:
@@ -228,18 +240,19 @@ class _Block:
         model, hashes = self.model, self.distinct
         n = len(hashes)
         self.id, self.count, self.before = np.full(n, _NONE, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for shard, a, b in _runs((hashes >> _U(64 - model.bits)).astype(np.int64) if model.bits else np.zeros(n, np.int64)):
+        for shard, a, b in _runs(model.word_shards(hashes)):
             if model.words[shard] == model.words[shard + 1]:
                 continue
             level = _load(model.base, f"1-{shard}")
             at = level["keys"].find(hashes[a:b] - (_U(shard) << _U(64 - model.bits) if model.bits else _U(0)))
             hit = np.flatnonzero(at >= 0)
-            hit = hit[level["checks"][at[hit]] == self.check[a + hit]]
+            if self.check is not None:
+                hit = hit[level["checks"][at[hit]] == self.check[a + hit]]
             at = at[hit]
-            sums = level["counts"].get(at).astype(np.int64)
+            sums, more = (x.astype(np.int64) for x in level["counts"].get_two(at))
             self.id[a + hit] = at + model.words[shard]
             self.before[a + hit] = sums + model.running[shard]
-            self.count[a + hit] = level["counts"].get(at + 1).astype(np.int64) - sums
+            self.count[a + hit] = more - sums
         self.base = np.log10((self.count + 1) / model.everything)
 
     def find_pairs(self) -> None:
@@ -255,7 +268,7 @@ class _Block:
         return self.model.place(self.before[u], self.count[u], self.id[self.pair_w]) // self.model.limit
 
     def look_up_pairs(self) -> None:
-        """Of each distinct pair: its shard, number and code, its rank among its first word's successors, and its occurrences and those of earlier pairs of the shard."""
+        """Of each distinct pair: its shard, number and code, its rank among its first word's successors, and (in shards that are cut at level 3) its occurrences and those of earlier pairs of the shard."""
         model, n = self.model, len(self.pair_u)
         self.pair_shard = self.pair_shards()
         self.number, self.rank = np.full(n, _NONE, np.int64), np.full(n, _NONE, np.int64)
@@ -274,9 +287,11 @@ class _Block:
             self.number[own] = at
             self.rank[own] = nth[hit] + np.where(u[own] == first, model.pair_skip[shard], 0)
             self.code[own] = _load(model.base, f"2p-{shard}")["codes"][at]
-            sums = level["counts"].get(at).astype(np.int64)
-            self.pair_before[own] = sums
-            self.pair_count[own] = level["counts"].get(at + 1).astype(np.int64) - sums
+            if model.cut(shard):
+                counts = _load(model.base, f"2c-{shard}")["counts"]
+                sums = counts.get(at).astype(np.int64)
+                self.pair_before[own] = sums
+                self.pair_count[own] = counts.get(at + 1).astype(np.int64) - sums
 
     def find_triples(self) -> None:
         """Distinct triples of known pairs as two distinct pairs each, where they end, and the shards they'd lie in."""
@@ -289,7 +304,7 @@ class _Block:
         keys, self.triple_which = np.unique(keys, return_inverse=True)
         self.triple_a, self.triple_b = a, b = (keys >> _U(32)).astype(np.int64), (keys & _LOW32).astype(np.int64)
         place = model.place(self.pair_before[a], self.pair_count[a], self.id[self.pair_w[b]])
-        self.triple_shard = model.triple_start[self.pair_shard[a]] + place // model.limit
+        self.triple_shard = model.triple_start[self.pair_shard[a]] + place // model.limit  # both counts are zero where there is one shard
 
     def word_weights(self) -> np.ndarray:
         """Logarithm of the weight that each distinct word leaves to shorter contexts; 0 for unknown words."""
@@ -374,31 +389,41 @@ _COUNTED = "shard long, part binary"
 def _count(sent, level: int):
     """n-grams of each block, one row for each shard they meet."""
 
+    def dealt(shard: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+        rows = [(s, _packed([c[x:y] for c in columns])) for s, x, y in _runs(shard)]
+        return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "part"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model, held, size = sent.value, [], 0
         for batch in batches:
             for _, _, data, bounds in common.blocks(batch.column("text"), TEXT_BYTES):
-                block = _Block(model, data, bounds)
+                block = _Block(model, data, bounds, level == 1)
                 if level == 1:
-                    key, extra = block.distinct, block.check
-                    n = np.bincount(block.token, ~block.opens, len(key)).astype(np.int64)
-                    shard = (key >> _U(64 - model.bits)).astype(np.int64) if model.bits else np.zeros(len(key), np.int64)
+                    held.append([block.distinct, np.bincount(block.token, ~block.opens, len(block.distinct)).astype(np.int64), block.check])
+                    size += len(block.distinct)
+                    if size > HELD:
+                        held = [_merged(held, 1)]
+                        size = len(held[0][0])
+                        if size > HELD // 2:
+                            yield dealt(model.word_shards(held[0][0]), held.pop())
+                            size = 0
+                    continue
+                block.identify()
+                block.find_pairs()
+                if level == 2:
+                    w = block.pair_w
+                    shard, parent, child = block.pair_shards(), block.id[block.pair_u], block.id[w]
+                    n, extra = np.bincount(block.pair_which, minlength=len(w)), _codes(block.base)[w]
                 else:
-                    block.identify()
-                    block.find_pairs()
-                    if level == 2:
-                        w = block.pair_w
-                        shard, parent, child = block.pair_shards(), block.id[block.pair_u], block.id[w]
-                        n, extra = np.bincount(block.pair_which, minlength=len(w)), _codes(block.base)[w]
-                    else:
-                        block.look_up_pairs()
-                        block.find_triples()
-                        b = block.triple_b
-                        shard, parent, child = block.triple_shard, block.number[block.triple_a], block.rank[b]
-                        n, extra = np.bincount(block.triple_which, minlength=len(b)), block.code[b]
-                    key = (parent.astype(np.uint64) << _U(32)) | child.astype(np.uint64)
-                rows = [(s, _packed([key[x:y], n[x:y], extra[x:y]])) for s, x, y in _runs(shard)]
-                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "part"])
+                    block.look_up_pairs()
+                    block.find_triples()
+                    b = block.triple_b
+                    shard, parent, child = block.triple_shard, block.number[block.triple_a], block.rank[b]
+                    n, extra = np.bincount(block.triple_which, minlength=len(b)), block.code[b]
+                yield dealt(shard, [(parent.astype(np.uint64) << _U(32)) | child.astype(np.uint64), n, extra])
+        if held:
+            key, n, extra = _merged(held, 1)
+            yield dealt(model.word_shards(key), [key, n, extra])
 
     return run
 
@@ -453,10 +478,10 @@ def _build(sent, level: int):
             lasts = np.where(size > 0, child[np.maximum(pointers[1:] - 1, 0)], 0)
             base = np.concatenate(([0], np.cumsum(lasts)))[:-1]
             main = {"pointers": EliasFano.build(pointers), "ids": EliasFano.build((child + base[parent - first]).astype(np.uint64)), "first": np.array([first])}
-            rest = {"lower": extra}
-            (main if level == 2 else rest)["counts"] = sums
             _store(model.base, f"{level}-{shard}", pack(main))
-            _store(model.base, f"{level}t-{shard}", pack(rest))
+            _store(model.base, f"{level}t-{shard}", pack({"lower": extra, "counts": sums}))
+            if level == 2 and _parts(total, model.limit) > 1:
+                _store(model.base, f"2c-{shard}", pack({"counts": sums}))
             ends = [(first, size[0], n[: size[0]].sum()), (last, size[-1], n[-size[-1] :].sum())]
             out.append([shard, len(key), total, (n == 1).sum(), (n == 2).sum(), *ends[0], *ends[1]])
         yield pa.record_batch([pa.array([int(r[k]) for r in out], pa.int64()) for k in range(len(_REPORT))], _REPORT)
@@ -464,6 +489,11 @@ def _build(sent, level: int):
     return run
 
 
+def _parts(total, limit: int):
+    """How many shards of level 3 the pairs of a shard of level 2 take that have ``total`` occurrences (as a rule, about ``limit``)."""
+    return np.where(total < 2 * limit, 1, total // limit + 1)
+
+
 def _word_at(model: Model, place: int) -> int:
     """The first word with at least ``place`` occurrences of words before it."""
     if place >= model.tokens:
@@ -498,21 +528,22 @@ def _weigh(sent, level: int, sizes: np.ndarray, discount: float, cut: tuple[np.n
             for shard in batch.column("id").to_pylist():
                 if _exists(model.base, f"{level}p-{shard}"):  # this task was run before
                     continue
-                group, above = 0, None
+                group = 0
                 if level == 2:
                     home = [_word_at(model, shard * model.limit), _word_at(model, (shard + 1) * model.limit)]
                 else:
                     group = int(np.searchsorted(model.triple_start, shard, "right")) - 1
-                    above = _load(model.base, f"2-{group}")["counts"] if model.pair_sizes[group] else None
-                    start = (shard - int(model.triple_start[group])) * model.limit
-                    sums = above.get(np.arange(above.n - 1)).astype(np.int64) if above else _none()
-                    home = np.searchsorted(sums, [start, start + model.limit]).tolist()
+                    home = [0, int(model.pair_sizes[group])]
+                    if model.cut(group):
+                        above = _load(model.base, f"2c-{group}")["counts"]
+                        start = (shard - int(model.triple_start[group])) * model.limit
+                        home = np.searchsorted(above.get(np.arange(above.n - 1)).astype(np.int64), [start, start + model.limit]).tolist()
                 size, total = np.zeros(home[1] - home[0], np.int64), np.zeros(home[1] - home[0], np.int64)
                 codes = np.zeros(0, np.uint16)
                 if sizes[shard]:
                     held, rest = _load(model.base, f"{level}-{shard}"), _load(model.base, f"{level}t-{shard}")
                     first, pointers = int(held["first"][0]), held["pointers"].get(np.arange(held["pointers"].n)).astype(np.int64)
-                    counts = (held if level == 2 else rest)["counts"]
+                    counts = rest["counts"]
                     sums = counts.get(np.arange(counts.n)).astype(np.int64)
                     n, each, all_ = np.diff(sums), np.diff(pointers), np.diff(sums[pointers])
                     for at in {0, len(each) - 1}:
@@ -592,7 +623,7 @@ def fit(docs: DataFrame, keep=None, shard_tokens: int = SHARD_TOKENS, seed: int
         ahead = last
     model.pair_skip = np.zeros(shards, np.int64)
     model.pair_skip[report["shard"]] = skips
-    model.triple_start = np.concatenate(([0], np.cumsum(spread(report, "total", shards) // model.limit + 1)))
+    model.triple_start = np.concatenate(([0], np.cumsum(np.where(model.pair_sizes > 0, _parts(spread(report, "total", shards), model.limit), 1))))
     d2 = discount(report)
     weighed(2, model.pair_sizes, d2, cut)
 
