@@ -3,11 +3,14 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ import corpus_pipeline
 from weft.llm import common, components, eliasfano, exact, lm, mixing, pieces, registry, simhash, topk
 
 
-def test_exact_duplicates(docs, empty, rows):
+def test_exact_duplicates(monkeypatch, docs, empty, rows):
     groups = collections.defaultdict(list)
     for r in rows:
         groups[re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "")].append(r[0])
@@ -24,8 +27,17 @@ def test_exact_duplicates(docs, empty, rows):
         least = min((i for i in ids if i is not None), default=None)
         for i in ids:
             want[i, least, len(ids), i == least, hashlib.sha256(text.encode()).hexdigest()] += 1
-    assert collections.Counter(tuple(r) for r in exact.duplicates(docs).collect()) == want
+    def found(df, *row):
+        return collections.Counter((r.id, r.keep_id, r.group_size, r.kept, r.digest) for r in exact.duplicates(df, *row).collect())
+
+    assert found(docs) == want
+    monkeypatch.setattr(exact, "LANE_ROWS", 3)  # some seventy lanes, three rounds
+    assert found(docs) == want
     assert exact.duplicates(empty).count() == 0
+    # rows with a key of their own: one row of each group stays
+    kept = [r for r in exact.duplicates(docs.withColumn("key", F.monotonically_increasing_id()).cache(), "key").collect() if r.kept]
+    assert sorted(r.digest for r in kept) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in groups)
+    assert all(r.id == r.keep_id for r in kept)
 
 
 def brute_fingerprint(text):
@@ -85,14 +97,114 @@ def test_links_against_all_pairs(spark, monkeypatch, bucket):
         assert found.get(v, v) == (least[r] if sizes[r] > 1 else v)
 
 
-def test_bit_sliced_counts():
-    rng = np.random.default_rng(5)
-    values = np.unique(rng.integers(0, 16, 200).astype(np.uint64) | (rng.integers(0, 4, 200).astype(np.uint64) << np.uint64(60)))
-    planes = simhash.bit_planes(values)
-    for radius in (0, 1, 2):
-        for v in values.tolist():
-            flags = np.unpackbits(simhash.within(planes, v, 0, radius).view(np.uint8), bitorder="little")[: len(values)]
-            assert flags.tolist() == [int((v ^ x).bit_count() <= radius) for x in values.tolist()]
+@pytest.mark.parametrize(("longs", "radius"), [(1, 0), (1, 1), (1, 2), (1, 9), (2, 31)])
+def test_bit_sliced_comparison_against_all_pairs(monkeypatch, longs, radius):
+    """Many buckets at once, from one value to hundreds, against plain xors; and their spanning forests."""
+    monkeypatch.setattr(simhash, "PAIRS", 500)
+    rng = np.random.default_rng(longs + radius)
+    values, bucket = [], []
+    for b in range(30):
+        seed = rng.integers(0, 1 << 63, longs).astype(np.uint64)
+        for _ in range(int(rng.integers(1, 150))):
+            v = seed.copy()
+            for at in rng.integers(0, 64 * longs, int(rng.integers(0, 2 * radius + 2))).tolist():
+                v[at >> 6] ^= np.uint64(1 << (at & 63))
+            values.append(v)
+            bucket.append(b)
+    values, cuts = np.stack(values), np.flatnonzero(np.diff(bucket, prepend=-1))
+    want = {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if bucket[i] == bucket[j] and np.bitwise_count(values[i] ^ values[j]).sum() <= radius}
+    found = [p for i, j in simhash.neighbours(values, cuts, radius) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    assert len(found) == len(set(found)) and set(found) == want
+    root = list(range(len(values)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in simhash.forests(values, cuts, radius).tolist():
+        assert (i, j) in want and find(i) != find(j)
+        root[find(i)] = find(j)
+    assert all(find(i) == find(j) for i, j in want)
+
+
+def test_comparison_abandons_blocks():
+    """Words whose 64 lanes are all too far leave early: far values cost no more than their first planes."""
+    rng = np.random.default_rng(9)
+    planes = simhash.bit_planes(rng.integers(0, 1 << 63, (6400, 1)).astype(np.uint64))
+    seen = []
+
+    class Watched(np.ndarray):
+        def __getitem__(self, key):
+            seen.append(len(key[1]))
+            return np.asarray(self)[key]
+
+    flags = simhash.within(planes.view(Watched), np.arange(100), np.zeros((100, 1), np.uint64), 2)
+    assert not flags.any() and seen[0] == 100 and len(seen) < 64
+
+
+def near_texts(rng):
+    """Texts with copies that differ in a word or a few, boilerplate that many share, and short and empty ones."""
+    vocabulary = [a + b + c for a in "bdfgklm" for b in "aeiou" for c in "nrst"]
+    texts = {}
+    for group in range(25):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(40, 200))]
+        for _ in range(rng.randrange(1, 7)):
+            own = list(words)
+            for _ in range(rng.randrange(0, 5)):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            texts[len(texts)] = " ".join(own)
+        if group % 5 == 0:
+            texts[len(texts)] = " ".join(words[: len(words) // 2])  # a half is no near copy
+    for _ in range(60):  # one large group around one text
+        own = words[:]
+        own[rng.randrange(len(own))] = rng.choice(vocabulary)
+        texts[len(texts)] = " ".join(own)
+    for t in ("", None, " \t", "one two", "ONE  two", "one two three"):
+        texts[len(texts)] = t
+    return texts
+
+
+def brute_groups(texts):
+    """Smallest key of each text's component under a Jaccard similarity of 0.8 on word 5-shingles."""
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    sets = {k: shingles(t) for k, t in texts.items()}
+    root = {k: k for k in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    keys = sorted(texts)
+    for n, i in enumerate(keys):
+        for j in keys[:n]:
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {k: find(k) for k in keys}
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_similar_texts_against_all_pairs(spark, monkeypatch, block):
+    """With tiny blocks large buckets are cut and later rounds have to join what the first left apart."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    texts = near_texts(random.Random(11))
+    want = brute_groups(texts)
+    docs = spark.createDataFrame([(k, t, 1) for k, t in texts.items()], "row long, text string, label int").repartition(4)
+    found = {r.row: r.label for r in simhash.similar(docs).collect()}
+    groups = collections.defaultdict(set)
+    for k in texts:
+        groups[found.get(k, -1 - k)].add(k)
+    for group in groups.values():  # never together what isn't
+        assert len({want[k] for k in group}) == 1
+    linked = sum(len(g) - 1 for g in groups.values())
+    assert linked >= 0.97 * (len(want) - len(set(want.values())))
+    assert simhash.similar(docs.limit(0)).count() == 0
 
 
 def test_near_duplicates_of_messy_rows(docs, empty, rows):
@@ -116,21 +228,27 @@ def test_chain_and_hub_components(spark):
     assert all(found[i] == 100 for i in range(100, 161)) and all(found[i] == 7 for i in range(200, 400)) and 5 not in found
 
 
-def test_targets_fill_to_their_caps(spark):
-    sizes = {"a": 10, "b": 1000, "c": 500, "d": 0, None: 20}
-    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
-    found = {r.source: r for r in mixing.targets(df).collect()}
-    weights = {"a": 5, "b": 2, "c": 1, "d": 5, None: 2}
-    total, free, level = sum(sizes.values()), set(sizes), 0
-    while True:  # shares, caps, and again
+def brute_targets(sizes, rows=()):
+    """Each source's share of all words by weight, capped at three times its own, the excess reshared."""
+    for source, n in rows:
+        sizes[source] += n
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    total, free = sum(sizes.values()), set(sizes)
+    while free:
         level = (total - sum(3 * sizes[s] for s in sizes if s not in free)) / sum(weights[s] for s in free)
         over = {s for s in free if level * weights[s] > 3 * sizes[s]}
         if not over:
             break
         free -= over
-    for s in sizes:
-        want = level * weights[s] if s in free else 3 * sizes[s]
-        assert math.isclose(found[s].target, want) and found[s].weight == weights[s]
+    return {s: level * weights[s] if s in free else 3.0 * sizes[s] for s in sizes}
+
+
+def test_targets_fill_to_their_caps(spark):
+    sizes = collections.Counter({"a": 10, "b": 1000, "c": 500, "d": 0, None: 20})
+    found = {r.source: r for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+    want = brute_targets(sizes)
+    assert all(math.isclose(found[s].target, want[s]) for s in sizes)
 
 
 def test_mix_of_messy_rows(docs, empty, rows):
@@ -173,10 +291,38 @@ def test_top_k_against_all_pairs(spark, monkeypatch):
         if q % 50 == 0:
             best = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in usable if i != q)[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert sorted(tuple(r) for r in topk.top_k(vectors).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in topk.top_k(vectors.withColumns({"id": F.lit(1), "score": F.lit(2), "block": F.lit(3)})).collect()) == sorted(want)
     assert topk.top_k(vectors.limit(0)).count() == 0
 
 
+def test_top_k_skips_products_that_cannot_count(spark, monkeypatch):
+    """Clustered vectors: few candidates can reach the cutoff, so most local scores are never formed."""
+    monkeypatch.setattr(topk, "ROWS", 256)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 32)) * np.linspace(3, 0.1, 32)
+    vectors = np.array([centres[i % 40] + rng.normal(size=32) * 0.02 for i in range(4000)])
+    data = list(enumerate((vectors / np.linalg.norm(vectors, axis=1)[:, None]).tolist()))
+    counts = topk.Counts(spark)
+    found = topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(4), counts=counts).collect()
+    whole = np.floor(256 * np.array([v for _, v in data])).astype(np.int64)
+    want = set()
+    for q in range(0, 4000, 50):
+        best = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:5]
+        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in found} == want
+    assert counts.pairs.value == 80 * 4000 and counts.formed.value < 0.5 * topk.LISTS * counts.pairs.value
+
+
+def test_top_k_of_huge_components(spark):
+    """Sums beyond 2^53 are whole numbers still; beyond 64 bits they are the nearest long."""
+    data = [(0, [2.0**27, 1.0]), (1, [2.0**27, 1.0 / 256]), (2, [2.0**27, 2.0 / 256]), (3, [1e17, 1.0]), (4, [-1e308, 2.0]), (5, [1e308, 0.0]), (6, [0.0, 0.5])]
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    whole = [[int(x) * 256 if abs(x) >= 2**45 else math.floor(256 * x) for x in v] for _, v in data]
+    scores = [max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(whole[0], v, strict=True)))) for v in whole]
+    want = sorted((-s, i) for i, s in enumerate(scores) if i)[:5]
+    assert [found[0, k + 1] for k in range(5)] == [(i, -s) for s, i in want]
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, top in ((0, 9), (1, 1), (5, 3), (3000, 10**6), (3000, 2**62), (2000, 900)):
@@ -296,9 +442,6 @@ def test_words_that_share_a_hash_are_told_apart(spark, monkeypatch):
 
 
 def test_pieces_against_the_library(spark, docs, rows):
-    sentencepiece = pytest.importorskip("sentencepiece")
-    import public_tokenizers
-
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     model = pieces.default_model()
     codec = pieces.Codec(model)
@@ -333,27 +476,64 @@ def test_long_text_is_cut_between_chunks(monkeypatch):
     assert codec.encode(text) == whole and codec.digests(text)[0] == len(whole)
 
 
-def test_pipeline_stage_by_stage(spark, sf, rows):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    state = docs.collect()
+def test_pipeline_stage_by_stage(spark, sf, docs, rows):
+    """Each stage against brute force over whole rows, null and repeated ids among them."""
+    sf_docs = spark.read.parquet(f"{sf}/documents.parquet")
+    state = [tuple(r) for r in sf_docs.select(*corpus_pipeline.COLUMNS).collect()]
+    state += [(5, state[0][1], "en", "src9", 1), (5, "wholly unique other words for an id that repeats", "en", "src9", 1), (None, "null id but toxic trash idiot loser trash idiot", "en", "src9", 1)]
     for name, stage in corpus_pipeline.STAGES:
         before = state
-        result = stage(spark, spark.createDataFrame(before, docs.schema if name == "toxicity" else kept_schema), sf)
-        state = result.collect()
-        kept_schema = result.schema
-        ids = {r.doc_id for r in state}
-        assert ids <= {r.doc_id for r in before}
+        result = stage(spark, spark.createDataFrame(before, "doc_id long, text string, lang string, source string, n_chars long"), sf)
+        state = [tuple(r) for r in result.collect()]
+        if name != "pieces":
+            assert result.columns == corpus_pipeline.COLUMNS
+            assert not set(state) - set(before)
+        texts = collections.Counter(r[1] for r in state)
         if name == "toxicity":
-            clean = {r.doc_id for r in before if "trash" not in (r.text or "")}
-            assert len(clean - ids) <= 0.05 * len(clean)
+            clean = [r for r in before if "trash" not in (r[1] or "")]
+            assert not any("null id but toxic" in (r[1] or "") for r in state)
+            assert len(clean) - sum("trash" not in (r[1] or "") for r in state) <= 0.05 * len(clean)
         elif name == "exact_dedup":
-            assert not ids & set(range(300, 340)) and len(state) < len(before)
+            want = {}
+            for r in before:
+                key = re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "")
+                if key not in want or (r[0] is None, r[0] or 0) < (want[key] is None, want[key] or 0):
+                    want[key] = r[0]
+            assert sorted((re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or ""), str(r[0])) for r in state) == sorted((k, str(v)) for k, v in want.items())
+            assert texts["wholly unique other words for an id that repeats"] == 1
         elif name == "near_dedup":
-            fps = [brute_fingerprint(r.text or "") for r in state if r.doc_id is not None]
-            assert len(set(brute_components(sorted(set(fps))))) == len(set(fps))
-        elif name == "pieces":
+            groups = brute_groups({k: r[1] for k, r in enumerate(before)})
+            first = {}
+            for k, r in enumerate(before):
+                first[groups[k]] = min(first.get(groups[k], (True, 0)), (r[0] is None, r[0] or 0))
+            want = collections.Counter((first[g][0], first[g][1]) for g in set(groups.values()))
+            found = collections.Counter((r[0] is None, r[0] or 0) for r in state)
+            assert not want - found  # every group's first document stays
+            assert (found - want).total() <= 0.03 * len(before)  # and hardly another
+        elif name == "mixing":
+            sizes = [len((r[1] or "").split()) for r in before]
+            targets = brute_targets(collections.Counter(), [(r[3], n) for r, n in zip(before, sizes, strict=True)])
+            taken = collections.Counter()
+            for r in state:
+                taken[r[3]] += len((r[1] or "").split())
+            largest = max(sizes)
+            assert all(abs(taken[source] - target) <= 2 * largest for source, target in targets.items())
+            copies = collections.Counter(state)
+            assert all(n <= 3 * before.count(r) for r, n in copies.items())
+            assert all(r in copies for r, n in zip(before, sizes, strict=True) if not n)
+        else:
             assert len(state) == len(before)
-    assert corpus_pipeline.run(spark, sf).count() == len(state)
+            library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+            want = collections.Counter((r[0], len(library.encode(r[1] or ""))) for r in before)
+            found = result.select("doc_id", "n_tokens").collect()
+            assert collections.Counter((r.doc_id, r.n_tokens) for r in found) == want
+    assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_pipeline_on_empty_tables(spark, empty, no_labels, tmp_path):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    no_labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_every_query_runs_on_messy_tables(spark, sf):

@@ -75,6 +75,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """``columns`` and a unique ``row``, written once, so that the key stays with its row whatever ids repeat or are null."""
+    return written(docs.select(*columns, F.monotonically_increasing_id().alias("row")), name)
+
+
 def fold(id_column: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; -1 for a null id (in no held-out fold)."""
     column = F.col(id_column) if isinstance(id_column, str) else id_column

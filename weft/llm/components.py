@@ -2,8 +2,12 @@
 
 Edges are ``(a, b)`` of long ids.  Each step replaces edges by ones that point at
 smaller ids (Kiveris et al. 2014) and keeps the components; it ends when every edge
-points at its component's smallest id.  Minima are pre-aggregated before the shuffle, so a hub's
-neighbours never meet as a list.  Each round is written to the shared folder.
+points at its component's smallest id.  Each round is written to the shared folder.
+
+A hub's edges never meet under one key: they are dealt over ``LANES`` lanes by their
+other end, minima are taken by lane first, and a hub's minimum goes back to its lanes
+and from there to the edges.  Null ids and self-edges link nothing; repeated edges count
+once; an empty table has no components.
 """
 
 from __future__ import annotations
@@ -13,22 +17,26 @@ from pyspark.sql import functions as F
 
 from weft.llm import common
 
+LANES = 64
+
 
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+def _with_least(near: DataFrame) -> DataFrame:
+    """Edges with ``m``, the least ``b`` of their ``a``."""
+    near = near.withColumn("lane", F.pmod(F.xxhash64("b"), F.lit(LANES)).cast("int"))
+    lanes = near.groupBy("a", "lane").agg(F.min("b").alias("m"))
+    least = lanes.groupBy("a").agg(F.min("m").alias("m"))
+    return near.join(lanes.select("a", "lane").join(least, "a"), ["a", "lane"]).drop("lane")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    near = _both(edges)
-    least = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    return near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    near = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return _with_least(near).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return least.select("a", F.col("m").alias("b")).union(moved)
+    moved = _with_least(down)
+    return moved.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:

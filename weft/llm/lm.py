@@ -117,7 +117,7 @@ class Model:
 # ---- files -------------------------------------------------------------------
 
 
-def _store(base: str, name: str, raw: bytes) -> None:
+def write_file(base: str, name: str, raw: bytes) -> None:
     """Write a file of the model from wherever this task runs; a reader sees all of it or nothing."""
     fs, path = pafs.FileSystem.from_uri(base)
     fs.create_dir(path, recursive=True)
@@ -141,20 +141,25 @@ def _remove(base: str, name: str) -> None:
 _mapped: OrderedDict[tuple[str, str], dict] = OrderedDict()
 
 
+def read_file(base: str, name: str) -> np.ndarray | None:
+    """A file's bytes as a memory map (from a remote store by way of an unlinked local copy), or None if there is none."""
+    fs, path = pafs.FileSystem.from_uri(base)
+    if fs.get_file_info(f"{path}/{name}").type == pafs.FileType.NotFound:
+        return None
+    if isinstance(fs, pafs.LocalFileSystem):
+        return np.memmap(f"{path}/{name}", np.uint8, "r")
+    with tempfile.NamedTemporaryFile() as copy, fs.open_input_stream(f"{path}/{name}") as source:
+        while block := source.read(1 << 24):
+            copy.write(block)
+        copy.flush()
+        return np.memmap(copy.name, np.uint8, "r")
+
+
 def _load(base: str, name: str) -> dict:
-    """A file of the model as memory-mapped views; from a remote store by way of an unlinked local copy."""
+    """A file of the model as memory-mapped views."""
     found = _mapped.get((base, name))
     if found is None:
-        fs, path = pafs.FileSystem.from_uri(base)
-        if isinstance(fs, pafs.LocalFileSystem):
-            raw = np.memmap(f"{path}/{name}", np.uint8, "r")
-        else:
-            with tempfile.NamedTemporaryFile() as copy, fs.open_input_stream(f"{path}/{name}") as source:
-                while block := source.read(1 << 24):
-                    copy.write(block)
-                copy.flush()
-                raw = np.memmap(copy.name, np.uint8, "r")
-        found = _mapped[base, name] = unpack(raw)
+        found = _mapped[base, name] = unpack(read_file(base, name))
         while len(_mapped) > MAPPED:
             _mapped.popitem(last=False)
     else:
@@ -323,10 +328,9 @@ class _Block:
             out[own] = _logs(level["weights"][self.number[own] - level["home"][0]])
         return out
 
-    def scores(self) -> np.ndarray:
-        """Log-probability of each token."""
+    def scores(self, total: np.ndarray) -> np.ndarray:
+        """Log-probability of each token, in place of its base."""
         model = self.model
-        total = self.base[self.token]
         total[1:] += self.word_weights()[self.token[:-1]]  # a known pair has its own probability; else its context's weight times the word's
         found = self.number >= 0
         hit = found[self.pair_which]
@@ -467,7 +471,7 @@ def _build(sent, level: int):
             sums = EliasFano.build(np.concatenate(([0], np.cumsum(n))))
             if level == 1:
                 start = _U(shard) << _U(64 - model.bits) if model.bits else _U(0)
-                _store(model.base, f"1-{shard}", pack({"keys": EliasFano.build(key - start), "checks": extra, "counts": sums}))
+                write_file(model.base, f"1-{shard}", pack({"keys": EliasFano.build(key - start), "checks": extra, "counts": sums}))
                 out.append([shard, len(key), total, *[0] * 8])
                 continue
             parent, child = (key >> _U(32)).astype(np.int64), (key & _LOW32).astype(np.int64)
@@ -478,10 +482,10 @@ def _build(sent, level: int):
             lasts = np.where(size > 0, child[np.maximum(pointers[1:] - 1, 0)], 0)
             base = np.concatenate(([0], np.cumsum(lasts)))[:-1]
             main = {"pointers": EliasFano.build(pointers), "ids": EliasFano.build((child + base[parent - first]).astype(np.uint64)), "first": np.array([first])}
-            _store(model.base, f"{level}-{shard}", pack(main))
-            _store(model.base, f"{level}t-{shard}", pack({"lower": extra, "counts": sums}))
+            write_file(model.base, f"{level}-{shard}", pack(main))
+            write_file(model.base, f"{level}t-{shard}", pack({"lower": extra, "counts": sums}))
             if level == 2 and _parts(total, model.limit) > 1:
-                _store(model.base, f"2c-{shard}", pack({"counts": sums}))
+                write_file(model.base, f"2c-{shard}", pack({"counts": sums}))
             ends = [(first, size[0], n[: size[0]].sum()), (last, size[-1], n[-size[-1] :].sum())]
             out.append([shard, len(key), total, (n == 1).sum(), (n == 2).sum(), *ends[0], *ends[1]])
         yield pa.record_batch([pa.array([int(r[k]) for r in out], pa.int64()) for k in range(len(_REPORT))], _REPORT)
@@ -558,7 +562,7 @@ def _weigh(sent, level: int, sizes: np.ndarray, discount: float, cut: tuple[np.n
                     size[-1], total[-1] = max((size[-1], total[-1]), whole(group, home[1] - 1))
                 weights = _codes(np.log10(np.maximum(discount * size, 1e-9) / np.maximum(total, 1)))
                 weights[size == 0] = 0  # nothing ever follows
-                _store(model.base, f"{level}p-{shard}", pack({"codes": codes, "weights": weights, "home": np.array(home)}))
+                write_file(model.base, f"{level}p-{shard}", pack({"codes": codes, "weights": weights, "home": np.array(home)}))
                 _mapped.pop((model.base, f"{level}t-{shard}"), None)
                 _remove(model.base, f"{level}t-{shard}")
         yield pa.record_batch([pa.array([], pa.int64())], ["id"])
@@ -650,11 +654,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 b.find_pairs()
                 b.look_up_pairs()
                 b.find_triples()
-                counted, first = ~b.opens, b.first[:-1]
-                values = (counted.astype(np.int64), (b.count > 0)[b.token].astype(np.int64), b.base[b.token], b.scores())
-                out.append([np.add.reduceat(np.where(counted, x, 0), first) for x in values])
+                base = b.base[b.token]
+                values = ((b.count > 0).astype(np.int32)[b.token], base, b.scores(base.copy()))
+                for x in values:
+                    x[b.opens] = 0
+                out.append([np.diff(b.first) - 1, *(np.add.reduceat(x, b.first[:-1]) for x in values)])
             n, known, base, total = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2
-            yield pa.record_batch([batch.column("id"), pa.array(n), pa.array(known), pa.array(base), pa.array(total)], ["id", "n_tokens", "n_known", "base_score", "score"])
+            yield pa.record_batch([batch.column("id"), pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total)], ["id", "n_tokens", "n_known", "base_score", "score"])
 
     return common.map_texts(docs, [F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text")], run, "id long, n_tokens long, n_known long, base_score double, score double")
 

@@ -114,10 +114,14 @@ def schedule(spark, sources: DataFrame, total: int, n_sources: int) -> DataFrame
     )
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (columns ``doc_id, text, source``): ``id, size, source_size, target, taken``."""
+def mix(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """One row per row of ``docs`` (columns ``doc_id, text, source``): ``id, row, size, source_size, target, taken``.
+
+    ``row`` names a key by which rows can be told apart, if they have one.
+    """
     spark = docs.sparkSession
-    sized = common.written(docs.select(F.col("doc_id").alias("id"), "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    key = F.lit(None).cast("long") if row is None else F.col(row)
+    sized = common.written(docs.select(F.col("doc_id").alias("id"), key.alias("row"), "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     sources = common.written(targets(sized), "mix-sources")
     total, n_sources = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).first()
     rows = sized.count()
@@ -133,19 +137,19 @@ def mix(docs: DataFrame) -> DataFrame:
         .withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))))
         .withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") / float(1 << 32) * ranges))
     )
-    order = [F.col("key"), F.col("id"), F.col("size")]
+    order = [F.col("key"), F.col("id"), F.col("size"), F.col("row")]
     laid = laid.withColumn("nth", F.row_number().over(W.partitionBy("source_no", "range").orderBy(*order)))
     laid = _running(laid, "source_no", "range", [F.col("nth")], F.col("size"), "at")
-    row = ["source_no", "range", "nth", "id", "size", "source_size", "target"]
-    words = laid.where("size > 0").select(*row, "at", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))).alias("block"))
+    own = ["source_no", "range", "nth", "id", "row", "size", "source_size", "target"]
+    words = laid.where("size > 0").select(*own, "at", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))).alias("block"))
     first, last = F.greatest(F.col("at"), F.col("block") * block), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block)
     part_end = F.least(last, F.col("block") * block + F.col("part"))
     taken = words.join(blocks, ["source_no", "block"], "left").withColumn(
         "taken", F.coalesce(F.col("times") * (last - first) + F.greatest(part_end - first, F.lit(0)), F.lit(0))
     )
-    none = laid.where("size = 0").select(*row, F.lit(0).cast("long").alias("taken"))
-    taken = taken.groupBy(*row).agg(F.sum("taken").alias("taken"))
-    return taken.unionByName(none).select("id", "size", "source_size", "target", "taken")
+    none = laid.where("size = 0").select(*own, F.lit(0).cast("long").alias("taken"))
+    taken = taken.groupBy(*own).agg(F.sum("taken").alias("taken"))
+    return taken.unionByName(none).select("id", "row", "size", "source_size", "target", "taken")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ one row each.  With no labels of one class every score is the share of that clas
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -290,8 +290,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None, rows: int = FIT_ROWS) ->
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``id, n_words, evidence, score, segments`` of every row of ``docs`` (columns ``doc_id`` and ``text``)."""
+def score(docs: DataFrame, model: Model, carry: Sequence[str] = ()) -> DataFrame:
+    """``id, n_words, evidence, score, segments`` of every row of ``docs`` (columns ``doc_id`` and ``text``), and the columns ``carry`` as they are."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,11 +300,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = [(len(s), *_judged(sent.value, s)) for s in _documents(sent.value, batch.column("text"))]
             evidence = np.array([x[1] for x in found], float)
             yield pa.record_batch(
-                [batch.column("id"), pa.array([x[0] for x in found], pa.int64()), pa.array(evidence), pa.array(probability(sent.value, evidence)), pa.array([x[2] for x in found], kind)],
-                ["id", "n_words", "evidence", "score", "segments"],
+                [batch.column("id"), pa.array([x[0] for x in found], pa.int64()), pa.array(evidence), pa.array(probability(sent.value, evidence)), pa.array([x[2] for x in found], kind), *map(batch.column, held)],
+                ["id", "n_words", "evidence", "score", "segments", *held],
             )
 
-    return common.map_texts(docs, [F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text")], run, SCHEMA)
+    held = [f"carry_{c}" for c in carry]
+    carried = [F.col(c).alias(h) for c, h in zip(carry, held, strict=True)]
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.select(*carried).schema) if carried else ""
+    found = common.map_texts(docs, [F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"), *carried], run, SCHEMA + kinds)
+    return found.select("id", "n_words", "evidence", "score", "segments", *[F.col(h).alias(c) for c, h in zip(carry, held, strict=True)])
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
