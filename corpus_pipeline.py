@@ -4,9 +4,9 @@ Each stage takes ``(spark, docs, sf_dir)``, works on every row that the stage be
 kept, and its result is written as Parquet and read again as the next stage's ``docs``.
 All but the last return the columns of ``documents``.
 
-A stage's operator returns one row for each row it was given, by id.  Where ids repeat
-or are null, rows can't be told apart by id, so decisions are joined to documents by
-distinct id, and rows that share an id share a decision; rows with a null id are kept.
+Decisions belong to rows, not to ids: a stage either carries the row through its operator
+or gives rows a key of their own, so rows with null or repeated ids are judged like any
+other, each by its own text.  Empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -21,27 +21,29 @@ TOXIC = 0.7
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Documents whose id is not among ``rejected`` (one column, ``id``)."""
-    docs = docs.select(*COLUMNS)
-    return docs.join(rejected.where("id IS NOT NULL").distinct(), docs.doc_id == F.col("id"), "left_anti").select(*COLUMNS)
+def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Keyed documents but those whose key is among ``rejected`` (one column, ``row``)."""
+    return rows.join(rejected, "row", "left_anti").select(*COLUMNS)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop toxic documents (operator 1, learnt from the labels outside its held-out fold)."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), common.fold("_id", 3) != 1)
-    return _without(docs, toxicity.score(docs, model).where(F.col("score") >= TOXIC).select("id"))
+    return toxicity.score(docs, model, COLUMNS).where(F.col("score") < TOXIC).select(*COLUMNS)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first of equal texts (operator 9)."""
-    return _without(docs, exact.duplicates(docs).where(~F.col("kept")).select("id"))
+    """Keep one document of equal texts, the one with the smallest id (operator 9)."""
+    rows = common.keyed(docs, COLUMNS, "rows")
+    return _without(rows, exact.duplicates(rows, "row").where(~F.col("kept")).select("row"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each group of near duplicates (operator 5)."""
-    found = simhash.near_duplicates(docs)
-    return _without(docs, found.where(F.col("id") != F.col("component_id")).select("id"))
+    """Keep one document, the one with the smallest id, of each group whose texts are linked by a similarity of their word 5-shingles of 0.8 or more (operator 5)."""
+    rows = common.keyed(docs, COLUMNS, "rows")
+    grouped = common.written(simhash.similar(rows).join(rows.select("row", "doc_id"), "row"), "near-groups")
+    first = grouped.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("row"))
+    return _without(rows, grouped.select("row").join(first, "row", "left_anti"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +52,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The schedule takes a document's words a whole number of times, but for the few at a
     block border; those are rounded to whole copies.  Documents without words stay once.
     """
-    taken = mixing.mix(docs).groupBy("id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    copies = taken.select("id", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int").alias("copies"))
-    docs = docs.select(*COLUMNS)
-    joined = docs.join(copies, docs.doc_id.eqNullSafe(copies.id))
-    return joined.where("copies > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+    rows = common.keyed(docs, COLUMNS, "rows")
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
+    taken = mixing.mix(rows, "row").select("row", copies.alias("copies")).where("copies > 0")
+    return rows.join(taken, "row").select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
