@@ -15,8 +15,8 @@ candidate is dropped.  A bucket yields a spanning forest of its links, never all
 more.  Candidates come from wide fingerprints (256 bits over distinct shingles): texts
 that agree in the 20 bits of one of 64 tables and differ in at most ``WIDE_RADIUS`` of
 128 bits.  Each text's nearest candidate is proposed, the proposals are verified on the
-texts' real shingles, and rounds go on, with pairs of different components that no round
-has tried, until nothing is left to propose: so every candidate pair is verified or
+texts' real shingles, and rounds go on, with ever more pairs of different components that
+no round has tried, until nothing is left to propose: so every candidate pair is verified or
 inside one component already, though few pairs are ever written.  A bucket with many
 members is cut into blocks; in the first round blocks are compared inside, in later ones
 with each other, but for those of the bucket's largest component, whose members need no
@@ -45,6 +45,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weft.llm import common
@@ -71,8 +72,8 @@ KEY_BITS = 20
 WIDE_RADIUS = 31
 #: Members of a bucket that are compared in one task.
 BLOCK = 4096
-#: Partners that a text proposes at once, after the first round.
-PROPOSED = 4
+#: A text proposes its nearest partner in the first round, and so many times more in each later one.
+PROPOSED = 16
 #: Rows of a side that is broadcast, at most.
 SMALL = 500_000
 
@@ -270,8 +271,12 @@ def neighbours(values: np.ndarray, cuts: np.ndarray, radius: int) -> Iterator[tu
 
     Every bucket takes whole words of the planes.  Pairs come in pieces of bounded size, in order of i.
     """
-    n = len(values)
-    sizes = np.diff(np.append(cuts, n))
+    sizes = np.diff(np.append(cuts, len(values)))
+    several = np.flatnonzero(np.repeat(sizes > 1, sizes))  # what is alone in its bucket has no pair
+    if not len(several):
+        return
+    values, sizes = values[several], sizes[sizes > 1]
+    cuts, n = np.cumsum(sizes) - sizes, len(values)
     words = -(-sizes // 64)
     first_word = np.cumsum(words) - words
     bucket = np.repeat(np.arange(len(cuts)), sizes)
@@ -294,7 +299,7 @@ def neighbours(values: np.ndarray, cuts: np.ndarray, radius: int) -> Iterator[tu
         row, lane = np.nonzero(np.unpackbits(flags[some].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
         i, j = i[some[row]], owner[word[some[row]] * 64 + lane]
         later = j > i
-        yield i[later], j[later]
+        yield several[i[later]], several[j[later]]
         at = end
 
 
@@ -432,15 +437,15 @@ _LONGS = [f"f{k}" for k in range(COMPARED)]
 _PROPOSAL = "j long, i long, d int, key long"
 
 
-def _nearest(i: np.ndarray, j: np.ndarray, d: np.ndarray, row: np.ndarray, columns: dict, one_sided: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """The nearest partner of each row on either end of the pairs (indices); ties are broken at random, but alike every time."""
+def _nearest(i: np.ndarray, j: np.ndarray, d: np.ndarray, row: np.ndarray, columns: dict, at_once: int, one_sided: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """The ``at_once`` nearest partners of each row on either end of the pairs (indices); ties are broken at random, but alike every time."""
     left, right, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])
     if one_sided is not None:
         own = one_sided[left]
         left, right, d = left[own], right[own], d[own]
     order = np.lexsort((common.mix(row[left].astype(np.uint64) ^ common.mix(row[right].astype(np.uint64))), d, left))
     left, right, d = left[order], right[order], d[order]
-    first = np.flatnonzero(np.diff(left, prepend=-1))
+    first = np.flatnonzero(np.arange(len(left)) - np.searchsorted(left, left) < at_once)
     yield pa.record_batch([pa.array(row[left[first]]), pa.array(row[right[first]]), pa.array(d[first].astype(np.int32)), pa.array(columns["bucket"][left[first]])], ["j", "i", "d", "key"])
 
 
@@ -448,8 +453,8 @@ def _distances(values: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.bitwise_count(values[i] ^ values[j]).sum(1).astype(np.int64)
 
 
-def _candidates(cells: DataFrame, apart: bool) -> DataFrame:
-    """Proposals ``(j, i, d, key)``: each row's nearest in each cell (``key``) of rows ``(key, bucket, row, f0, f1)``.
+def _candidates(cells: DataFrame, at_once: int, apart: bool) -> DataFrame:
+    """Proposals ``(j, i, d, key)``: each row's ``at_once`` nearest in each cell (``key``) of rows ``(key, bucket, row, f0, f1)``.
 
     With ``apart`` rows carry ``label``, ``rest`` (whether they propose) and ``tried``: partners of
     the same label and those tried before don't count.
@@ -479,7 +484,7 @@ def _candidates(cells: DataFrame, apart: bool) -> DataFrame:
                         own = np.array([y not in tried.get(x, ()) and x not in tried.get(y, ()) for x, y in zip(a, b, strict=True)], bool)
                         i, j = i[own], j[own]
                 if len(i):
-                    yield from _nearest(i, j, _distances(values, i, j), row, columns, columns["rest"] if apart else None)
+                    yield from _nearest(i, j, _distances(values, i, j), row, columns, at_once, columns["rest"] if apart else None)
 
     return cells.repartition("key").sortWithinPartitions("key").mapInArrow(run, _PROPOSAL)
 
@@ -495,10 +500,10 @@ def _first_round(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
     large = common.written(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "large-buckets")
     blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1))
     cells = dealt.join(_if_small(large), "bucket", "left").withColumn("key", F.shiftleft(F.col("bucket"), 32) + F.pmod(F.xxhash64("row", "bucket"), blocks))
-    return _candidates(cells.select("key", "bucket", "row", *_LONGS), False), large
+    return _candidates(cells.select("key", "bucket", "row", *_LONGS), 1, False), large
 
 
-def _later_round(members: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
+def _later_round(members: DataFrame, labels: DataFrame, tried: DataFrame, at_once: int) -> DataFrame:
     """Proposals between different components of each bucket."""
     members = members.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
     sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
@@ -517,7 +522,7 @@ def _later_round(members: DataFrame, labels: DataFrame, tried: DataFrame) -> Dat
     ).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1), lambda b: F.struct(F.lit(0).alias("kind"), F.col("own").alias("a"), b.alias("b"))))
     before = tried.groupBy(F.col("j").alias("row")).agg(F.collect_set("i").alias("tried"))
     cells = members.withColumn("cell", F.explode(cells)).join(before, "row", "left")
-    return _candidates(cells.select(F.xxhash64("bucket", "cell").alias("key"), "bucket", "row", *_LONGS, "label", "rest", "tried"), True)
+    return _candidates(cells.select(F.xxhash64("bucket", "cell").alias("key"), "bucket", "row", *_LONGS, "label", "rest", "tried"), at_once, True)
 
 
 def jaccard(a: bytes, b: bytes, size: int = WIDE_SHINGLE) -> float:
@@ -565,15 +570,15 @@ def similar(docs: DataFrame) -> DataFrame:
     labels = spark.createDataFrame([], "row long, label long")
     at_once = 1
     while True:
-        best = proposals.groupBy("j", "i").agg(F.min("d").alias("d")).groupBy("j").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", F.xxhash64("i", "j").alias("h"), "i"))), 1, at_once).alias("best"))
-        pairs = best.select("j", F.explode("best.i").alias("i")).select(F.greatest("j", "i").alias("j"), F.least("j", "i").alias("i")).distinct()
+        best = proposals.groupBy("j", "i").agg(F.min("d").alias("d")).withColumn("nth", F.row_number().over(W.partitionBy("j").orderBy("d", F.xxhash64("i", "j"))))
+        pairs = best.where(F.col("nth") <= at_once).select(F.greatest("j", "i").alias("j"), F.least("j", "i").alias("i")).distinct()
         fresh = common.written(_verified(pairs, texts), "verified")
         if not fresh.head(1):
             break
         verified = common.written(verified.union(fresh), "all-verified")
         labels = common.written(components(verified.where("alike").select(F.col("j").alias("a"), F.col("i").alias("b"))).select(F.col("id").alias("row"), F.col("root").alias("label")), "labels")
-        proposals = common.written(_later_round(members, labels, verified.where("NOT alike")), "proposals")
-        at_once = PROPOSED
+        at_once *= PROPOSED
+        proposals = common.written(_later_round(members, labels, verified.where("NOT alike"), at_once), "proposals")
     return labels
 
 
