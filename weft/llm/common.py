@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -91,24 +91,27 @@ def unit(*columns: Column, seed: int = 0) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11)).cast("double") / float(1 << 53)
 
 
-def sample_rows(df: DataFrame, key: str, bound: int, seed: int = 0) -> DataFrame:
-    """About ``bound`` rows at most, chosen by a hash of ``key`` (all rows if there are fewer)."""
-    rows = df.count()
-    return df if rows <= bound else df.where(unit(F.col(key), seed=seed) < bound / rows)
+def sample_rows(df: DataFrame, keys: Sequence[str], bound: int, seed: int = 0) -> DataFrame:
+    """About ``bound`` rows at most, chosen by a hash of ``keys`` (all rows if there are fewer); rows that agree in them go together."""
+    rows = df.select(F.lit(1)).count()
+    return df if rows <= bound else df.where(unit(*map(F.col, keys), seed=seed) < bound / rows)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, bound: int, name: str) -> DataFrame:
-    """``(id, text, label)`` of about ``bound`` labelled rows, written once.
+    """``(id, text, label)`` of about ``bound`` labelled documents, written once.
 
     ``keep`` is a condition on ``doc_id``.  The side that is broadcast holds the
-    chosen labels only: ``bound`` rows of an id and a flag, whatever the input.
+    chosen labels only: ``bound`` rows of an id and a flag, whatever the input.  Of
+    documents that repeat an id one teaches (the one with the smallest text), so the
+    result has no more rows than labels were chosen.
     """
     chosen = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).where(
         keep & F.col("_id").isNotNull() & F.col("label").isNotNull()
     )
-    chosen = sample_rows(chosen, "_id", bound).groupBy("_id").agg(F.max("label").alias("label"))
+    chosen = sample_rows(chosen, ["_id"], bound).groupBy("_id").agg(F.max("label").alias("label"))
     texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return written(texts.join(F.broadcast(chosen), "_id").select(F.col("_id").alias("id"), "text", "label"), name)
+    found = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    return written(found.select(F.col("_id").alias("id"), "text", "label"), name)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ BUCKETS = 1 << 16
 #: Added to every cell's count.
 SMOOTHING = 0.1
 UNKNOWN = "und"
-_A_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN_LETTER = re.compile("[A-Za-z]")
 _ROW_END = "  "  # n-grams of one row never reach the next row's letters
 
 
@@ -42,6 +42,11 @@ class Model:
     prior: np.ndarray
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (numerals such as Roman ones or fractions are none)."""
+    return _PLAIN_LETTER.search(text) is not None or any(map(str.isalpha, text))
+
+
 @cache
 def _letters() -> np.ndarray:
     """Code point to itself if it is a letter, else to a space."""
@@ -91,10 +96,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, keep=None, rows: int = FIT_ROWS) -> Model:
     """Learn from about ``rows`` documents with a language; ``keep`` is a condition on ``doc_id``."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    known = known if keep is None else known.where(keep)
-    n = known.select("doc_id").count()
-    if n > rows:
-        known = known.where(common.unit(F.col("doc_id"), seed=10) < rows / n)
+    known = common.sample_rows(known if keep is None else known.where(keep), ["doc_id", "text"], rows, seed=10)
     found = known.select("text", "lang").mapInArrow(_count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found.lang.unique())
     matrix = np.full((BUCKETS, len(languages)), SMOOTHING)
@@ -133,7 +135,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            known = [i for i, t in enumerate(texts) if sent.value.languages and _A_LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if sent.value.languages and has_letter(t)]
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             if known:
                 found = posteriors(sent.value, [texts[i] for i in known])

@@ -1,8 +1,8 @@
 """Quality by attention-based multiple-instance learning.
 
 A document is a bag of passages of ``WORDS`` words.  Each passage is described by the
-shares of its byte classes, its word lengths and its repetitions; a learned layer encodes
-it, gated attention (Ilse, Tomczak and Welling 2018) weighs the passages of a bag, and a
+shares of its byte classes, its word lengths and repetitions, and the shares of its words
+that fall into each of ``LEXICAL`` hashed cells; a learned layer encodes it, gated attention (Ilse, Tomczak and Welling 2018) weighs the passages of a bag, and a
 logistic unit scores the weighted sum.  All weights are learned together from document
 labels by Adam, in numpy on the driver, on a bounded sample.
 
@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 
 from weft.llm import common
 
-#: Learning rows at most (about), and passages of one that are learned from (evenly spread; scoring takes all).
+#: Learning rows at most (about); every passage of theirs teaches.
 FIT_ROWS = 4_000
-FIT_PASSAGES = 32
 WORDS = 48
 HIDDEN = 24
 STEPS = 200
@@ -41,7 +40,9 @@ for _n, _set in enumerate(
     _CLASS_OF[np.frombuffer(_set, np.uint8)] = _n
 _CLASS_OF[128:192] = 13  # continuation bytes
 _CLASS_OF[192:] = 14  # first bytes of characters beyond ASCII
-N_FEATURES = 16 + 10
+#: Cells that words are hashed into.
+LEXICAL = 32
+N_FEATURES = 16 + 10 + LEXICAL
 
 
 def passages(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,6 +93,8 @@ def passages(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     out[:, 23] = per_word((last == 8) | (last == 11))
     out[:, 24] = per_word(lengths == 1)
     out[:, 25] = np.log1p(held) / np.log1p(WORDS)
+    cell = (hashes % np.uint64(LEXICAL)).astype(np.int64)
+    out[:, 26:] = np.bincount(owner * LEXICAL + cell, minlength=total * LEXICAL).reshape(total, LEXICAL) / count[:, None]
     return out, first
 
 
@@ -118,6 +121,18 @@ def _forward(w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray) -> dict
     return {"h": h, "t": t, "g": g, "a": a, "z": z, "p": p, "bag": bag}
 
 
+def _slopes(w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, y: np.ndarray, f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Derivatives of the mean log-loss by each weight, from a forward pass."""
+    h, t, g, a, z, bag = (f[k] for k in ("h", "t", "g", "a", "z", "bag"))
+    d = (f["p"] - y) / len(y)
+    into = (d[:, None] * w["c"])[bag]
+    da = (into * h).sum(1)
+    de = a * (da - _sums(a * da, first)[bag])
+    dt, dg = de[:, None] * w["a"] * g * (1 - t**2), de[:, None] * w["a"] * t * g * (1 - g)
+    dh = (a[:, None] * into + dt @ w["v"].T + dg @ w["u"].T) * (1 - h**2)
+    return {"encode": x.T @ dh, "encode0": dh.sum(0), "v": h.T @ dt, "u": h.T @ dg, "a": (t * g).T @ de, "c": z.T @ d, "c0": d.sum()}
+
+
 def score_bags(model: Model, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probability of label 1 for each bag, and the attention on each passage."""
     f = _forward(model.weights, (x - model.mean) / model.spread, first)
@@ -141,18 +156,9 @@ def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = STEPS, s
     slow, fast = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
     for step in range(1, steps + 1):
         f = _forward(w, x, first)
-        h, t, g, a, z, bag = (f[k] for k in ("h", "t", "g", "a", "z", "bag"))
         if -np.log(np.where(y > 0.5, f["p"], 1 - f["p"]) + 1e-9).mean() < GOOD_LOSS:
             break
-        d = (f["p"] - y) / len(y)
-        dz = d[:, None] * w["c"]
-        into = dz[bag]
-        da = (into * h).sum(1)
-        de = a * (da - _sums(a * da, first)[bag])
-        dt, dg = de[:, None] * w["a"] * g * (1 - t**2), de[:, None] * w["a"] * t * g * (1 - g)
-        dh = (a[:, None] * into + dt @ w["v"].T + dg @ w["u"].T) * (1 - h**2)
-        slopes = {"encode": x.T @ dh, "encode0": dh.sum(0), "v": h.T @ dt, "u": h.T @ dg, "a": (t * g).T @ de, "c": z.T @ d, "c0": d.sum()}
-        for k, slope in slopes.items():
+        for k, slope in _slopes(w, x, first, y, f).items():
             slope = slope + (1e-4 * w[k] if k != "c0" else 0)
             slow[k] = 0.9 * slow[k] + 0.1 * slope
             fast[k] = 0.99 * fast[k] + 0.01 * slope**2
@@ -161,16 +167,12 @@ def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = STEPS, s
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Up to ``FIT_PASSAGES`` feature rows of each learning document, as float32 bytes."""
+    """Feature rows of each learning document's passages, as float32 bytes."""
     for batch in batches:
         out = []
         for _, _, data, bounds in common.blocks(batch.column("text")):
             x, first = passages(data, bounds)
-            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                own = x[a:b]
-                if b - a > FIT_PASSAGES:
-                    own = own[np.linspace(0, b - a - 1, FIT_PASSAGES).astype(int)]
-                out.append(own.astype("<f4").tobytes())
+            out += [x[a:b].astype("<f4").tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         yield pa.record_batch([batch.column("id"), batch.column("label"), pa.array(out, pa.binary())], ["id", "label", "features"])
 
 

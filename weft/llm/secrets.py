@@ -3,11 +3,12 @@
 Three base patterns give labelled credentials: assignments, access keys and long
 hexadecimal runs.  For each kind a prefix tree of a bounded sample of them is folded
 into a probabilistic automaton by merging states whose futures don't differ
-significantly (ALERGIA: Carrasco and Oncina 1994).  Every other run of 16 or more
-credential characters is a candidate; its score is the log-likelihood of its format
-under the best automaton less that under a first-order model of ordinary runs.
-Candidates whose score is above ``MARGIN`` are reported beside the base spans, which
-always stay.
+significantly (ALERGIA: Carrasco and Oncina 1994).  Candidates are the base spans'
+credentials and what lies outside them of every run of credential characters, where 16
+or more are left; a candidate's score is the log-likelihood of its format under the best
+automaton less that under a first-order model of ordinary runs.  Candidates whose score
+is above ``MARGIN`` are reported beside the base spans, which always stay and carry
+their own credential's score.
 
 Unlabelled candidates may be credentials, so they don't set the threshold, nor are they
 all taken for ordinary.  Ordinary runs are the shorter ones, and those candidates that
@@ -31,16 +32,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import common
 
 KINDS = ("assign", "access", "hex")
 ADDED = "format"
-#: Documents that the grammars learn from, at most (about), and values of each kind.
+#: Documents that the grammars learn from, at most (about).
 FIT_ROWS = 20_000
+#: Distinct formats of each kind that an automaton learns from (those with the smallest hashes), and how often it is shown them in all.
 FIT_VALUES = 1_500
+FIT_DRAWS = 4 * FIT_VALUES
+#: Distinct formats of unlabelled candidates that the model of ordinary runs learns from.
+FIT_ORDINARY = 20 * FIT_VALUES
 #: Confidence of the merge test.
 ALPHA = 0.05
 #: Least advantage, in nats, of a format over ordinary text.
@@ -53,7 +58,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # a run of fewer than 24 is never a match, so runs need no filter
 _WORDS = ("passw", "secret", "token", "api")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % CANDIDATE)
-_SHORT = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{1,%d}(?![A-Za-z0-9+/_.=-])" % (CANDIDATE - 1))
+_ANY = re.compile(r"[A-Za-z0-9+/_.=-]+")
 _CLASSES = str.maketrans(
     "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0" * 10 + "a" * 6 + "g" * 20 + "A" * 6 + "G" * 20
 )
@@ -73,13 +78,15 @@ def base_spans(text: str) -> list[tuple[int, str, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
-def candidates(text: str, spans: list[tuple[int, str, int, str]], runs: re.Pattern = _RUN) -> Iterator[tuple[int, int, str]]:
-    """Runs of credential characters that no base span touches."""
-    taken = [(a, b) for a, _, b, _ in spans]
-    for m in runs.finditer(text):
-        a, b = m.span()
-        if not any(x < b and a < y for x, y in taken):
-            yield a, b, m[0].translate(_CLASSES)
+def candidates(text: str, spans: list[tuple[int, str, int, str]], short: bool = False) -> Iterator[tuple[int, int, str]]:
+    """What lies outside base spans of each run of credential characters, if it is long enough to be a candidate (``short``: if it isn't)."""
+    for m in (_ANY if short else _RUN).finditer(text):
+        pieces = [m.span()]
+        for x, _, y, _ in spans:
+            pieces = [p for a, b in pieces for p in ((a, min(b, x)), (max(a, y), b)) if p[0] < p[1]] if any(a < y and x < b for a, b in pieces) else pieces
+        for a, b in pieces:
+            if (b - a < CANDIDATE) == short:
+                yield a, b, text[a:b].translate(_CLASSES)
 
 
 class Automaton:
@@ -216,7 +223,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, kind, _, value in spans:
                 found[kind][value.translate(_CLASSES)] += 1
             found[""].update(v for _, _, v in candidates(text or "", spans))
-            short.update(v for _, _, v in candidates(text or "", spans, _SHORT))
+            short.update(v for _, _, v in candidates(text or "", spans, True))
     for value, n in short.items():
         for a, b in zip("^" + value, value, strict=False):
             found["short"][a + b] += n
@@ -225,22 +232,23 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _drawn(counts: Counter, values: int) -> list[str]:
-    """Each of at most ``values`` formats at least once and at most ``values`` times, ``4 * values`` in all; counts are scaled down to that."""
+    """Each of at most ``values`` formats at least once and at most ``values`` times, ``FIT_DRAWS`` in all; counts are scaled down to that."""
     counts = {v: min(n, values) for v, n in sorted(counts.items())}
-    more, room = sum(counts.values()) - len(counts), 4 * values - len(counts)
+    more, room = sum(counts.values()) - len(counts), max(FIT_DRAWS, len(counts)) - len(counts)
     return [v for v, n in counts.items() for _ in range(n if more <= room else 1 + (n - 1) * room // more)]
 
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS, values: int = FIT_VALUES) -> Model:
     """Infer the grammars from the credentials of about ``rows`` documents."""
-    sample = common.sample_rows(docs.select("doc_id", "text"), "doc_id", rows, seed=8)
+    sample = common.sample_rows(docs.select("doc_id", "text"), ["doc_id", "text"], rows, seed=8)
     counted = sample.select("text").mapInArrow(_learn, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
     # the smallest hashes: a bounded sample of distinct formats for each kind
-    order = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
-    kept = counted.withColumn("r", order).where(F.col("r") <= F.when(F.col("kind") == "", 20 * values).otherwise(values)).drop("r")
+    counted = common.written(counted, "formats")
     by_kind: dict[str, Counter] = defaultdict(Counter)
-    for r in kept.collect():
-        by_kind[r.kind][r.value] = r.n
+    for kind in (*KINDS, "", "short"):
+        bound = {"": FIT_ORDINARY, "short": 256 * 256}.get(kind, values)  # pairs of classes are few
+        for r in counted.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(bound).collect():
+            by_kind[kind][r.value] = r.n
     automata = {}
     for kind in KINDS:
         drawn = _drawn(by_kind[kind], values)
@@ -259,18 +267,25 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = sent.value, {}
+
+        def scored(value: str) -> float | None:
+            if not model.automata:
+                return None
+            score = known.get(value)
+            if score is None:
+                score = model.score(value)
+                if len(known) < 200_000 and len(value) <= 64:
+                    known[value] = score
+            return score
+
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text or "")
-                found = [(a, KINDS.index(k), k, b, None) for a, k, b, _ in spans]
+                found = [(a, KINDS.index(k), k, b, scored(value.translate(_CLASSES))) for a, k, b, value in spans]
                 if model.automata:
                     for a, b, value in candidates(text or "", spans):
-                        score = known.get(value)
-                        if score is None:
-                            score = model.score(value)
-                            if len(known) < 200_000 and len(value) <= 64:
-                                known[value] = score
+                        score = scored(value)
                         if score > model.threshold:
                             found.append((a, len(KINDS), ADDED, b, score))
                 out.append([{"kind": k, "start": a, "end": b, "score": s} for a, _, k, b, s in sorted(found, key=lambda x: x[:2])])

@@ -12,7 +12,10 @@ learning rows turns it into a probability.
 Nulls and edge cases: a null or empty text, or one of white space, has no segment and
 gets the score of no evidence; a row with a null id is scored and gives a null id;
 labels that are null, or whose document is missing, teach nothing; repeated ids give
-one row each.  With no labels of one class every score is the share of that class.
+one row each.  Words are learned from three quarters of the labelled documents and the
+calibration from the rest; where either part lacks a class, all of them teach both.  With
+no labels of one class every score is the (Laplace) share of toxic labels, one half where
+there are none at all.
 """
 
 from __future__ import annotations
@@ -209,7 +212,7 @@ def _solve_scale(scores: np.ndarray) -> float:
     """The positive root of mean(exp(x s)) = 1, for scores with a negative mean."""
     values, counts = np.unique(np.round(scores, 2), return_counts=True)
     share = counts / counts.sum()
-    if values.max() <= 0 or (values * share).sum() >= 0:
+    if not len(values) or values.max() <= 0 or (values * share).sum() >= 0:
         return 1.0
     low, high = 0.0, 0.1
     while (share * np.exp(np.minimum(high * values, 700))).sum() < 1 and high < 50:
@@ -240,8 +243,18 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None, rows: int = FIT_ROWS) ->
     spark = docs.sparkSession
     sample = common.labelled(docs, labels, "toxic", F.lit(True) if keep is None else keep, rows, "toxic-fit")
     # three quarters teach the words, the rest the scale, so that the scale isn't judged on what it was learnt from
-    quarter = F.pmod(F.xxhash64("id"), F.lit(4))
-    taught, sample = sample.where(quarter != 0), sample.where(quarter == 0)
+    rest = F.pmod(F.xxhash64("id"), F.lit(4)) == 0
+    seen = {(r.label, r.rest): r["n"] for r in sample.groupBy("label", rest.alias("rest")).agg(F.count("*").alias("n")).collect()}
+    parts = [[seen.get((label, own), 0) for label in (0, 1)] for own in (False, True)]
+    clean, toxic = (sum(x) for x in zip(*parts, strict=True))
+    if not toxic or not clean:  # nothing to tell apart
+        empty = pa.table({c: pa.array([], t) for c, t in (("stem", pa.int32()), ("key", pa.int64()), ("stem4", pa.int64()), ("stem6", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64()))}).to_pandas()
+        model = _prior_scores(empty, 0.5)
+        model.offset = float(np.log((toxic + 1) / (clean + 1)))
+        return model
+    taught = sample
+    if all(map(all, parts)):
+        taught, sample = sample.where(~rest), sample.where(rest)
     counts = common.written(
         taught.select("text", "label").mapInArrow(_count, "stem int, key long, stem4 long, stem6 long, toxic long, clean long")
         .groupBy("stem", "key")
@@ -249,11 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None, rows: int = FIT_ROWS) ->
         "toxic-counts",
     )
     totals = counts.where("stem = 0").agg(F.sum("toxic"), F.sum("clean")).first()
-    toxic, clean = totals[0] or 0, totals[1] or 0
-    if not toxic or not clean:
-        model = _prior_scores(counts.limit(0).toPandas(), 0.5)  # nothing to tell apart
-        model.offset = 20.0 if toxic else -20.0
-        return model
+    toxic, clean = (totals[0] or 0) + 0.5, (totals[1] or 0) + 0.5  # documents of a class may all be empty
     model = _prior_scores(counts.where(F.col("toxic") + F.col("clean") >= MIN_COUNT).toPandas(), toxic / (toxic + clean))
     sent = spark.sparkContext.broadcast(model)
 
