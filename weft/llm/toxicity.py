@@ -43,6 +43,8 @@ DRIFT = 0.2
 #: Segments with an E-value above this are not reported and not counted.
 MAX_E = 1.0
 STEMS = (4, 6)
+#: Words (one a document) that a counting task holds.
+COUNTED = 500_000
 SEGMENT = "struct<first_word:int,last_word:int,score:double,e_value:double>"
 SCHEMA = f"id long, n_words long, evidence double, score double, segments array<{SEGMENT}>"
 
@@ -131,12 +133,17 @@ def _judged(model: Model, scores: np.ndarray) -> tuple[float, list[dict]]:
     return float(evidence), kept
 
 
+def _scored(model: Model, data: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+    """Word scores of each text of a block."""
+    starts, ends, rows = common.find_words(data, bounds)
+    scores = word_scores(model, data, starts, ends) if len(starts) else np.zeros(0)
+    for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+        yield scores[a:b]
+
+
 def _documents(model: Model, column: pa.Array) -> Iterator[np.ndarray]:
     for _, _, data, bounds in common.blocks(column):
-        starts, ends, rows = common.find_words(data, bounds)
-        scores = word_scores(model, data, starts, ends) if len(starts) else np.zeros(0)
-        for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
-            yield scores[a:b]
+        yield from _scored(model, data, bounds)
 
 
 def probability(model: Model, evidence: np.ndarray) -> np.ndarray:
@@ -144,11 +151,27 @@ def probability(model: Model, evidence: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and stems of each batch with the documents that hold them, by label."""
+    """Words and stems with the documents that hold them, by label; passed on whenever ``COUNTED`` words are held."""
+    parts: dict[int, list[np.ndarray]] = {0: [], 4: [], 6: []}
+    toxic: list[np.ndarray] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        flags = np.concatenate(toxic) == 1
+        stems = {n: np.concatenate(found) for n, found in parts.items()}
+        toxic.clear()
+        for n, found in stems.items():
+            parts[n].clear()
+            keys, first, place = np.unique(found, return_index=True, return_inverse=True)
+            hit = np.bincount(place, flags, len(keys)).astype(np.int64)
+            total = np.bincount(place, minlength=len(keys))
+            above = [pa.array(stems[m][first].view(np.int64)) for m in STEMS]
+            yield pa.record_batch(
+                [pa.array(np.full(len(keys), n, np.int32)), pa.array(keys.view(np.int64)), *above, pa.array(hit), pa.array(total - hit)],
+                ["stem", "key", "stem4", "stem6", "toxic", "clean"],
+            )
+
     for batch in batches:
         labels = batch.column("label").to_numpy(zero_copy_only=False)
-        parts: dict[int, list[np.ndarray]] = {0: [], 4: [], 6: []}
-        toxic = []
         for a, b, data, bounds in common.blocks(batch.column("text")):
             starts, ends, rows = common.find_words(data, bounds)
             if not len(starts):
@@ -163,19 +186,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts[0].append(hashes[own])
             for n in STEMS:
                 parts[n].append(_stem_hash(data, starts[own], ends[own], n))
-        if not toxic:
-            continue
-        flags = np.concatenate(toxic) == 1
-        stems = {n: np.concatenate(found) for n, found in parts.items()}
-        for n, found in stems.items():
-            keys, first, place = np.unique(found, return_index=True, return_inverse=True)
-            hit = np.bincount(place, flags, len(keys)).astype(np.int64)
-            total = np.bincount(place, minlength=len(keys))
-            above = [pa.array(stems[m][first].view(np.int64)) for m in STEMS]
-            yield pa.record_batch(
-                [pa.array(np.full(len(keys), n, np.int32)), pa.array(keys.view(np.int64)), *above, pa.array(hit), pa.array(total - hit)],
-                ["stem", "key", "stem4", "stem6", "toxic", "clean"],
-            )
+            if sum(map(len, toxic)) > COUNTED:
+                yield from flush()
+    if toxic:
+        yield from flush()
 
 
 def _prior_scores(table, share: float) -> Model:
@@ -306,12 +320,14 @@ def score(docs: DataFrame, model: Model, carry: Sequence[str] = ()) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first_word", pa.int32()), ("last_word", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())]))
         for batch in batches:
-            found = [(len(s), *_judged(sent.value, s)) for s in _documents(sent.value, batch.column("text"))]
-            evidence = np.array([x[1] for x in found], float)
-            yield pa.record_batch(
-                [batch.column("id"), pa.array([x[0] for x in found], pa.int64()), pa.array(evidence), pa.array(probability(sent.value, evidence)), pa.array([x[2] for x in found], kind), *map(batch.column, held)],
-                ["id", "n_words", "evidence", "score", "segments", *held],
-            )
+            for at, end, data, bounds in common.blocks(batch.column("text")):
+                found = [(len(s), *_judged(sent.value, s)) for s in _scored(sent.value, data, bounds)]
+                evidence = np.array([x[1] for x in found], float)
+                part = batch.slice(at, end - at)
+                yield pa.record_batch(
+                    [part.column("id"), pa.array([x[0] for x in found], pa.int64()), pa.array(evidence), pa.array(probability(sent.value, evidence)), pa.array([x[2] for x in found], kind), *map(part.column, held)],
+                    ["id", "n_words", "evidence", "score", "segments", *held],
+                )
 
     held = [f"carry_{c}" for c in carry]
     carried = [F.col(c).alias(h) for c, h in zip(carry, held, strict=True)]
