@@ -15,8 +15,8 @@ candidate is dropped.  A bucket yields a spanning forest of its links, never all
 more.  Candidates come from wide fingerprints (256 bits over distinct shingles): texts
 that agree in the 20 bits of one of 64 tables and differ in at most ``WIDE_RADIUS`` of
 128 bits.  Each text's nearest candidate is proposed, the proposals are verified on the
-texts' real shingles, and rounds go on, with ever more pairs of different components that
-no round has tried, until nothing is left to propose: so every candidate pair is verified or
+texts' real shingles, and rounds go on, in which components propose ever more pairs with
+others that no round has tried, until nothing is left to propose: so every candidate pair is verified or
 inside one component already, though few pairs are ever written.  A bucket with many
 members is cut into blocks; in the first round blocks are compared inside, in later ones
 with each other, but for those of the bucket's largest component, whose members need no
@@ -72,8 +72,10 @@ KEY_BITS = 20
 WIDE_RADIUS = 31
 #: Members of a bucket that are compared in one task.
 BLOCK = 4096
-#: A text proposes its nearest partner in the first round, and so many times more in each later one.
-PROPOSED = 16
+#: A text proposes its nearest partner in the first round, a component so many times more pairs in each later one.
+PROPOSED = 8
+#: Pairs that are handed on at once.
+HANDED = 1 << 18
 #: Rows of a side that is broadcast, at most.
 SMALL = 500_000
 
@@ -296,10 +298,16 @@ def neighbours(values: np.ndarray, cuts: np.ndarray, radius: int) -> Iterator[tu
         word = first_word[bucket[i]] + place[i] // 64 + np.arange(len(i)) - np.repeat(ends[at:end] - each[at:end] - (ends[at - 1] if at else 0), each[at:end])
         flags = within(planes, word, values[i], radius)
         some = np.flatnonzero(flags)
-        row, lane = np.nonzero(np.unpackbits(flags[some].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-        i, j = i[some[row]], owner[word[some[row]] * 64 + lane]
-        later = j > i
-        yield several[i[later]], several[j[later]]
+        lanes = np.cumsum(np.bitwise_count(flags[some]).astype(np.int64))
+        low = 0
+        while low < len(some):  # a dense bucket has many pairs a word
+            high = max(low + 1, int(np.searchsorted(lanes, (lanes[low - 1] if low else 0) + HANDED, "right")))
+            own = some[low:high]
+            row, lane = np.nonzero(np.unpackbits(flags[own].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            left, right = i[own[row]], owner[word[own[row]] * 64 + lane]
+            later = right > left
+            yield several[left[later]], several[right[later]]
+            low = high
         at = end
 
 
@@ -434,19 +442,22 @@ def _wide(docs: DataFrame) -> DataFrame:
 
 
 _LONGS = [f"f{k}" for k in range(COMPARED)]
-_PROPOSAL = "j long, i long, d int, key long"
+_PROPOSAL = "j long, i long, d int, key long, label long"
 
 
 def _nearest(i: np.ndarray, j: np.ndarray, d: np.ndarray, row: np.ndarray, columns: dict, at_once: int, one_sided: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """The ``at_once`` nearest partners of each row on either end of the pairs (indices); ties are broken at random, but alike every time."""
+    """The ``at_once`` nearest pairs of each component (a row is its own in the first round) on either end of the pairs (indices); ties are broken at random, but alike every time."""
     left, right, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])
     if one_sided is not None:
         own = one_sided[left]
         left, right, d = left[own], right[own], d[own]
-    order = np.lexsort((common.mix(row[left].astype(np.uint64) ^ common.mix(row[right].astype(np.uint64))), d, left))
+    label = columns.get("label", row)
+    order = np.lexsort((common.mix(row[left].astype(np.uint64) ^ common.mix(row[right].astype(np.uint64))), d, label[left]))
     left, right, d = left[order], right[order], d[order]
-    first = np.flatnonzero(np.arange(len(left)) - np.searchsorted(left, left) < at_once)
-    yield pa.record_batch([pa.array(row[left[first]]), pa.array(row[right[first]]), pa.array(d[first].astype(np.int32)), pa.array(columns["bucket"][left[first]])], ["j", "i", "d", "key"])
+    group = label[left]
+    first = np.flatnonzero(np.arange(len(left)) - np.searchsorted(group, group) < at_once)
+    left, right = left[first], right[first]
+    yield pa.record_batch([pa.array(row[left]), pa.array(row[right]), pa.array(d[first].astype(np.int32)), pa.array(columns["bucket"][left]), pa.array(label[left])], ["j", "i", "d", "key", "label"])
 
 
 def _distances(values: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -454,9 +465,9 @@ def _distances(values: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _candidates(cells: DataFrame, at_once: int, apart: bool) -> DataFrame:
-    """Proposals ``(j, i, d, key)``: each row's ``at_once`` nearest in each cell (``key``) of rows ``(key, bucket, row, f0, f1)``.
+    """Proposals ``(j, i, d, key, label)``: the ``at_once`` nearest of each row, in each cell (``key``) of rows ``(key, bucket, row, f0, f1)``.
 
-    With ``apart`` rows carry ``label``, ``rest`` (whether they propose) and ``tried``: partners of
+    With ``apart`` they are those of each component; rows carry ``label``, ``rest`` (whether they propose) and ``tried``: partners of
     the same label and those tried before don't count.
     """
     names = ["key", "bucket", "row", *_LONGS, *(["label", "rest"] if apart else [])]
@@ -570,13 +581,14 @@ def similar(docs: DataFrame) -> DataFrame:
     labels = spark.createDataFrame([], "row long, label long")
     at_once = 1
     while True:
-        best = proposals.groupBy("j", "i").agg(F.min("d").alias("d")).withColumn("nth", F.row_number().over(W.partitionBy("j").orderBy("d", F.xxhash64("i", "j"))))
+        best = proposals.groupBy("label", "j", "i").agg(F.min("d").alias("d")).withColumn("nth", F.row_number().over(W.partitionBy("label").orderBy("d", F.xxhash64("i", "j"))))
         pairs = best.where(F.col("nth") <= at_once).select(F.greatest("j", "i").alias("j"), F.least("j", "i").alias("i")).distinct()
         fresh = common.written(_verified(pairs, texts), "verified")
         if not fresh.head(1):
             break
         verified = common.written(verified.union(fresh), "all-verified")
-        labels = common.written(components(verified.where("alike").select(F.col("j").alias("a"), F.col("i").alias("b"))).select(F.col("id").alias("row"), F.col("root").alias("label")), "labels")
+        if fresh.where("alike").head(1):
+            labels = common.written(components(verified.where("alike").select(F.col("j").alias("a"), F.col("i").alias("b"))).select(F.col("id").alias("row"), F.col("root").alias("label")), "labels")
         at_once *= PROPOSED
         proposals = common.written(_later_round(members, labels, verified.where("NOT alike"), at_once), "proposals")
     return labels

@@ -301,6 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None, rows: int = FIT_ROWS) ->
     model.scale = _solve_scale(np.repeat(histogram.value.to_numpy(), np.maximum(histogram.n.to_numpy() * 1_000_000 // max(histogram.n.sum(), 1), 1)))
     best = seen[seen.label == 0]
     model.k = float(len(best) / max((best.n * np.exp(-model.scale * best.value)).sum(), 1e-9)) if len(best) else 1.0
+    sent.destroy()
     sent = spark.sparkContext.broadcast(model)
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,6 +311,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None, rows: int = FIT_ROWS) ->
 
     seen = sample.select("text", "label").mapInArrow(second_pass, "label int, evidence double").toPandas()
     model.slope, model.offset = _logistic(np.log1p(seen.evidence.to_numpy()), seen.label.to_numpy().astype(float))
+    sent.destroy()
+    pa.default_memory_pool().release_unused()  # what came as tables is arrays by now
     return model
 
 
