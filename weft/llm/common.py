@@ -7,6 +7,7 @@ every word of a piece into a 64-bit hash without building a Python object per wo
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -75,6 +76,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A table of few columns, hinted for broadcast only where it was counted to have at most ``rows`` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of what finished jobs left: Spark's cleaner drops shuffles and broadcasts once the driver has collected their handles."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keyed(docs: DataFrame, columns: list[str], name: str) -> DataFrame:
     """``columns`` and a unique ``row``, written once, so that the key stays with its row whatever ids repeat or are null."""
     return written(docs.select(*columns, F.monotonically_increasing_id().alias("row")), name)

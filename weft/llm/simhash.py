@@ -76,8 +76,6 @@ BLOCK = 4096
 PROPOSED = 8
 #: Pairs that are handed on at once.
 HANDED = 1 << 18
-#: Rows of a side that is broadcast, at most.
-SMALL = 500_000
 
 
 _P1, _P2, _P3, _P4, _P5 = (
@@ -446,15 +444,16 @@ _PROPOSAL = "j long, i long, d int, key long, label long"
 
 
 def _nearest(i: np.ndarray, j: np.ndarray, d: np.ndarray, row: np.ndarray, columns: dict, at_once: int, one_sided: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """The ``at_once`` nearest pairs of each component (a row is its own in the first round) on either end of the pairs (indices); ties are broken at random, but alike every time."""
+    """In each cell the ``at_once`` nearest pairs of each component (a row is its own in the first round) on either end of the pairs (indices); ties are broken at random, but alike every time."""
     left, right, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])
     if one_sided is not None:
         own = one_sided[left]
         left, right, d = left[own], right[own], d[own]
     label = columns.get("label", row)
-    order = np.lexsort((common.mix(row[left].astype(np.uint64) ^ common.mix(row[right].astype(np.uint64))), d, label[left]))
+    cell = columns["key"]
+    order = np.lexsort((common.mix(row[left].astype(np.uint64) ^ common.mix(row[right].astype(np.uint64))), d, label[left], cell[left]))
     left, right, d = left[order], right[order], d[order]
-    group = label[left]
+    group = np.cumsum((np.diff(label[left], prepend=0) != 0) | (np.diff(cell[left], prepend=0) != 0))
     first = np.flatnonzero(np.arange(len(left)) - np.searchsorted(group, group) < at_once)
     left, right = left[first], right[first]
     yield pa.record_batch([pa.array(row[left]), pa.array(row[right]), pa.array(d[first].astype(np.int32)), pa.array(columns["bucket"][left]), pa.array(label[left])], ["j", "i", "d", "key", "label"])
@@ -500,17 +499,12 @@ def _candidates(cells: DataFrame, at_once: int, apart: bool) -> DataFrame:
     return cells.repartition("key").sortWithinPartitions("key").mapInArrow(run, _PROPOSAL)
 
 
-def _if_small(df: DataFrame) -> DataFrame:
-    """Hinted for broadcast only where it was counted to be small."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def _first_round(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Proposals of all buckets, blocks compared inside; and the sizes of buckets of more than one block."""
     dealt = wide.select("row", *_LONGS, F.explode(F.col("keys").cast("array<long>")).alias("bucket"))
     large = common.written(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "large-buckets")
     blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1))
-    cells = dealt.join(_if_small(large), "bucket", "left").withColumn("key", F.shiftleft(F.col("bucket"), 32) + F.pmod(F.xxhash64("row", "bucket"), blocks))
+    cells = dealt.join(common.if_small(large), "bucket", "left").withColumn("key", F.shiftleft(F.col("bucket"), 32) + F.pmod(F.xxhash64("row", "bucket"), blocks))
     return _candidates(cells.select("key", "bucket", "row", *_LONGS), 1, False), large
 
 
@@ -520,7 +514,7 @@ def _later_round(members: DataFrame, labels: DataFrame, tried: DataFrame, at_onc
     sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top")).where("n > top.n")
     mixed = common.written(mixed.select("bucket", F.col("top.label").alias("top"), F.ceil(F.col("top.n") / BLOCK).alias("tops"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("rests")), "mixed-buckets")
-    members = members.join(_if_small(mixed), "bucket").withColumn("rest", F.col("label") != F.col("top"))
+    members = members.join(common.if_small(mixed), "bucket").withColumn("rest", F.col("label") != F.col("top"))
     own = F.pmod(F.xxhash64("row", "bucket"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("tops")))
     members = members.withColumn("own", own)
     # cells: a block of the largest component with one of the rest, and every two blocks of the rest
@@ -575,7 +569,7 @@ def similar(docs: DataFrame) -> DataFrame:
     near = proposals.select("j", F.col("key").alias("bucket")).union(proposals.select(F.col("i").alias("j"), F.col("key").alias("bucket"))).distinct()
     dealt = wide.select("row", *_LONGS, F.explode(F.col("keys").cast("array<long>")).alias("bucket"))
     members = wide.join(near.withColumnRenamed("j", "row"), "row").select("bucket", "row", *_LONGS)
-    members = common.written(members.union(dealt.join(_if_small(large.select("bucket")), "bucket").select("bucket", "row", *_LONGS)).distinct(), "members")
+    members = common.written(members.union(dealt.join(common.if_small(large.select("bucket")), "bucket").select("bucket", "row", *_LONGS)).distinct(), "members")
     spark = docs.sparkSession
     verified = spark.createDataFrame([], "j long, i long, alike boolean")
     labels = spark.createDataFrame([], "row long, label long")
@@ -584,13 +578,15 @@ def similar(docs: DataFrame) -> DataFrame:
         best = proposals.groupBy("label", "j", "i").agg(F.min("d").alias("d")).withColumn("nth", F.row_number().over(W.partitionBy("label").orderBy("d", F.xxhash64("i", "j"))))
         pairs = best.where(F.col("nth") <= at_once).select(F.greatest("j", "i").alias("j"), F.least("j", "i").alias("i")).distinct()
         fresh = common.written(_verified(pairs, texts), "verified")
-        if not fresh.head(1):
+        found = fresh.agg(F.max("alike")).first()[0]
+        if found is None:  # nothing was proposed
             break
-        verified = common.written(verified.union(fresh), "all-verified")
-        if fresh.where("alike").head(1):
+        verified = verified.union(fresh)
+        if found:
             labels = common.written(components(verified.where("alike").select(F.col("j").alias("a"), F.col("i").alias("b"))).select(F.col("id").alias("row"), F.col("root").alias("label")), "labels")
         at_once *= PROPOSED
         proposals = common.written(_later_round(members, labels, verified.where("NOT alike"), at_once), "proposals")
+        common.release(spark)
     return labels
 
 
