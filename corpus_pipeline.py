@@ -4,8 +4,7 @@ Each stage takes ``(spark, docs, sf_dir)``, works on every row that the stage be
 kept, and its result is written as Parquet and read again as the next stage's ``docs``.
 All but the last return the columns of ``documents``.
 
-Decisions belong to rows, not to ids: a stage either carries the row through its operator
-or gives rows a key of their own, so rows with null or repeated ids are judged like any
+Decisions belong to rows, not to ids: a stage gives rows a key of their own, so rows with null or repeated ids are judged like any
 other, each by its own text.  Empty tables pass through every stage.
 """
 
@@ -21,26 +20,32 @@ TOXIC = 0.7
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    common.release(docs.sparkSession)
+    return common.keyed(docs, COLUMNS, "rows")
+
+
 def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Keyed documents but those whose key is among ``rejected`` (one column, ``row``)."""
-    return rows.join(rejected, "row", "left_anti").select(*COLUMNS)
+    """Keyed documents but those whose key is among ``rejected`` (one column, ``row``); texts move only where those are many."""
+    return rows.join(common.if_small(common.written(rejected, "rejected")), "row", "left_anti").select(*COLUMNS)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop toxic documents (operator 1, learnt from the labels outside its held-out fold)."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), common.fold("_id", 3) != 1)
-    return toxicity.score(docs, model, COLUMNS).where(F.col("score") < TOXIC).select(*COLUMNS)
+    rows = _keyed(docs)
+    return _without(rows, toxicity.score(rows, model, ["row"]).where(F.col("score") >= TOXIC).select("row"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of equal texts, the one with the smallest id (operator 9)."""
-    rows = common.keyed(docs, COLUMNS, "rows")
+    rows = _keyed(docs)
     return _without(rows, exact.duplicates(rows, "row").where(~F.col("kept")).select("row"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, the one with the smallest id, of each group whose texts are linked by a similarity of their word 5-shingles of 0.8 or more (operator 5)."""
-    rows = common.keyed(docs, COLUMNS, "rows")
+    rows = _keyed(docs)
     grouped = common.written(simhash.similar(rows).join(rows.select("row", "doc_id"), "row"), "near-groups")
     first = grouped.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("row"))
     return _without(rows, grouped.select("row").join(first, "row", "left_anti"))
@@ -52,10 +57,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The schedule takes a document's words a whole number of times, but for the few at a
     block border; those are rounded to whole copies.  Documents without words stay once.
     """
-    rows = common.keyed(docs, COLUMNS, "rows")
+    rows = _keyed(docs)
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    taken = mixing.mix(rows, "row").select("row", copies.alias("copies")).where("copies > 0")
-    return rows.join(taken, "row").select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+    taken = common.written(mixing.mix(rows, "row").select("row", copies.alias("copies")).where("copies > 0"), "copies")
+    return rows.join(common.if_small(taken), "row").select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
