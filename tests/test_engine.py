@@ -251,3 +251,187 @@ def test_prepare_resumes(spark, tmp_path, monkeypatch):
     (tmp_path / "out" / "q" / "_SUCCESS").unlink()
     assert run(2, "--resume") == [1, 2]
     assert run(3) == [3, 3]
+
+
+def test_scan_numbers_lines_of_split_files(spark, tmp_path):
+    """Files cut into many blocks, of several layouts, with quoted cells that span lines."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for k in range(2):
+        (tmp_path / f"{k}.tsv").write_text("a\tb\n" + "".join(f"{i}\tx{k}-{i}\n" for i in range(3000)))
+    (tmp_path / "2.tsv").write_text('\ufeffb\ta\n"x ""y"""\t 1 \n\nshort\nlong\t1\t2\n')
+    (tmp_path / "3.tsv").write_text('a\tb\tc\n"two\nlines"\t\tz\n')
+    paths = [str(tmp_path / f"{k}.tsv") for k in range(4)]
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+        found = delimited.scan(spark, paths, "\t", ["a", "b"])
+        rows = found.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    own = {k: [r for r in rows if r._file.endswith(f"{k}.tsv")] for k in range(4)}
+    for k in range(2):
+        assert sorted((int(r.a), r.b, r._line) for r in own[k]) == [(i, f"x{k}-{i}", i + 2) for i in range(3000)]
+    assert sorted((r._line, r.a, r.b, r._bad) for r in own[2]) == [(2, "1", 'x "y"', None), (3, None, None, ""), (4, None, None, "short"), (5, None, None, "long\t1\t2")]
+    assert [(r.a, r.b, r.c, r._bad) for r in own[3]] == [("two\nlines", "", "z", None)]
+    with pytest.raises(ValueError, match="no column"):
+        delimited.scan(spark, paths[:1], "\t", ["a", "z"])
+
+
+def test_large_mappings_are_joined(spark, tmp_path, kinds):
+    pairs = " ".join(f'"c{i}" ["raw{i}" "alt{i}"]' for i in range(1200))
+    mapping = "{:job/mappings {:big {%s}} :job/variables {:subject/id :big}}" % pairs
+    files = {"mappings.edn": mapping, "subjects.tsv": "ID\tSex\tAge (years)\tSmokes\tHLA\nraw7\tsubject.sex/male\t30\ttrue\ta\nalt9\tsubject.sex/male\t30\ttrue\ta\nzz\tsubject.sex/male\t30\ttrue\ta\n"}
+    found = {r._line: r for r in prepared(spark, tmp_path, kinds, files)["subject"].collect()}
+    assert (found[2].id, found[3].id, found[4].id) == ("c7", "c9", None)
+    assert any("no mapping for zz" in e for e in found[4]._errors) and not found[2]._errors
+
+
+def test_corrected_files_and_reloads(spark, tmp_path, kinds, frames):
+    store = Store(spark, str(tmp_path / "store"), kinds)
+    some = {k: frames[k] for k in ("gene", "coordinate", "subject")}
+    first = store.load(some, "i1", user="me").count()
+    assert store.import_entities().collect()[0].asDict() == {"name": "i1", "user": "me"}
+    assert store.ledger().where("tx = 0").first().stage == 0  # the import itself comes first
+    from pyspark.sql import functions as F
+
+    corrected = {"subject": frames["subject"].withColumn("age", F.when(F.col("id") == "s1", F.lit(31)).otherwise(F.col("age")))}
+    assert store.load(corrected, "i1", user="me").count() == 1
+    assert {r.id: r.age for r in store.table("subject").collect()} == {"s1": 31, "s2": 41}
+    assert store.retract("d1") > 0 and store.table("subject").count() == 0 and not store.import_entities().count()
+    assert store.load(some, "i1", user="me").count() == first
+    assert {r.id: r.age for r in store.table("subject").collect()} == {"s1": 30, "s2": 41}
+    txs = [r.tx for r in store.ledger().where("added").collect()]
+    assert len(txs) == len(set(txs))
+    assert {r._most_recent for r in store.table("gene").collect()} == {"i1"} and store.brought_by("gene", "i0").count() == 0
+
+
+def test_transactions_in_queries(spark, tmp_path, kinds, frames):
+    store = Store(spark, str(tmp_path / "store"), kinds)
+    store.load({"gene": frames["gene"]}, "i1")
+    store.load({"subject": frames["subject"]}, "i2")
+    last = store.scalar if hasattr(store, "scalar") else store.views().scalar
+    start = last({"find": [["max", "?t", "t"]], "where": [["?x", "import-tx/tx", "?t"], ["?x", "import-tx/import", "i1"]]})
+    later = store.q({"find": ["?e"], "where": [["?e", "?a", "_", "?tx"], [[">", "?tx", start]]]}).collect()
+    assert {r.e for r in later} == {"s1", "s2"}
+    both = store.q({"find": ["?e", "?a"], "in": [[["?a", "?v"]]], "where": [["?e", "?a", "?v"]]}, [("subject/hla", "a"), ("gene/symbol", "TP53")]).collect()
+    assert {(r.e, r.a) for r in both} == {("s1", "subject/hla"), ("TP53", "gene/symbol")}
+
+
+def test_blanks_are_not_each_other(spark):
+    from weft.operators.datalog import Views
+
+    views = Views({"a": (spark.createDataFrame([(1, "x", None), (2, None, "x")], "id int, b string, c string"), "id")})
+    assert [r.v for r in views.q({"find": ["?v"], "where": [["_", "a/b", "?v"], ["_", "a/c", "?v"]]}).collect()] == ["x"]
+
+
+def test_conflicts_only_for_what_is_brought(spark):
+    from weft.operators import joins
+
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, a string, b string")
+    found = joins.upsert_conflicts(rows(("1", "x", None), ("2", "new", "z")), rows(("1", "x", "kept"), ("2", "old", "z")), "k", ["a", "b"])
+    assert [tuple(r) for r in found.collect()] == [("2", "a", "old", "new")]
+
+
+def test_rules_of_the_domain(spark):
+    from weft.operators import domain, validate
+
+    assert set(validate.AMINO_ACIDS) == set("ARNDCEQGHILKMFPSTWYVBZX")
+    row = spark.createDataFrame([("AR*",), ("ARN",)], "s string")
+    assert [len(r[0]) for r in row.select(validate.attribute_errors({"s": ("alphabet",)})).collect()] == [1, 0]
+    known = set(validate.RULES)
+    assert all(rule[0] in known for rule in domain.rules().values())
+    shapes = domain.SHAPES
+    names = "id string, uid string, sample string, variant string, vaf double, tpm double, alpha string"
+    rows = spark.createDataFrame([("1", "u", "s", "v", 0.1, None, None), ("2", "u", "s", None, 0.1, None, None), ("3", "u", "s", None, None, None, None), ("4", "u", None, "v", 0.1, None, None)], names)
+    found = [r[0] for r in rows.select(validate.shape_errors(rows, shapes["measurement"], rows.columns)).collect()]
+    assert found[0] == [] and found[1][0].startswith("fits none") and found[2] == ["no value"] and found[3][0] == "no sample"
+    one_of = spark.createDataFrame([("n", "u", "m", None), ("n", "u", None, None)], "name string, uid string, measurements string, `measurement-matrices` string")
+    assert [len(r[0]) for r in one_of.select(validate.shape_errors(one_of, {"required": ["name"], "one_of": [["measurements"], ["measurement-matrices"]]}, ["measurements", "measurement-matrices", "name"])).collect()] == [0, 1]
+
+
+def test_expected_rows_of_queries(spark):
+    from weft.operators import validate
+    from weft.operators.datalog import Views
+
+    views = Views({"s": (spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id int, arm string"), "id")})
+    count = {"find": ["?a", ["count", "?s", "n"]], "where": [["?s", "s/arm", "?a"]]}
+    rule = {"find": ["?a"], "in": ["%"], "where": [["arms", "?a"]]}
+    document = {
+        "rules": [[["arms", "?a"], ["?s", "s/arm", "?a"]]],
+        "validations": [
+            {"name": "right", "query": count, "allowed": [["a", 2], ["b", 1]]}, {"name": "wrong", "query": count, "allowed": [["a", 3], ["b", 1]]},
+            {"name": "same", "query": rule, "allowed": {"find": ["?a"], "where": [["_", "s/arm", "?a"]]}}, {"name": "few", "query": rule, "allowed": [["a"]]},
+        ],
+    }
+    found = {f["name"]: f for f in validate.expectations(views.q, document)}
+    assert set(found) == {"wrong", "few"} and found["wrong"]["unexpected"] == [("a", 2)] and found["wrong"]["missing"] == [("a", 3)] and found["few"]["unexpected"] == [("b",)]
+
+
+def test_schema_documents_and_installing(spark, tmp_path, kinds):
+    from dataclasses import replace
+
+    from weft import cli
+
+    cli.write_schema(kinds, str(tmp_path / "docs"))
+    back = cli.read_schema(str(tmp_path / "docs"))
+    assert schema.infer_dsl(back) == schema.infer_dsl(kinds)
+    store = Store(spark, str(tmp_path / "store"), kinds)
+    assert store.install(kinds) and not store.install(kinds)
+    more = schema.compile_dsl({**schema.infer_dsl(kinds), "extra": {"id": {"type": "string", "attribute": "x", "scope": "global"}}})
+    assert store.install(more) and store.installed() == more
+    with pytest.raises(StoreError, match="change or go"):
+        store.install(kinds)
+    with pytest.raises(schema.SchemaError):
+        store.install(replace(more, version="2.0.0"))
+
+
+def test_files_that_an_import_leaves(spark, tmp_path):
+    from weft.sources import sinks
+
+    rows = spark.createDataFrame([(i, f"v{i}") for i in range(120)], "id long, v string")
+    assert sinks.write_entities({"a": rows, "b": rows}, str(tmp_path / "out")) == ["a", "b"]
+    assert sinks.write_entities({"a": rows, "b": rows}, str(tmp_path / "out"), resume=True) == []
+    (tmp_path / "out" / "b" / "_SUCCESS").unlink()
+    assert sinks.write_entities({"a": rows, "b": rows}, str(tmp_path / "out"), resume=True) == ["b"]
+    batched = sinks.write_batches(rows, str(tmp_path / "tx"), "i1", ["id"], 50)
+    sizes = {r.tx_id: r["count"] for r in batched.groupBy("tx_id").count().collect()}
+    assert sorted(sizes.values()) == [20, 50, 50] and all(len(t) == 64 for t in sizes)
+    again = sinks.write_batches(rows.repartition(7), str(tmp_path / "tx2"), "i1", ["id"], 50)
+    assert {r.tx_id for r in again.collect()} == set(sizes)
+    (tmp_path / "m.tsv").write_text("id\tid2\n1\t2\n")
+    sinks.write_matrix(spark, str(tmp_path / "m.tsv"), str(tmp_path / "m"), {"id": "kind/id"}, {"batch": 7})
+    found = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "m"))
+    assert found.columns == ["kind/id", "id2", "batch"] and tuple(found.first()) == ("1", "2", "7")
+
+
+def test_whole_validation_on_the_command_line(spark, tmp_path, capsys):
+    from weft import cli
+
+    for name, body in FILES.items():
+        (tmp_path / name).write_text(body)
+    (tmp_path / "s.edn").write_text(DSL)
+    (tmp_path / "c.edn").write_text(CONFIG.replace(":matrixs [", "#_:matrixs #_[").replace('"A"} {:name "B"}', '"A"}'))
+    (tmp_path / "rules.json").write_text(
+        '{"rules": {"subject/age": ["between", 0, 35]}, "shapes": {"subject": {"required": ["smoker", "therapies"]}}, '
+        '"validations": [{"name": "subjects", "query": {"find": [["count", "?s", "n"]], "where": [["?s", "subject/id", "_"]]}, "allowed": [[3]]}]}'
+    )
+    common = ["--schema", str(tmp_path / "s.edn"), "--warehouse", str(tmp_path / "w"), "--database", "db"]
+    assert cli.main(["create-db", *common]) == 0
+    assert cli.main(["load", *common, "--config", str(tmp_path / "c.edn")]) == 0
+    capsys.readouterr()
+    assert cli.main(["validate", *common, "--rules", str(tmp_path / "rules.json")]) == 1
+    said = capsys.readouterr().out
+    assert "age is not between 41" in said and "no therapies" in said and "no regimen B" in said and "query\tsubjects" in said
+
+
+def test_entry_point_without_the_training_operators(tmp_path):
+    """With both folders gone and the pipeline left behind, the rest is there."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); o = e.oracle_sql(); assert set(o) <= set(q) and len(q) > 60 and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})

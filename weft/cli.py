@@ -1,7 +1,7 @@
 """Command line: ``python -m weft.cli TASK ...``.
 
-Tasks: compile-schema, infer-schema, infer-json-schema, infer-metaschema, prepare,
-load, retract, validate, crosscheck, list-dbs, delete-db.
+Tasks: compile-schema, infer-schema, infer-json-schema, infer-metaschema, copy-schema, prepare,
+create-db, load, retract, validate, crosscheck, list-dbs, delete-db.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from weft.operators import entities
+from weft.operators import domain, entities, validate
 from weft.operators.store import MAX_BATCH, MIN_BATCH, Store
 from weft.plans import config, prepare, schema
-from weft.sources import configs, delimited, edn
+from weft.sources import configs, delimited, edn, sinks
 
 
 def warehouse(given: str | None) -> str:
@@ -40,15 +40,37 @@ def planned(spark: SparkSession, kinds: schema.Schema, path: str) -> prepare.Pre
     return prepare.Preparer(spark, kinds, plan, mappings)
 
 
-def complete(spark: SparkSession, folder: str) -> bool:
-    """Whether a write to ``folder`` came to its end."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+def write_schema(kinds: schema.Schema, folder: str) -> None:
+    """A folder of schema, enums and metamodel documents."""
+    os.makedirs(folder, exist_ok=True)
+    for name, document in zip(("schema", "enums", "metamodel"), schema.to_documents(kinds), strict=True):
+        with open(os.path.join(folder, f"{name}.edn"), "w", encoding="utf-8") as file:
+            file.write(edn.write(document))
+
+
+def read_rules(path: str | None) -> dict:
+    """A document of rules, shapes, technologies and validations (JSON); without one, those of ``operators.domain``."""
+    if path is None:
+        return {"rules": domain.rules(), "shapes": domain.SHAPES, "technologies": domain.TECHNOLOGIES}
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
+def check(store: Store, document: dict, import_name: str | None) -> int:
+    """Print all findings; returns how many there are."""
+    findings = store.validate(import_name, document.get("rules"), document.get("shapes"), document.get("technologies"))
+    found = findings.limit(1000).collect()
+    for r in found:
+        print("\t".join("" if v is None else str(v) for v in r))
+    wrong = validate.expectations(store.q, {"rules": document.get("query-rules", []), "validations": document["validations"]}) if document.get("validations") else []
+    for w in wrong:
+        print(f"query\t{w['name']}\tunexpected {w['unexpected']}\tmissing {w['missing']}")
+    return len(found) + len(wrong)
 
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="weft", description=__doc__)
-    out.add_argument("task", choices=["compile-schema", "infer-schema", "infer-json-schema", "infer-metaschema", "prepare", "load", "retract", "validate", "crosscheck", "list-dbs", "delete-db"])
+    out.add_argument("task", choices=["compile-schema", "infer-schema", "infer-json-schema", "infer-metaschema", "copy-schema", "prepare", "create-db", "load", "retract", "validate", "crosscheck", "list-dbs", "delete-db"])
     out.add_argument("--schema", help="schema: .json, .edn short form, or a folder of documents")
     out.add_argument("--config", help="import configuration (.edn, .yaml)")
     out.add_argument("--output", help="file or folder to write")
@@ -59,6 +81,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--batch-size", type=int, default=entities.BATCH, help=f"{MIN_BATCH} to {MAX_BATCH}")
     out.add_argument("--skip-annotations", action="store_true")
     out.add_argument("--continue-on-error", action="store_true")
+    out.add_argument("--rules", help="validate: rules, shapes, technologies and expected query results (JSON)")
     out.add_argument("--resume", action="store_true", help="prepare: leave kinds that are already written as they are")
     return out
 
@@ -71,10 +94,12 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if args.task != "delete-db" and not args.schema:
         sys.exit("--schema is needed")
-    if args.task in ("compile-schema", "infer-schema", "infer-json-schema", "infer-metaschema"):
+    if args.task in ("compile-schema", "infer-schema", "infer-json-schema", "infer-metaschema", "copy-schema"):
         kinds = read_schema(args.schema)
         if args.task == "compile-schema":
             schema.save(kinds, args.output)
+        elif args.task == "copy-schema":
+            write_schema(kinds, args.output)
         else:
             found = {"infer-schema": schema.infer_dsl, "infer-json-schema": schema.json_schema, "infer-metaschema": schema.metaschema}[args.task](kinds)
             with open(args.output, "w", encoding="utf-8") if args.output else sys.stdout as out:
@@ -89,23 +114,23 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     kinds = read_schema(args.schema)
     if args.task == "prepare":
-        for kind, frame in planned(spark, kinds, args.config).prepare().items():
-            if not (args.resume and complete(spark, f"{args.output}/{kind}")):
-                frame.write.mode("overwrite").parquet(f"{args.output}/{kind}")
+        sinks.write_entities(planned(spark, kinds, args.config).prepare(), args.output, args.resume)
         return 0
     store = Store(spark, f"{root}/{args.database}", kinds)
-    if args.task == "load":
+    if args.task == "create-db":
+        print("installed" if store.install(kinds) else "as it was")
+    elif args.task == "load":
+        store.install(kinds)
         prepared = planned(spark, kinds, args.config)
         name = args.import_name or prepared.plan.dataset
-        added = store.load(prepared.prepare(), name, args.batch_size, not args.skip_annotations, args.continue_on_error)
+        added = store.load(prepared.prepare(), name, args.batch_size, not args.skip_annotations, args.continue_on_error, prepared.plan.user)
         print(f"{added.count()} batches")
     elif args.task == "retract":
         print(f"{store.retract(args.dataset)} batches taken back")
     elif args.task == "crosscheck":
         store.crosscheck(planned(spark, kinds, args.config).prepare()).show(1000, False)
     else:
-        store.invalid_uids().show(1000, False)
-        store.dangling().show(1000, False)
+        return 1 if check(store, read_rules(args.rules), args.import_name) else 0
     return 0
 
 

@@ -150,6 +150,24 @@ def uid_hash(path: Column) -> Column:
     return F.md5(path)
 
 
+def name_uuid(namespace: str, name: Column) -> Column:
+    """A version 5 UUID of a name in a namespace, which is given as text and hashed as such."""
+    sha = F.sha1(F.concat(F.lit(namespace), name.cast("string")))
+    variant = F.translate(F.substring(sha, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    part = lambda at, n: F.substring(sha, at, n)
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
+def to_date(column: Column) -> Column:
+    """A year, month and day; empty text is no date."""
+    return F.nullif(column, F.lit("")).try_cast("date")
+
+
+def piped(column: Column) -> Column:
+    """The parts of a cell between pipes, without quotation marks; empty text is none."""
+    return F.when(column != "", F.split(F.replace(column, F.lit('"'), F.lit("")), r"\|"))
+
+
 def invalid_uid(path: Column) -> Column:
     """Null, empty, or a path with an empty step."""
     sep = PATH_SEPARATOR
@@ -159,7 +177,3 @@ def invalid_uid(path: Column) -> Column:
 def tuple_of(*elements: Column) -> Column:
     """A typed tuple: fields _1, _2, ..."""
     return F.struct(*[e.alias(f"_{i}") for i, e in enumerate(elements, 1)])
-
-
-def strip_prefix(text: Column, prefix: str) -> Column:
-    return F.when(text.startswith(prefix), F.substring(text, len(prefix) + 1, 1 << 30)).otherwise(text)

@@ -15,6 +15,11 @@ to nested once; ``["*"]`` pulls all.  ``scalar``, ``column`` and ``row`` fetch t
 of queries that find one value, one column or one row.  An attribute that holds many values binds each
 of them.  Anything else is refused with an error.
 
+A clause may go on to a fourth term, the transaction that asserted the value, and a fifth,
+whether it was an assertion (only those count where it isn't named); and its attribute may
+be a variable.  Such clauses read the history of all kinds, in which values are text
+unless the clause names their attribute.  Each blank (``_``) stands for itself alone.
+
 Each kind is one table, so patterns of one entity variable and kind read the table
 once and need no join.  Patterns are joined from the most bound to the least.
 """
@@ -69,26 +74,35 @@ def _plain(name: str) -> str:
 class Views:
     """Kinds as relations: ``{kind: (table, key column)}``; the key stands for the entity."""
 
-    def __init__(self, kinds: Mapping[str, tuple[DataFrame, str]]) -> None:
+    def __init__(self, kinds: Mapping[str, tuple[DataFrame, str]], history: DataFrame | None = None) -> None:
         self.kinds = dict(kinds)
+        #: ``e, a, v, tx, added`` of every value ever brought, ``a`` as ``kind/name``.
+        self.history = history
 
     # -- clauses -------------------------------------------------------------------
 
     def _patterns(self, patterns: Sequence[Sequence[object]]) -> list[DataFrame]:
         """One frame of bindings for each entity and kind."""
         grouped: dict[tuple[str, str], list[tuple[str, object]]] = {}
-        for entity, attribute, *value in patterns:
+        past = []
+        for number, (entity, attribute, *value) in enumerate(patterns):
+            if is_variable(attribute) or len(value) > 1:
+                past.append(self._past(entity, attribute, *value))
+                continue
+            if entity == "_":
+                entity = f"_{number}"
             kind, _, name = _plain(str(attribute)).partition("/")
             if kind not in self.kinds:
                 raise QueryError(f"no kind {kind!r}")
             if name not in self.kinds[kind][0].columns:
                 raise QueryError(f"no attribute {attribute!r}")
             grouped.setdefault((json.dumps(entity), kind), []).append((name, value[0] if value else "_"))
-        out = []
+        out = past
         for (entity_json, kind), pairs in grouped.items():
             entity = json.loads(entity_json)
             df, key = self.kinds[kind]
-            named: list[tuple[object, Column]] = [(entity, F.col(key))]
+            blank = isinstance(entity, str) and entity.startswith("_")
+            named: list[tuple[object, Column]] = [] if blank else [(entity, F.col(key))]
             for name, value in pairs:
                 if isinstance(df.schema[name].dataType, T.ArrayType):
                     df = df.withColumn(f"_{name}_each", F.explode(name))
@@ -109,6 +123,31 @@ class Views:
             out.append(df.select(*[c.alias(v) for v, c in columns.items()]) if columns else df.select(F.lit(1).alias("?_")).limit(1))
         return out
 
+    def _past(self, entity: object, attribute: object, value: object = "_", tx: object = "_", added: object = True) -> DataFrame:
+        """Bindings of one clause over the history."""
+        if self.history is None:
+            raise QueryError("no history to read transactions or variable attributes from")
+        df, v, e = self.history, F.col("v"), F.col("e")
+        if not is_variable(attribute):
+            kind, _, name = _plain(str(attribute)).partition("/")
+            if kind not in self.kinds or name not in self.kinds[kind][0].columns:
+                raise QueryError(f"no attribute {attribute!r}")
+            table, key = self.kinds[kind]
+            kinds = {f.name: f.dataType for f in table.schema}
+            of = kinds[name].elementType if isinstance(kinds[name], T.ArrayType) else kinds[name]
+            v, e, attribute = F.col("v").cast(of), F.col("e").cast(kinds[key]), f"{kind}/{name}"
+        columns: dict[str, Column] = {}
+        for term, column in ((entity, e), (attribute, F.col("a")), (value, v), (tx, F.col("tx")), (added, F.col("added"))):
+            if term == "_":
+                continue
+            if not is_variable(term):
+                df = df.where(column == F.lit(term))
+            elif term in columns:
+                df = df.where(column.cast("string") == columns[term].cast("string"))
+            else:
+                columns[term] = column
+        return df.select(*[c.alias(n) for n, c in columns.items()]).distinct() if columns else df.select(F.lit(1).alias("?_")).limit(1)
+
     def _rule(self, clause: Sequence[object], rules: Mapping[str, list], stack: tuple[str, ...]) -> DataFrame:
         name, *given = clause
         if name in stack:
@@ -146,7 +185,7 @@ class Views:
                 without.append(clause[1:])
             elif head in rules:
                 frames.append(self._rule(clause, rules, stack))
-            elif len(clause) in (2, 3) and (is_variable(head) or head == "_") and isinstance(clause[1], str) and "/" in clause[1]:
+            elif 2 <= len(clause) <= 5 and isinstance(clause[1], str) and ("/" in clause[1] or is_variable(clause[1])):
                 patterns.append(clause)
             else:
                 raise QueryError(f"not supported: {clause!r}")
@@ -176,6 +215,12 @@ class Views:
             shared = [c for c in best.columns if c in out.columns]
             if not shared:
                 raise QueryError("clauses share no variable; a product of bindings is refused")
+            kinds = dict(out.dtypes), dict(best.dtypes)
+            for c in shared:  # values of the history are text
+                if "string" in (kinds[0][c], kinds[1][c]) and kinds[0][c] != kinds[1][c]:
+                    out, best_cast = out.withColumn(c, F.col(f"`{c}`").cast("string")), best.withColumn(c, F.col(f"`{c}`").cast("string"))
+                    rest[rest.index(best)] = best_cast
+                    best = best_cast
             out = out.join(best, shared)
             rest.remove(best)
         return out

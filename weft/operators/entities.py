@@ -38,12 +38,31 @@ def last_wins(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> Data
     return best.select(*key, "_last.*")
 
 
-def batches(rows: DataFrame, order: Sequence[str], size: int = BATCH, within: Sequence[str] = (), name: str = "batch") -> DataFrame:
-    """Number rows in a fixed order and cut them into batches, file by file (``within``)."""
+def ranked(rows: DataFrame, order: Sequence[Column | str], within: Sequence[str] = (), part: Column | None = None, name: str = "rank") -> DataFrame:
+    """Number rows from 0 in a fixed order inside each ``within``.
+
+    ``part`` cuts the order into ranges: a number that never falls as the order goes on
+    (a line number divided by a range's size, say).  Rows are ranked inside their range
+    and ranges by their counts, so no partition holds all rows of one ``within``.
+    """
+    part = F.lit(0) if part is None else part
+    rows = rows.withColumn("_part", F.coalesce(part.cast("long"), F.lit(-1)))
+    inside = F.row_number().over(W.partitionBy(*within, "_part").orderBy(*order)) - 1
+    sizes = rows.groupBy(*within, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*within).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*[F.col(w).alias(f"_w{k}") for k, w in enumerate(within)], F.col("_part").alias("_p"), before.alias("_before"))
+    same = F.col("_part") == F.col("_p")
+    for k, w in enumerate(within):
+        same = same & F.col(w).eqNullSafe(F.col(f"_w{k}"))
+    numbered = rows.withColumn("_inside", inside).join(sizes, same)
+    return numbered.withColumn(name, F.col("_inside") + F.col("_before")).drop("_inside", "_before", "_part", "_p", *[f"_w{k}" for k in range(len(within))])
+
+
+def batches(rows: DataFrame, order: Sequence[Column | str], size: int = BATCH, within: Sequence[str] = (), name: str = "batch", part: Column | None = None) -> DataFrame:
+    """Number rows in a fixed order and cut them into batches, file by file (``within``); ``part`` as in ``ranked``."""
     if not 1 <= size:
         raise ValueError("a batch has at least one row")
-    spec = W.partitionBy(*within).orderBy(*order)
-    return rows.withColumn(name, F.floor((F.row_number().over(spec) - 1) / size))
+    return ranked(rows, order, within, part, name).withColumn(name, F.floor(F.col(name) / size))
 
 
 def batch_id(import_name: Column | str, file: Column | str, batch: Column) -> Column:

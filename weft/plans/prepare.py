@@ -37,8 +37,30 @@ class Preparer:
     def _type(self, attribute: Attribute) -> str:
         return "string" if attribute.ref_to else attribute.type
 
-    def resolve(self, attribute: Attribute, cell: Column, job: Job) -> exprs.Resolved:
-        found = exprs.resolve(cell, self._type(attribute), job.na, self.mappings.get(attribute.ident), attribute.enum or None)
+    def mapped(self, kind: Kind, job: Job, raw: DataFrame) -> DataFrame:
+        """Mappings too large for the plan, joined as tables: ``_map_<attribute>`` holds the canonical value of each plain column's cell."""
+        for name, column in job.columns.items():
+            table = self.mappings.get(kind.attributes[name].ident)
+            if table is not None and len(table) > exprs.MAX_LITERAL_MAP:
+                rows = self.spark.createDataFrame([(raw_value, str(v).lower() if isinstance(v, bool) else str(v)) for raw_value, v in table.items()], f"_raw_{name} string, _map_{name} string")
+                raw = raw.join(rows, exprs.cell(F.col(f"`{column}`")) == F.col(f"_raw_{name}"), "left").drop(f"_raw_{name}")
+        return raw
+
+    def _column(self, attribute: Attribute, column: str, job: Job) -> exprs.Resolved:
+        """A plain column's cell, by a joined table where its mapping is one."""
+        cell = F.col(f"`{column}`")
+        table = self.mappings.get(attribute.ident)
+        if table is None or len(table) <= exprs.MAX_LITERAL_MAP:
+            return self.resolve(attribute, cell, job)
+        canonical = F.col(f"_map_{attribute.name}")
+        na = exprs.is_na(cell, job.na)
+        found = self.resolve(attribute, F.when(~na, canonical), job, mapped=True)
+        missing = F.when(~na & canonical.isNull(), F.concat(F.lit("no mapping for "), cell))
+        return exprs.Resolved(found.value, na, F.coalesce(missing, found.error))
+
+    def resolve(self, attribute: Attribute, cell: Column, job: Job, mapped: bool = False) -> exprs.Resolved:
+        """A cell's value; ``mapped`` cells have been through a joined mapping (only plain columns are: elsewhere a large one is an error)."""
+        found = exprs.resolve(cell, self._type(attribute), job.na, None if mapped else self.mappings.get(attribute.ident), attribute.enum or None)
         before = job.references.get(attribute.name)
         value = found.value if not before else F.when(found.value.isNotNull(), exprs.uid_path(F.lit(before), found.value))
         return exprs.Resolved(value, found.is_na, found.error)
@@ -70,21 +92,21 @@ class Preparer:
     # -- jobs ----------------------------------------------------------------------
 
     def scan(self, job: Job, provenance: bool = True) -> DataFrame:
-        frames = []
+        if provenance:
+            return delimited.scan(self.spark, job.inputs, job.separator, job.required())
+        by_names: dict[tuple[str, ...], list[str]] = {}
         for path in job.inputs:
             names = delimited.header(self.spark, path, job.separator)
             delimited.require(names, job.required(), path)
-            if provenance:
-                frames.append(delimited.numbered(self.spark, [path], names, job.separator))
-            else:
-                frames.append(delimited.native(self.spark, path, names, job.separator).withColumns({"_file": F.lit(path), "_line": F.lit(None).cast("long")}))
+            by_names.setdefault(tuple(names), []).append(path)
+        frames = [delimited.native(self.spark, paths, names, job.separator).withColumns({"_file": F.lit(paths[0]), "_line": F.lit(None).cast("long")}) for names, paths in by_names.items()]
         return entities.union_kinds(*frames)
 
     def job(self, job: Job, provenance: bool = True) -> DataFrame:
         if job.matrix:
             return self.matrix(job)
         kind = self.schema.kind(job.kind)
-        raw = self.scan(job, provenance)
+        raw = self.mapped(kind, job, self.scan(job, provenance))
         found: dict[str, exprs.Resolved] = {}
         # later entries win: long rows, tidy columns, constants, tuples, many values
         for name in dict.fromkeys(job.variables.values()):
@@ -92,7 +114,7 @@ class Preparer:
             one = self.resolve(kind.attributes[name], F.col(f"`{job.value}`"), job)
             found[name] = exprs.Resolved(F.when(here, one.value), here & one.is_na, F.when(here, one.error))
         for name, column in job.columns.items():
-            found[name] = self.resolve(kind.attributes[name], F.col(f"`{column}`"), job)
+            found[name] = self._column(kind.attributes[name], column, job)
         for name, value in job.constants.items():
             found[name] = self._constant(kind.attributes[name], value, job)
         for name, columns in job.tuples.items():

@@ -41,10 +41,13 @@ def text(column: str | Column) -> Column:
 
 
 def queries() -> dict[str, Query]:
+    from weft.plans import imports  # noqa: F401  (registers its queries)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -568,12 +571,3 @@ def upsert_many(spark, sf_dir):
     """Many-valued attributes gather what all rows of a key bring; single ones keep the last."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.array("o_orderkey").alias("orders"), F.col("o_orderdate").alias("last"))
     return entities.upsert_merge(rows, ["id"], ["last"], ["orders"], ["last"]).select("id", text("orders").alias("orders"), "last")
-
-
-@query("SELECT event_type AS name, count(*) AS rows, 0 AS missing FROM events GROUP BY 1")
-def seed_counts(spark, sf_dir):
-    """Whether each seed is there in full: what is stored against what is wanted."""
-    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"))
-    stored = events.groupBy("name").agg(F.count("*").alias("rows"))
-    wanted = events.groupBy(F.col("name").alias("_name")).agg(F.count("*").alias("wanted"))
-    return stored.join(wanted, F.col("name") == F.col("_name")).select("name", "rows", F.greatest(F.col("wanted") - F.col("rows"), F.lit(0)).cast("int").alias("missing"))

@@ -20,6 +20,8 @@ from graphlib import TopologicalSorter
 
 from pyspark.sql import types as T
 
+from weft.sources.edn import Keyword
+
 # The types that attributes have.
 SIMPLE_TYPES = ("string", "keyword", "boolean", "long", "bigint", "float", "double", "bigdec", "ref", "instant", "uuid", "uri", "symbol", "bytes")
 _SPARK = {
@@ -304,6 +306,42 @@ def from_documents(attributes: Iterable[Mapping], enums: Iterable[Mapping], meta
     return Schema(kinds, version)
 
 
+def to_documents(schema: Schema, namespace: str = "schema") -> tuple[list[dict], list, list[list[dict]]]:
+    """A schema as documents of attributes, enums and metamodel, which ``from_documents`` reads back."""
+    k = Keyword
+    attributes: list[dict] = [{k(f"{namespace}/ident"): k(f"{namespace}/version"), k(f"{namespace}/version"): schema.version}]
+    refs = []
+    for a in schema.attributes.values():
+        entry: dict = {k("db/ident"): k(a.ident), k("db/valueType"): k(f"db.type/{'ref' if a.enum or a.ref_to else a.type}"), k("db/cardinality"): k(f"db.cardinality/{MANY if a.many else ONE}")}
+        if a.unique:
+            entry[k("db/unique")] = k("db.unique/identity")
+        if a.doc:
+            entry[k("db/doc")] = a.doc
+        attributes.append(entry)
+        if a.ref_to or a.tuple_of:
+            ref = {k("ref/id"): k(a.ident), k("ref/from"): k(a.kind)}
+            if a.ref_to:
+                ref[k("ref/to")] = k(a.ref_to)
+            if a.tuple_of:
+                ref[k("ref/tuple-types")] = [k(t) for t in a.tuple_of]
+            refs.append(ref)
+    kinds = []
+    for kind in schema.kinds.values():
+        row: dict = {k("kind/name"): k(kind.name)}
+        if kind.id and kind.scope in ("context", "global"):
+            row[k(f"kind/{kind.scope}-id")] = k(f"{kind.name}/{kind.id}")
+        if kind.parent:
+            row[k("kind/parent")] = k(kind.parent)
+        if kind.reference_data:
+            row[k("kind/ref-data")] = True
+        if kind.create_on_import:
+            row[k("kind/create-on-import")] = True
+        if kind.synthetic:
+            row[k("kind/synthetic-composite-components")] = [{k("kind/index"): i, k("kind/attribute"): k(f"{kind.name}/{p}")} for i, p in enumerate(kind.synthetic)]
+        kinds.append(row)
+    return attributes, [{k("db/ident"): k(v)} for a in schema.attributes.values() for v in a.enum], [kinds, refs]
+
+
 def compatible(installed: str, wanted: str) -> str:
     """``same``, ``upgrade`` (another revision of one major and minor version) or an error."""
     a, b = (tuple(int(p) for p in v.split(".")) for v in (installed, wanted))

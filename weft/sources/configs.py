@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from pathlib import Path
 
 import yaml
@@ -51,6 +52,19 @@ def read_config(path: str) -> dict:
     return found
 
 
+def without_files(tree: object, kept: Sequence[str]) -> object:
+    """A configuration without the jobs whose files lie in folders other than ``kept`` (globs only); literals stay."""
+    if isinstance(tree, list):
+        inner = [without_files(v, kept) for v in tree]
+        return [v for v in inner if v is not None]
+    if isinstance(tree, dict):
+        for key, value in tree.items():
+            if local(key).startswith("input-") and isinstance(value, Glob) and value.folder not in kept:
+                return None
+        return {k: v for k, v in ((k, without_files(v, kept)) for k, v in tree.items()) if v is not None and v != []}
+    return tree
+
+
 def _raws(raw: object) -> list[str]:
     return [str(r) for r in raw] if isinstance(raw, (list, tuple, set, frozenset)) else [str(raw)]
 

@@ -129,6 +129,25 @@ def read(text: str) -> object:
     return forms[0]
 
 
+def write(value: object) -> str:
+    """Text that ``read`` gives back: dicts, lists, frozensets, keywords, symbols and plain values."""
+    if value is None or isinstance(value, bool):
+        return {None: "nil", True: "true", False: "false"}[value]
+    if isinstance(value, Keyword):
+        return f":{str(value)}"
+    if isinstance(value, Symbol):
+        return str(value)
+    if isinstance(value, str):
+        return '"' + value.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\t", "\\t") + '"'
+    if isinstance(value, Mapping):
+        return "{" + " ".join(f"{write(k)} {write(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, (set, frozenset)):
+        return "#{" + " ".join(sorted(map(write, value))) + "}"
+    if isinstance(value, (list, tuple)):
+        return "[" + " ".join(map(write, value)) + "]"
+    return repr(value)
+
+
 def read_file(path: str) -> object:
     with open(path, encoding="utf-8") as file:
         try:
