@@ -61,4 +61,15 @@ def sf(tmp_path_factory, docs, labels):
     path = tmp_path_factory.mktemp("sf")
     docs.write.parquet(f"{path}/documents.parquet")
     labels.write.parquet(f"{path}/labels.parquet")
+    vectors = [(i, [float(i % 7), float(i % 5), 1.0], 1, 2, 3.0) for i in range(120)] + [(100, [1.0], 1, 2, 3.0), (None, [1.0], 1, 2, 3.0), (150, None, 1, 2, 3.0), (200, [None, 1.0], 1, 2, 3.0), (250, [], 1, 2, 3.0)]
+    docs.sparkSession.createDataFrame(vectors, "vec_id long, embedding array<double>, id long, rank int, score double").write.parquet(f"{path}/embeddings.parquet")
+    return str(path)
+
+
+@pytest.fixture(scope="session")
+def empty_sf(tmp_path_factory, empty, no_labels):
+    path = tmp_path_factory.mktemp("empty")
+    empty.write.parquet(f"{path}/documents.parquet")
+    no_labels.write.parquet(f"{path}/labels.parquet")
+    empty.sparkSession.createDataFrame([], "vec_id long, embedding array<double>, label int").write.parquet(f"{path}/embeddings.parquet")
     return str(path)

@@ -530,14 +530,48 @@ def test_pipeline_stage_by_stage(spark, sf, docs, rows):
     assert corpus_pipeline.run(spark, sf).count() > 0
 
 
-def test_pipeline_on_empty_tables(spark, empty, no_labels, tmp_path):
-    empty.write.parquet(f"{tmp_path}/documents.parquet")
-    no_labels.write.parquet(f"{tmp_path}/labels.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
-
-
-def test_every_query_runs_on_messy_tables(spark, sf):
+def test_rows_of_files_keep_their_key(spark, sf, docs):
+    """Rows of files are keyed by their place, the same in every scan; other rows are written with a key."""
+    columns = ["doc_id", "text"]
+    scanned = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    rows = common.keyed(scanned, columns, "rows")
+    n = scanned.count()
+    assert rows.columns == [*columns, "row"] and rows.select("row").distinct().count() == n
+    again = common.keyed(spark.read.parquet(f"{sf}/documents.parquet"), columns, "rows").withColumnsRenamed({"doc_id": "id2", "text": "text2"})
+    same = rows.join(again, "row").where(F.col("doc_id").eqNullSafe(F.col("id2")) & F.col("text").eqNullSafe(F.col("text2")))
+    assert same.count() == n
+    made = common.keyed(docs.where("doc_id IS NULL OR doc_id >= 0"), columns, "rows")
+    assert made.select("row").distinct().count() == made.count() > 0
+
+
+def test_pipeline_on_empty_tables(spark, empty_sf):
+    assert corpus_pipeline.run(spark, empty_sf).count() == 0
+
+
+#: The columns that the contracts name, with their types.
+CONTRACT = {
+    "op1_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op2_quality": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op3_lm": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
+    "op4_pieces": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    "op5_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+    "op6_topk": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"},
+    "op7_mixing": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    "op8_secrets": {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"},
+    "op9_exact": {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string"},
+    "op10_language": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+}
+
+
+def test_every_query_on_messy_and_empty_tables(spark, sf, empty_sf, rows):
+    assert set(CONTRACT) == set(registry.queries())
     for name, query in registry.queries().items():
-        if name != "op6_topk":
-            result = query(spark, sf)
-            assert "doc_id" in result.columns
+        result = query(spark, sf)
+        kinds = dict(result.dtypes)
+        assert {c: kinds.get(c) for c in CONTRACT[name]} == CONTRACT[name], name
+        found = result.collect()
+        if name == "op6_topk":
+            assert {r.query_id for r in found} == {0, 50, 100, 250} and len(found) == 20
+        else:
+            assert collections.Counter(r.doc_id for r in found) == collections.Counter(r[0] for r in rows), name
+        assert query(spark, empty_sf).collect() == [], name

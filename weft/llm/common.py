@@ -16,7 +16,8 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy works on at once; one longer text is its own piece.
@@ -89,8 +90,21 @@ def release(spark: SparkSession) -> None:
 
 
 def keyed(docs: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """``columns`` and a unique ``row``, written once, so that the key stays with its row whatever ids repeat or are null."""
-    return written(docs.select(*columns, F.monotonically_increasing_id().alias("row")), name)
+    """``columns`` and a unique ``row``, which stays with its row whatever ids repeat or are null.
+
+    A scan of Parquet files is keyed by each row's file and place in it; anything else is
+    written once, with a key, since its rows have no place of their own.
+    """
+    try:
+        placed = docs.select(*columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
+        paths = placed.select("_path").distinct()
+        placed.schema  # noqa: B018  (fails here if there is no file behind a row)
+    except AnalysisException:
+        return written(docs.select(*columns, F.monotonically_increasing_id().alias("row")), name)
+    numbers = F.row_number().over(Window.orderBy("_path")) - 1  # one row a file
+    files = written(paths.select("_path", numbers.cast("long").alias("_file")), "files")
+    row = F.shiftleft("_file", 40) + F.col("_at")  # files of up to 2^40 rows
+    return placed.join(if_small(files, 100_000), "_path").select(*columns, row.alias("row"))
 
 
 def fold(id_column: str | Column, modulus: int) -> Column:

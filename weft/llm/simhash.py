@@ -472,26 +472,41 @@ def _candidates(cells: DataFrame, at_once: int, apart: bool) -> DataFrame:
     names = ["key", "bucket", "row", *_LONGS, *(["label", "rest"] if apart else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tried: dict[int, set[int]] = {}
+        tried: dict[int, np.ndarray] = {}
 
         def noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if apart:
-                    for row, found in zip(batch.column("row").to_pylist(), batch.column("tried").to_pylist(), strict=True):
-                        if found:
-                            tried[row] = set(found)
+                    held, row = batch.column("tried"), batch.column("row").to_numpy(zero_copy_only=False)
+                    bounds, partners = held.offsets.to_numpy(), held.values.to_numpy(zero_copy_only=False)
+                    for k in np.flatnonzero(np.diff(bounds)).tolist():
+                        if row[k] not in tried:
+                            tried[int(row[k])] = partners[bounds[k] : bounds[k + 1]].copy()
                 yield batch
 
+        def known(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Where each of a block's rows stands among its distinct ones, and the tried pairs among those as sorted numbers."""
+            distinct, place = np.unique(row, return_inverse=True)
+            codes = [np.zeros(0, np.int64)]
+            for at, own in enumerate(distinct.tolist()):
+                if own in tried:
+                    found = np.searchsorted(distinct, tried[own])
+                    here = found[(found < len(distinct)) & (distinct[np.minimum(found, len(distinct) - 1)] == tried[own])]
+                    codes.append((np.minimum(at, here) << 32) | np.maximum(at, here))
+            return place, np.unique(np.concatenate(codes))
+
         for cuts, columns, _ in _buckets(noted(batches), names):
             columns = {n: c if c.dtype == bool else c.astype(np.int64) for n, c in columns.items()}
             row, values = columns["row"], np.stack([columns[c].view(np.uint64) for c in _LONGS], 1)
+            place, codes = known(row) if tried else (row, row[:0])
             for i, j in neighbours(values, cuts, WIDE_RADIUS):
                 if apart:
                     own = columns["label"][i] != columns["label"][j]
                     i, j = i[own], j[own]
-                    if tried:
-                        a, b = row[i].tolist(), row[j].tolist()
-                        own = np.array([y not in tried.get(x, ()) and x not in tried.get(y, ()) for x, y in zip(a, b, strict=True)], bool)
+                    if len(codes):
+                        a, b = place[i], place[j]
+                        pair = (np.minimum(a, b) << 32) | np.maximum(a, b)
+                        own = codes[np.minimum(np.searchsorted(codes, pair), len(codes) - 1)] != pair
                         i, j = i[own], j[own]
                 if len(i):
                     yield from _nearest(i, j, _distances(values, i, j), row, columns, at_once, columns["rest"] if apart else None)
