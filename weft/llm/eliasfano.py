@@ -46,7 +46,7 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) if n else 0
         bits = max(0, min(56, (top // max(n, 1)).bit_length() - 1))
-        octets = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+        octets = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-bits // 8)]  # the bytes that hold low bits
         parts = [  # bounded pieces, each a whole number of bytes
             np.packbits(np.unpackbits(octets[k : k + 65536], axis=1, bitorder="little")[:, :bits].ravel(), bitorder="little") for k in range(0, n, 65536)
         ]

@@ -308,8 +308,10 @@ class _Block:
         keys = (pair[self.triple_at - 1].astype(np.uint64) << _U(32)) | pair[self.triple_at].astype(np.uint64)
         keys, self.triple_which = np.unique(keys, return_inverse=True)
         self.triple_a, self.triple_b = a, b = (keys >> _U(32)).astype(np.int64), (keys & _LOW32).astype(np.int64)
-        place = model.place(self.pair_before[a], self.pair_count[a], self.id[self.pair_w[b]])
-        self.triple_shard = model.triple_start[self.pair_shard[a]] + place // model.limit  # both counts are zero where there is one shard
+        self.triple_shard = model.triple_start[self.pair_shard[a]]
+        if self.pair_count.any():  # some lie in shards that are cut
+            place = model.place(self.pair_before[a], self.pair_count[a], self.id[self.pair_w[b]])
+            self.triple_shard = self.triple_shard + place // model.limit
 
     def word_weights(self) -> np.ndarray:
         """Logarithm of the weight that each distinct word leaves to shorter contexts; 0 for unknown words."""
@@ -448,7 +450,7 @@ def _shards(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[tuple[int
 
 def _merged(parts: list[list[np.ndarray]], level: int) -> list[np.ndarray]:
     key, n, extra = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, n, extra = key[order], n[order], extra[order]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     if level == 1 and (np.maximum.reduceat(extra, first) != np.minimum.reduceat(extra, first)).any():
@@ -585,8 +587,11 @@ def fit(docs: DataFrame, keep=None, shard_tokens: int = SHARD_TOKENS, seed: int
     """Build the trie from all texts (``keep``: a condition on ``doc_id``) in the shared folder."""
     spark = docs.sparkSession
     texts = (docs if keep is None else docs.where(keep)).select("text")
-    letters = texts.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    bits = max(0, (letters // 6 // shard_tokens).bit_length())
+    # what Spark knows of the texts' size without reading them; it only says how finely level 1 is cut
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # nothing is known of rows that come from a computation
+        size = texts.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    bits = max(0, (size // 3 // shard_tokens).bit_length())
     model = Model(common.new_path(spark, "trie"), shard_tokens, bits, seed)
 
     def built(level: int, shards: int) -> dict[str, np.ndarray]:
