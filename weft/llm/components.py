@@ -12,7 +12,7 @@ once; an empty table has no components.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weft.llm import common
@@ -44,10 +44,13 @@ def components(edges: DataFrame) -> DataFrame:
     edges = common.written(edges.where("a <> b").distinct(), "edges")
     before = None
     while True:
-        edges = common.written(_small_star(_large_star(edges)).where("a <> b").distinct(), "edges")
-        # a star forest is stable: the count and the sums no longer move
-        now = edges.agg(F.count("*"), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
+        # a star forest is stable: the count and the sums no longer move; they are taken while the edges are written
+        seen = Observation()
+        sums = [F.sum(x.cast("decimal(38,0)")) for x in (F.col("b"), F.xxhash64("a", "b"))]
+        moved = _small_star(_large_star(edges)).where("a <> b").distinct()
+        edges = common.written(moved.observe(seen, F.count(F.lit(1)).alias("n"), sums[0].alias("b"), sums[1].alias("h")), "edges")
+        now = seen.get
+        if now == before or not now["n"]:
             break
         before = now
     return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

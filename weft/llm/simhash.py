@@ -525,23 +525,25 @@ def _first_round(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _later_round(members: DataFrame, labels: DataFrame, tried: DataFrame, at_once: int) -> DataFrame:
     """Proposals between different components of each bucket."""
-    members = members.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
+    before = tried.groupBy(F.col("j").alias("row")).agg(F.collect_set("i").alias("tried"))
+    members = members.join(labels, "row", "left").join(before, "row", "left").withColumn("label", F.coalesce("label", "row"))
+    members = members.select("row", *_LONGS, "label", "tried", F.explode("buckets").alias("bucket"))
     sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top")).where("n > top.n")
     mixed = common.written(mixed.select("bucket", F.col("top.label").alias("top"), F.ceil(F.col("top.n") / BLOCK).alias("tops"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("rests")), "mixed-buckets")
-    members = members.join(common.if_small(mixed), "bucket").withColumn("rest", F.col("label") != F.col("top"))
+    members = members.join(mixed, "bucket").withColumn("rest", F.col("label") != F.col("top"))
     own = F.pmod(F.xxhash64("row", "bucket"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("tops")))
     members = members.withColumn("own", own)
-    # cells: a block of the largest component with one of the rest, and every two blocks of the rest
-    cells = F.when(
+    # cells: a block of the largest component with one of the rest, and every two blocks of the rest; one of each is one cell
+    alone = F.array(F.struct(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
+    cells = F.when((F.col("tops") == 1) & (F.col("rests") == 1), alone).when(
         F.col("rest"),
         F.concat(
             F.transform(F.sequence(F.lit(0).cast("long"), F.col("tops") - 1), lambda a: F.struct(F.lit(0).alias("kind"), a.alias("a"), F.col("own").alias("b"))),
             F.transform(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1), lambda b: F.struct(F.lit(1).alias("kind"), F.least("own", b).alias("a"), F.greatest("own", b).alias("b"))),
         ),
     ).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1), lambda b: F.struct(F.lit(0).alias("kind"), F.col("own").alias("a"), b.alias("b"))))
-    before = tried.groupBy(F.col("j").alias("row")).agg(F.collect_set("i").alias("tried"))
-    cells = members.withColumn("cell", F.explode(cells)).join(before, "row", "left")
+    cells = members.withColumn("cell", F.explode(cells))
     return _candidates(cells.select(F.xxhash64("bucket", "cell").alias("key"), "bucket", "row", *_LONGS, "label", "rest", "tried"), at_once, True)
 
 
@@ -582,9 +584,10 @@ def similar(docs: DataFrame) -> DataFrame:
     proposals = common.written(proposals, "proposals")
     # who goes on: rows with a neighbour in the bucket, and all of a bucket that was cut
     near = proposals.select("j", F.col("key").alias("bucket")).union(proposals.select(F.col("i").alias("j"), F.col("key").alias("bucket"))).distinct()
-    dealt = wide.select("row", *_LONGS, F.explode(F.col("keys").cast("array<long>")).alias("bucket"))
-    members = wide.join(near.withColumnRenamed("j", "row"), "row").select("bucket", "row", *_LONGS)
-    members = common.written(members.union(dealt.join(common.if_small(large.select("bucket")), "bucket").select("bucket", "row", *_LONGS)).distinct(), "members")
+    dealt = wide.select("row", F.explode(F.col("keys").cast("array<long>")).alias("bucket"))
+    all_of = dealt.join(large.select("bucket"), "bucket").select("row", "bucket")
+    buckets = near.select(F.col("j").alias("row"), "bucket").union(all_of).groupBy("row").agg(F.collect_set("bucket").alias("buckets"))  # at most TABLES
+    members = common.written(wide.select("row", *_LONGS).join(buckets, "row"), "members")
     spark = docs.sparkSession
     verified = spark.createDataFrame([], "j long, i long, alike boolean")
     labels = spark.createDataFrame([], "row long, label long")
