@@ -564,8 +564,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)
-            alike = [jaccard(a.encode(), b.encode()) >= SIMILARITY for a, b in texts]
+            alike = [jaccard(a.as_py().encode(), b.as_py().encode()) >= SIMILARITY for a, b in zip(batch.column("a"), batch.column("b"), strict=True)]  # two texts at a time
             yield pa.record_batch([batch.column("j"), batch.column("i"), pa.array(alike, pa.bool_())], ["j", "i", "alike"])
 
     lane = F.pmod(F.xxhash64("i", "j"), F.lit(64))
