@@ -207,6 +207,44 @@ def test_similar_texts_against_all_pairs(spark, monkeypatch, block):
     assert simhash.similar(docs.limit(0)).count() == 0
 
 
+def test_a_group_below_the_similarity_is_not_verified_pair_by_pair(spark, monkeypatch):
+    """Copies of one text that differ in two words each are candidates, but no sets that a sketch proves too different."""
+    rng, m = random.Random(5), 120
+    base = [f"w{k}x{rng.randrange(1000)}" for k in range(100)]
+    texts = []
+    for n in range(m):
+        own = list(base)
+        for k in rng.sample(range(6, 94), 2):
+            own[k] = f"own{n}x{k}"
+        texts.append(" ".join(own))
+    asked, verified = [], simhash._verified
+
+    def counted(pairs, texts):
+        asked.append(pairs.count())
+        return verified(pairs, texts)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    want = brute_groups(dict(enumerate(texts)))
+    found = {r.row: r.label for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "row long, text string")).collect()}
+    assert all(want[a] == want[b] for a in found for b in found if found[a] == found[b])
+    assert sum(asked) < 5 * m  # of 7,140 pairs
+
+
+def test_sketches_drop_no_similar_pair_and_leave_each_pair_one_table():
+    rng = random.Random(3)
+    texts = [(t or "").encode() for t in near_texts(rng).values()]
+    wide, parity, sizes = simhash.wide_fingerprint(texts)
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    kept = simhash.may_be_similar(parity, sizes, i, j)
+    assert all(k or simhash.jaccard(texts[a], texts[b]) < simhash.SIMILARITY for k, a, b in zip(kept.tolist(), i.tolist(), j.tolist(), strict=True))
+    assert kept.mean() < 0.5
+    same = simhash.table_keys(wide)[i] == simhash.table_keys(wide)[j]
+    tables = np.arange(simhash.TABLES)
+    pair, table = np.nonzero(same)
+    first = np.where(same.any(1), same.argmax(1), -1)
+    assert (simhash.in_first_table(wide[i[pair]] ^ wide[j[pair]], tables[table]) == (table == first[pair])).all()
+
+
 def test_near_duplicates_of_messy_rows(docs, empty, rows):
     found = simhash.near_duplicates(docs).collect()
     assert len(found) == len(rows)

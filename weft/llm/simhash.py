@@ -14,10 +14,14 @@ candidate is dropped.  A bucket yields a spanning forest of its links, never all
 ``similar`` links texts whose sets of word 5-shingles have a Jaccard similarity of 0.8 or
 more.  Candidates come from wide fingerprints (256 bits over distinct shingles): texts
 that agree in the 20 bits of one of 64 tables and differ in at most ``WIDE_RADIUS`` of
-128 bits.  Each text's nearest candidate is proposed, the proposals are verified on the
+128 bits.  Pairs whose similarity a sketch proves to be below 0.8 go at once: of two sets
+the sizes and the parities of the shingles in each of 256 bins differ by no more than
+there are shingles in one of them alone, so no similar pair goes.  A pair counts in the
+first table that it agrees in and in no other.  Each text's nearest candidate is proposed, the proposals are verified on the
 texts' real shingles, and rounds go on, in which components propose ever more pairs with
 others that no round has tried, until nothing is left to propose: so every candidate pair is verified or
-inside one component already, though few pairs are ever written.  A bucket with many
+inside one component already, though few pairs are ever written.  A text goes on only in
+buckets where it had such a partner in the round before.  A bucket with many
 members is cut into blocks; in the first round blocks are compared inside, in later ones
 with each other, but for those of the bucket's largest component, whose members need no
 more links among themselves.  At a similarity of 0.8 a pair is a candidate in some nine
@@ -66,6 +70,8 @@ SIMILARITY = 0.8
 #: Longs of a wide fingerprint; the first two are compared, all are drawn from for the tables' keys.
 WIDE = 4
 COMPARED = 2
+#: Longs of a set's parities.
+PARITY = 4
 TABLES = 64
 KEY_BITS = 20
 #: Of 128 bits: 2.9 standard deviations above what a similarity of 0.8 makes differ.
@@ -163,9 +169,9 @@ def fingerprint(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def wide_fingerprint(texts: list[bytes]) -> np.ndarray:
-    """``WIDE`` longs a text, over its distinct shingles; each long sees the shingles' hashes scrambled anew."""
-    out = np.zeros((len(texts), WIDE), np.uint64)
+def wide_fingerprint(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``WIDE`` longs a text, over its distinct shingles; each long sees the shingles' hashes scrambled anew.  And their parities in ``PARITY`` longs of bins, and their number."""
+    out, parity, sizes = np.zeros((len(texts), WIDE), np.uint64), np.zeros((len(texts), PARITY), np.uint64), np.zeros(len(texts), np.int64)
     hashes, some, first = _shingles(texts, WIDE_SHINGLE)
     if len(some):
         owner = np.repeat(np.arange(len(some)), np.diff(np.append(first, len(hashes))))
@@ -173,9 +179,21 @@ def wide_fingerprint(texts: list[bytes]) -> np.ndarray:
         hashes, owner = hashes[order], owner[order]
         new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])))
         hashes, first = hashes[new], np.searchsorted(owner[new], np.arange(len(some)))
+        scrambled = lambda k: common.mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
         for k in range(WIDE):
-            out[some, k] = _majority(common.mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))), first)
-    return out
+            out[some, k] = _majority(scrambled(k), first)
+        places = scrambled(WIDE) % np.uint64(64 * PARITY)
+        for k in range(PARITY):
+            ones = np.where(places >> np.uint64(6) == k, np.uint64(1) << (places & np.uint64(63)), np.uint64(0))
+            parity[some, k] = np.bitwise_xor.reduceat(ones, first)
+        sizes[some] = np.diff(np.append(first, len(hashes)))
+    return out, parity, sizes
+
+
+def may_be_similar(parity: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Pairs but those whose sets can't have a similarity of 0.8, that is no more than a ninth of both sizes' sum in one of them alone."""
+    alone = np.maximum(np.bitwise_count(parity[i] ^ parity[j]).sum(1).astype(np.int64), np.abs(sizes[i] - sizes[j]))
+    return 9 * alone <= sizes[i] + sizes[j]
 
 
 @cache
@@ -187,8 +205,29 @@ def _key_places() -> np.ndarray:
 def table_keys(wide: np.ndarray) -> np.ndarray:
     """One number a table for each wide fingerprint."""
     bits = np.unpackbits(wide.astype("<u8").view(np.uint8).reshape(len(wide), 8 * WIDE), axis=1, bitorder="little")
-    keys = bits[:, _key_places()].astype(np.int64) @ (1 << np.arange(KEY_BITS))
-    return keys + (np.arange(TABLES, dtype=np.int64) << KEY_BITS)
+    keys = np.tile(np.arange(TABLES, dtype=np.int64) << KEY_BITS, (len(wide), 1))
+    for k in range(KEY_BITS):  # a bit of all keys at a time
+        keys += bits[:, _key_places()[:, k]].astype(np.int64) << k
+    return keys
+
+
+@cache
+def _key_masks() -> np.ndarray:
+    """The same as bits of the longs of a wide fingerprint."""
+    out = np.zeros((TABLES, WIDE), np.uint64)
+    for k in range(KEY_BITS):
+        at = _key_places()[:, k]
+        out[np.arange(TABLES), at >> 6] |= np.uint64(1) << (at & 63).astype(np.uint64)
+    return out
+
+
+def in_first_table(differing: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Pairs, by their ``differing`` bits (n x longs), that agree in no table before ``table``."""
+    out = np.ones(len(table), bool)
+    for t in range(int(table.max(initial=0))):
+        at = np.flatnonzero(out & (table > t))
+        out[at] = (differing[at] & _key_masks()[t]).any(1)
+    return out
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -423,24 +462,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 # ---- by similarity -------------------------------------------------------------
 
 
+_LONGS = [f"f{k}" for k in range(WIDE)]
+_PARITIES = [f"p{k}" for k in range(PARITY)]
+_SKETCH = [*_LONGS, *_PARITIES, "shingles"]
+_PROPOSAL = "j long, i long, d int, key long, label long"
+
+
 def _wide(docs: DataFrame) -> DataFrame:
-    """``row, f0, f1, keys`` of every row of ``docs`` (columns ``row`` and ``text``)."""
+    """``row``, its sketch and ``keys`` of every row of ``docs`` (columns ``row`` and ``text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros((0, WIDE), np.uint64)]
-            for _, _, data, bounds in common.blocks(batch.column("text")):
+            for at, end, data, bounds in common.blocks(batch.column("text")):
                 raw = data.tobytes()
-                found.append(wide_fingerprint([raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]))
-            wide = np.concatenate(found)
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(wide) * TABLES + 1, TABLES), pa.int32()), pa.array(table_keys(wide).astype(np.int32).ravel()))
-            yield pa.record_batch([batch.column("row"), *(pa.array(wide[:, k].view(np.int64)) for k in range(COMPARED)), keys], ["row", *_LONGS, "keys"])
+                wide, parity, sizes = wide_fingerprint([raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(wide) * TABLES + 1, TABLES), pa.int32()), pa.array(table_keys(wide).astype(np.int32).ravel()))
+                longs = [pa.array(np.ascontiguousarray(x[:, k]).view(np.int64)) for x in (wide, parity) for k in range(x.shape[1])]
+                yield pa.record_batch([batch.column("row").slice(at, end - at), *longs, pa.array(sizes.astype(np.int32)), keys], ["row", *_SKETCH, "keys"])
 
-    return common.map_texts(docs, [F.col("row"), F.col("text")], run, f"row long, {', '.join(f'{c} long' for c in _LONGS)}, keys array<int>")
-
-
-_LONGS = [f"f{k}" for k in range(COMPARED)]
-_PROPOSAL = "j long, i long, d int, key long, label long"
+    longs = ", ".join(f"{c} long" for c in [*_LONGS, *_PARITIES])
+    return common.map_texts(docs, [F.col("row"), F.col("text")], run, f"row long, {longs}, shingles int, keys array<int>")
 
 
 def _nearest(i: np.ndarray, j: np.ndarray, d: np.ndarray, row: np.ndarray, columns: dict, at_once: int, one_sided: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -463,43 +504,34 @@ def _distances(values: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.bitwise_count(values[i] ^ values[j]).sum(1).astype(np.int64)
 
 
+def _tried(row: np.ndarray, partners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of a block's rows stands among its distinct ones, and the pairs with the ``partners`` of each (arrays or None) among those as sorted numbers."""
+    distinct, place = np.unique(row, return_inverse=True)
+    some = [k for k, p in enumerate(partners) if p is not None]
+    if not some:
+        return place, place[:0]
+    other = np.concatenate([partners[k] for k in some])
+    own = np.repeat(place[some], [len(partners[k]) for k in some])
+    found = np.minimum(np.searchsorted(distinct, other), len(distinct) - 1)
+    here = distinct[found] == other
+    return place, np.unique((np.minimum(own, found) << 32 | np.maximum(own, found))[here])
+
+
 def _candidates(cells: DataFrame, at_once: int, apart: bool) -> DataFrame:
-    """Proposals ``(j, i, d, key, label)``: the ``at_once`` nearest of each row, in each cell (``key``) of rows ``(key, bucket, row, f0, f1)``.
+    """Proposals ``(j, i, d, key, label)``: the ``at_once`` nearest of each row, in each cell (``key``) of rows ``(key, bucket, row)`` and their sketches.
 
     With ``apart`` they are those of each component; rows carry ``label``, ``rest`` (whether they propose) and ``tried``: partners of
-    the same label and those tried before don't count.
+    the same label and those tried before don't count.  All rows that have a partner come once more, as ``j`` of a null ``i``.
     """
-    names = ["key", "bucket", "row", *_LONGS, *(["label", "rest"] if apart else [])]
+    names = ["key", "bucket", "row", *_SKETCH, *(["label", "rest", "tried"] if apart else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tried: dict[int, np.ndarray] = {}
-
-        def noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if apart:
-                    held, row = batch.column("tried"), batch.column("row").to_numpy(zero_copy_only=False)
-                    bounds, partners = held.offsets.to_numpy(), held.values.to_numpy(zero_copy_only=False)
-                    for k in np.flatnonzero(np.diff(bounds)).tolist():
-                        if row[k] not in tried:
-                            tried[int(row[k])] = partners[bounds[k] : bounds[k + 1]].copy()
-                yield batch
-
-        def known(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Where each of a block's rows stands among its distinct ones, and the tried pairs among those as sorted numbers."""
-            distinct, place = np.unique(row, return_inverse=True)
-            codes = [np.zeros(0, np.int64)]
-            for at, own in enumerate(distinct.tolist()):
-                if own in tried:
-                    found = np.searchsorted(distinct, tried[own])
-                    here = found[(found < len(distinct)) & (distinct[np.minimum(found, len(distinct) - 1)] == tried[own])]
-                    codes.append((np.minimum(at, here) << 32) | np.maximum(at, here))
-            return place, np.unique(np.concatenate(codes))
-
-        for cuts, columns, _ in _buckets(noted(batches), names):
-            columns = {n: c if c.dtype == bool else c.astype(np.int64) for n, c in columns.items()}
-            row, values = columns["row"], np.stack([columns[c].view(np.uint64) for c in _LONGS], 1)
-            place, codes = known(row) if tried else (row, row[:0])
-            for i, j in neighbours(values, cuts, WIDE_RADIUS):
+        for cuts, columns, _ in _buckets(batches, names):
+            columns = {n: c if c.dtype in (bool, object) else c.astype(np.int64) for n, c in columns.items()}
+            row, bucket, sizes = columns["row"], columns["bucket"], columns["shingles"]
+            values, parity = (np.stack([columns[c].view(np.uint64) for c in names], 1) for names in (_LONGS, _PARITIES))
+            place, codes = _tried(row, columns["tried"]) if apart else (row, row[:0])
+            for i, j in neighbours(values[:, :COMPARED], cuts, WIDE_RADIUS):
                 if apart:
                     own = columns["label"][i] != columns["label"][j]
                     i, j = i[own], j[own]
@@ -508,30 +540,38 @@ def _candidates(cells: DataFrame, at_once: int, apart: bool) -> DataFrame:
                         pair = (np.minimum(a, b) << 32) | np.maximum(a, b)
                         own = codes[np.minimum(np.searchsorted(codes, pair), len(codes) - 1)] != pair
                         i, j = i[own], j[own]
+                own = may_be_similar(parity, sizes, i, j)
+                i, j = i[own], j[own]
+                own = in_first_table(values[i] ^ values[j], bucket[i] >> KEY_BITS)
+                i, j = i[own], j[own]
                 if len(i):
-                    yield from _nearest(i, j, _distances(values, i, j), row, columns, at_once, columns["rest"] if apart else None)
+                    yield from _nearest(i, j, _distances(values[:, :COMPARED], i, j), row, columns, at_once, columns["rest"] if apart else None)
+                    if apart:
+                        live = np.unique(np.stack([np.concatenate([bucket[i], bucket[j]]), np.concatenate([row[i], row[j]])], 1), axis=0)
+                        none = [pa.nulls(len(live), t) for t in (pa.int64(), pa.int32(), pa.int64())]
+                        yield pa.record_batch([pa.array(live[:, 1]), none[0], none[1], pa.array(live[:, 0]), none[2]], ["j", "i", "d", "key", "label"])
 
     return cells.repartition("key").sortWithinPartitions("key").mapInArrow(run, _PROPOSAL)
 
 
 def _first_round(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Proposals of all buckets, blocks compared inside; and the sizes of buckets of more than one block."""
-    dealt = wide.select("row", *_LONGS, F.explode(F.col("keys").cast("array<long>")).alias("bucket"))
+    dealt = wide.select("row", *_SKETCH, F.explode(F.col("keys").cast("array<long>")).alias("bucket"))
     large = common.written(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "large-buckets")
     blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1))
     cells = dealt.join(common.if_small(large), "bucket", "left").withColumn("key", F.shiftleft(F.col("bucket"), 32) + F.pmod(F.xxhash64("row", "bucket"), blocks))
-    return _candidates(cells.select("key", "bucket", "row", *_LONGS), 1, False), large
+    return _candidates(cells.select("key", "bucket", "row", *_SKETCH), 1, False), large
 
 
-def _later_round(members: DataFrame, labels: DataFrame, tried: DataFrame, at_once: int) -> DataFrame:
-    """Proposals between different components of each bucket."""
-    before = tried.groupBy(F.col("j").alias("row")).agg(F.collect_set("i").alias("tried"))
-    members = members.join(labels, "row", "left").join(before, "row", "left").withColumn("label", F.coalesce("label", "row"))
-    members = members.select("row", *_LONGS, "label", "tried", F.explode("buckets").alias("bucket"))
-    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+def _later_round(members: DataFrame, live: DataFrame, labels: DataFrame, tried: DataFrame, at_once: int) -> DataFrame:
+    """Proposals between different components of each bucket, among its ``live`` rows ``(row, bucket)``; ``members`` have the rows' sketches."""
+    live = common.written(live.join(labels, "row", "left").select("row", "bucket", F.coalesce("label", "row").alias("label")), "live")
+    sizes = live.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top")).where("n > top.n")
     mixed = common.written(mixed.select("bucket", F.col("top.label").alias("top"), F.ceil(F.col("top.n") / BLOCK).alias("tops"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("rests")), "mixed-buckets")
-    members = members.join(mixed, "bucket").withColumn("rest", F.col("label") != F.col("top"))
+    before = tried.groupBy(F.col("j").alias("row"), F.col("key").alias("bucket")).agg(F.collect_set("i").alias("tried"))
+    live = live.join(mixed, "bucket").withColumn("rest", F.col("label") != F.col("top"))
+    members = live.join(before, ["row", "bucket"], "left").join(members, "row")
     own = F.pmod(F.xxhash64("row", "bucket"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("tops")))
     members = members.withColumn("own", own)
     # cells: a block of the largest component with one of the rest, and every two blocks of the rest; one of each is one cell
@@ -544,7 +584,7 @@ def _later_round(members: DataFrame, labels: DataFrame, tried: DataFrame, at_onc
         ),
     ).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1), lambda b: F.struct(F.lit(0).alias("kind"), F.col("own").alias("a"), b.alias("b"))))
     cells = members.withColumn("cell", F.explode(cells))
-    return _candidates(cells.select(F.xxhash64("bucket", "cell").alias("key"), "bucket", "row", *_LONGS, "label", "rest", "tried"), at_once, True)
+    return _candidates(cells.select(F.xxhash64("bucket", "cell").alias("key"), "bucket", "row", *_SKETCH, "label", "rest", "tried"), at_once, True)
 
 
 def jaccard(a: bytes, b: bytes, size: int = WIDE_SHINGLE) -> float:
@@ -560,19 +600,19 @@ def jaccard(a: bytes, b: bytes, size: int = WIDE_SHINGLE) -> float:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``j, i, alike`` of each pair, from their whole texts.  Texts that many pairs ask for are sent along several lanes."""
+    """``j, i, key, alike`` of each pair, from their whole texts.  Texts that many pairs ask for are sent along several lanes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             alike = [jaccard(a.as_py().encode(), b.as_py().encode()) >= SIMILARITY for a, b in zip(batch.column("a"), batch.column("b"), strict=True)]  # two texts at a time
-            yield pa.record_batch([batch.column("j"), batch.column("i"), pa.array(alike, pa.bool_())], ["j", "i", "alike"])
+            yield pa.record_batch([batch.column("j"), batch.column("i"), batch.column("key"), pa.array(alike, pa.bool_())], ["j", "i", "key", "alike"])
 
     lane = F.pmod(F.xxhash64("i", "j"), F.lit(64))
     for end, name in (("j", "a"), ("i", "b")):
         pairs = pairs.withColumn("lane", lane)
         wanted = pairs.select(F.col(end).alias("row"), "lane").distinct().join(texts.select("row", F.col("text").alias(name)), "row")
         pairs = pairs.join(wanted.withColumnRenamed("row", end), [end, "lane"])
-    return pairs.select("j", "i", "a", "b").mapInArrow(run, "j long, i long, alike boolean")
+    return pairs.select("j", "i", "key", "a", "b").mapInArrow(run, "j long, i long, key long, alike boolean")
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -581,19 +621,20 @@ def similar(docs: DataFrame) -> DataFrame:
     wide = common.written(_wide(texts), "wide-fingerprints")
     proposals, large = _first_round(wide)
     proposals = common.written(proposals, "proposals")
-    # who goes on: rows with a neighbour in the bucket, and all of a bucket that was cut
-    near = proposals.select("j", F.col("key").alias("bucket")).union(proposals.select(F.col("i").alias("j"), F.col("key").alias("bucket"))).distinct()
-    dealt = wide.select("row", F.explode(F.col("keys").cast("array<long>")).alias("bucket"))
-    all_of = dealt.join(large.select("bucket"), "bucket").select("row", "bucket")
-    buckets = near.select(F.col("j").alias("row"), "bucket").union(all_of).groupBy("row").agg(F.collect_set("bucket").alias("buckets"))  # at most TABLES
-    members = common.written(wide.select("row", *_LONGS).join(buckets, "row"), "members")
+    # who goes on: rows with a partner in the bucket, and all of a bucket that was cut
+    live = proposals.select(F.col("j").alias("row"), F.col("key").alias("bucket"))
+    if large.head(1):
+        dealt = wide.select("row", F.explode(F.col("keys").cast("array<long>")).alias("bucket"))
+        live = live.union(dealt.join(large.select("bucket"), "bucket").select("row", "bucket"))
+    live = live.distinct()
+    members = common.written(wide.select("row", *_SKETCH).join(live.select("row").distinct(), "row", "left_semi"), "members")
     spark = docs.sparkSession
-    verified = spark.createDataFrame([], "j long, i long, alike boolean")
+    verified = spark.createDataFrame([], "j long, i long, key long, alike boolean")
     labels = spark.createDataFrame([], "row long, label long")
     at_once = 1
     while True:
-        best = proposals.groupBy("label", "j", "i").agg(F.min("d").alias("d")).withColumn("nth", F.row_number().over(W.partitionBy("label").orderBy("d", F.xxhash64("i", "j"))))
-        pairs = best.where(F.col("nth") <= at_once).select(F.greatest("j", "i").alias("j"), F.least("j", "i").alias("i")).distinct()
+        best = proposals.where("i IS NOT NULL").groupBy("label", "j", "i").agg(F.min("d").alias("d"), F.min("key").alias("key")).withColumn("nth", F.row_number().over(W.partitionBy("label").orderBy("d", F.xxhash64("i", "j"))))
+        pairs = best.where(F.col("nth") <= at_once).select(F.greatest("j", "i").alias("j"), F.least("j", "i").alias("i"), "key").distinct()
         fresh = common.written(_verified(pairs, texts), "verified")
         found = fresh.agg(F.max("alike")).first()[0]
         if found is None:  # nothing was proposed
@@ -602,7 +643,8 @@ def similar(docs: DataFrame) -> DataFrame:
         if found:
             labels = common.written(components(verified.where("alike").select(F.col("j").alias("a"), F.col("i").alias("b"))).select(F.col("id").alias("row"), F.col("root").alias("label")), "labels")
         at_once *= PROPOSED
-        proposals = common.written(_later_round(members, labels, verified.where("NOT alike"), at_once), "proposals")
+        proposals = common.written(_later_round(members, live, labels, verified.where("NOT alike"), at_once), "proposals")
+        live = proposals.select(F.col("j").alias("row"), F.col("key").alias("bucket")).distinct()
         common.release(spark)
     return labels
 
