@@ -435,3 +435,28 @@ def test_entry_point_without_the_training_operators(tmp_path):
     shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); o = e.oracle_sql(); assert set(o) <= set(q) and len(q) > 60 and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
+
+
+def test_mapping_files_are_written_in_ranges(spark, tmp_path, monkeypatch):
+    from weft.plans import imports
+    from weft.sources import scratch
+
+    n = 4000
+    spark.range(3).selectExpr("cast(id AS int) AS n_nationkey").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(60).selectExpr("id AS c_custkey", "cast(id % 3 AS int) AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(n).selectExpr("id * 7 % 4000 AS o_orderkey", "id % 60 AS o_custkey", "CASE WHEN id % 2 = 0 THEN 'F' ELSE 'O' END AS o_orderstatus").repartition(5).write.parquet(f"{tmp_path}/orders.parquet")
+    root = tmp_path / "mapping"
+    monkeypatch.setattr(scratch, "folder", lambda spark, name: f"file://{root}")
+    coalesced = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {r.id: r.value for r in imports.last_in_file(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    keys = [[int(line.split("\t")[2]) for line in p.read_text().splitlines()] for p in sorted(root.glob("part-*"))]
+    assert [k for own in keys for k in own] == list(range(n))  # whole, and in order from file to file
+    assert sum(map(bool, keys)) > 1 and max(map(len, keys)) < n / 2  # no task sorted them all
+    wanted = {}
+    for k in range(0, n, 2):
+        wanted[f"n{k % 60 % 3}"] = max(wanted.get(f"n{k % 60 % 3}", 0), k * 7 % 4000)
+    assert found == {k: str(v) for k, v in wanted.items()}
