@@ -265,10 +265,12 @@ def therapy_order_rule(spark, sf_dir):
     """The rule on the order of therapies as a query and the query that says what it allows, over lines of orders."""
     from weft.operators.datalog import Views
 
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("order")).distinct()
+    # a line without a number has no order; with numbers alone the ids below are unique, whatever the order's key
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("order")).where(F.col("order").isNotNull()).distinct()
     therapies = lines.select(F.concat_ws("/", "l_orderkey", "order").alias("id"), "order", F.col("l_orderkey").alias("subject"))
-    subjects = therapies.groupBy(F.col("subject").alias("id")).agg(F.collect_set("id").alias("therapies"))
-    views = Views({"subject": (subjects, "id"), "therapy": (therapies, "id")})
+    # a row for each therapy of a subject, so that no subject's are gathered in a list
+    subjects = therapies.select(F.col("subject").alias("id"), F.col("id").alias("therapies"))
+    views = Views({"subject": (subjects, "id"), "therapy": (therapies, "id")}, unique={"subject": ["id", "therapies"], "therapy": ["id"]})
     found, allowed = (views.q(domain.THERAPY_ORDER[k]).toDF("s", "n") for k in ("query", "allowed"))
     wrong = found.subtract(allowed)
     return wrong.agg(F.count("*").alias("wrong")).select(F.lit(domain.THERAPY_ORDER["name"]).alias("name"), "wrong")
